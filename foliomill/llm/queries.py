@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm import leakage, near_dup
+from foliomill.llm import leakage, near_dup, vectors
 from foliomill.session import table
 
 
@@ -15,6 +15,20 @@ def _payload_texts(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "payloads").select(F.col("point_id").alias("id"), F.col("chunk_text").alias("text"))
 
 
+def _vectors(spark, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "ai_results").where("op = 'embed'").select("result_id", "embedding")
+
+
+def p2_found(spark, sf_dir: str) -> DataFrame:
+    """Pairs of results of which one is among the other's five most similar, with a cosine of at least 0.70."""
+    return vectors.similar_pairs(_vectors(spark, sf_dir), 5, 0.7).toDF("result_a", "result_b")
+
+
+def p2_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The five most similar others of every usable result."""
+    return vectors.similar_vectors(_vectors(spark, sf_dir), 5).withColumnRenamed("id", "result_id")
+
+
 def p5_found(spark, sf_dir: str) -> DataFrame:
     """Pairs of points with at least 0.7 of their three-word shingles in common."""
     return near_dup.similar_points(_payload_texts(spark, sf_dir), 3, 0.7).toDF("point_a", "point_b")
@@ -67,7 +81,7 @@ WHERE s.shared >= 0.7 * (x.n + y.n - s.shared) - 1e-9
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (p5_found, p5_groups, p7_found, p7_passages, p7_clean)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p5_groups, p7_found, p7_passages, p7_clean)}
 
 
 def oracle_sql() -> dict[str, str]:
