@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm import leakage, near_dup, vectors
+from foliomill.llm import leakage, near_dup, packing, subjects, vectors
 from foliomill.session import table
 
 
@@ -39,6 +39,16 @@ def p5_groups(spark, sf_dir: str) -> DataFrame:
     return near_dup.Similar(_payload_texts(spark, sf_dir), 3, 0.7).groups().withColumnRenamed("id", "point_id")
 
 
+def p6_packed(spark, sf_dir: str) -> DataFrame:
+    """Which document or piece lies in which container, for each capacity."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_sizes"))
+
+
+def p6_fill(spark, sf_dir: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    return packing.fill(p6_packed(spark, sf_dir), table(spark, sf_dir, "pack_sizes"))
+
+
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """Documents with twelve or more consecutive words of an evaluation item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -54,6 +64,17 @@ def p7_clean(spark, sf_dir: str) -> DataFrame:
     return leakage.without_leaks(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), table(spark, sf_dir, "eval_items")).select("doc_id", "source")
 
 
+def p8_found(spark, sf_dir: str) -> DataFrame:
+    """The subjects of each document."""
+    found = subjects.document_subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects"))
+    return found.select("doc_id", "subject")
+
+
+def p8_composition(spark, sf_dir: str) -> DataFrame:
+    """Documents by source and subject."""
+    return subjects.composition(p8_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 _P7 = r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
@@ -81,7 +102,7 @@ WHERE s.shared >= 0.7 * (x.n + y.n - s.shared) - 1e-9
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p5_groups, p7_found, p7_passages, p7_clean)}
+    return {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p5_groups, p6_packed, p6_fill, p7_found, p7_passages, p7_clean, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
