@@ -9,75 +9,86 @@ with the matrix, its overlap with each group is bounded, and only qualifying gro
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.words import Hasher, mix
 from foliomill.session import materialize
 
-#: A word is common if at least one text in so many holds it; at most COMMON x (words of a mean text) words are common,
-#: so the table of them that is sent to the tasks is bounded whatever the number of texts.
-COMMON = 1000
-#: Members of a group; larger ones are split.
-GROUP_SIZE = 64
+#: Counters of the frequency sketch: a fixed size (one byte each when sent to the tasks), whatever the number of texts.
+SKETCH_BITS, SKETCH_BLOCKS = 24, 64
 #: Classes that share a leading shingle beyond which the shingle's rows are salted.
 HOT_TOKEN = 20_000
+HOT_CLASS = 1 + int(4 * math.log2(HOT_TOKEN))
 SALTS = 32
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hasher = Hasher()
-    for batch in batches:
-        words, counts = hasher(batch["text"].tolist())
-        if len(words):
-            doc = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
-            pairs = np.unique(np.stack([words, doc], axis=1), axis=0) if len(words) < 2000 else _distinct(words, doc)
-            w, n = np.unique(pairs[:, 0], return_counts=True)
-            yield pd.DataFrame({"word": w.view(np.int64), "n": n})
-
-
-def _distinct(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    order = np.lexsort((words, doc))
-    w, d = words[order], doc[order]
-    keep = np.ones(len(w), dtype=bool)
-    keep[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-    return np.stack([w[keep], d[keep]], axis=1)
-
-
 class Shingler:
-    """Shingle sets of whole batches, each set in the global order: rarest words first, then by hash."""
+    """Shingle sets of whole batches; with a sketch each set is in the global order: rarest first, then by hash."""
 
-    def __init__(self, width: int, common: np.ndarray, cost: np.ndarray) -> None:
-        order = np.argsort(common)
-        self.width, self.common, self.cost = width, common[order], cost[order]
-        self.hasher = Hasher()
+    def __init__(self, width: int, sketch: np.ndarray | None = None) -> None:
+        self.width, self.sketch, self.hasher = width, sketch, Hasher()
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Shingles (as 64-bit numbers) of all texts, their text's row, and the number of shingles of each text."""
+    def bag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int]:
+        """All shingles of all texts as 64-bit numbers with their text's row, repeated ones too, and the number of texts."""
         words, counts = self.hasher(texts)
         row = np.repeat(np.arange(len(counts)), counts)
         n = len(words) - self.width + 1
-        sizes = np.zeros(len(counts), dtype=np.int64)
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), sizes
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), len(counts)
         whole = row[:n] == row[self.width - 1 :]
-        shingle = mix(*[words[i : n + i] for i in range(self.width)])[whole]
-        weight = np.zeros(len(words), dtype=np.int64)
-        if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, words), len(self.common) - 1)
-            weight = np.where(self.common[at] == words, self.cost[at], 0)
-        total = sum(weight[i : n + i] for i in range(self.width))[whole]
-        doc = row[:n][whole]
-        order = np.lexsort((shingle, total, doc))
-        shingle, doc = shingle[order], doc[order]
+        return mix(*[words[i : n + i] for i in range(self.width)])[whole], row[:n][whole], len(counts)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct shingles of all texts in order, their frequency classes, and the number of shingles of each text."""
+        shingle, doc, n = self.bag(texts)
+        often = np.zeros(len(shingle), np.uint8) if self.sketch is None else self.sketch[_bucket(shingle)]
+        order = np.lexsort((shingle, (doc << 8) | often))
+        shingle, doc, often = shingle[order], doc[order], often[order]
         keep = np.ones(len(shingle), dtype=bool)
         keep[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])
-        shingle, doc = shingle[keep], doc[keep]
-        return shingle, doc, np.bincount(doc, minlength=len(counts))
+        return shingle[keep], often[keep], np.bincount(doc[keep], minlength=n)
+
+
+def _bucket(shingle: np.ndarray) -> np.ndarray:
+    return (shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _count(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """One task's counters, in compressed blocks."""
+    shingler, total = Shingler(width), np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    for batch in batches:
+        total += np.bincount(_bucket(shingler.bag(batch["text"].tolist())[0]), minlength=len(total)).astype(np.uint32)
+    if total.any():
+        for i, part in enumerate(np.split(total, SKETCH_BLOCKS)):
+            yield pd.DataFrame({"block": [i], "counts": [zlib.compress(part.tobytes(), 1)]})
+
+
+def _add(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sum of one block over all tasks, as frequency classes: 1 for a single text, then four classes to each doubling."""
+    total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, dtype=np.uint64)
+    for c in rows["counts"]:
+        total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
+    level = np.where(total == 0, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(total, 1)) + 1e-9))).astype(np.uint8)
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [zlib.compress(level.tobytes(), 1)]})
+
+
+def _frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
+    """How many texts hold each shingle, as a class of a counter that it shares with few others (never too small)."""
+    blocks = (
+        texts.select("text").mapInPandas(lambda b: _count(b, width), "block int, counts binary")
+        .groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
+    )
+    sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.uint8)
+    for r in blocks:
+        sketch[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
+    return sketch.ravel()
 
 
 def _probe(size: np.ndarray, t: float) -> np.ndarray:
@@ -85,34 +96,144 @@ def _probe(size: np.ndarray, t: float) -> np.ndarray:
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
-def _heads(batches: Iterator[pd.DataFrame], shingler: Shingler, t: float) -> Iterator[pd.DataFrame]:
-    """Per text: class signature, size, group seed (minimum hash of the leading shingles) and the leading shingles in order."""
+def _signature(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit number of each set, whatever the order of its shingles."""
+    with np.errstate(over="ignore"):
+        mixed = mix(tokens, np.full(len(tokens), 7, np.uint64))
+        return (np.add.reduceat(mixed, np.cumsum(size) - size) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
+def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float) -> Iterator[pa.RecordBatch]:
+    """Per text: class signature, size, group seed (minimum hash of the leading shingles), leading shingles and their places.
+
+    A shingle whose counter is 1 stands nowhere else and can't lead to a partner, so it isn't laid out.
+    """
     for batch in batches:
-        tokens, doc, sizes = shingler(batch["text"].tolist())
+        tokens, often, sizes = shingler(batch.column(1).to_pylist())
         rows = np.flatnonzero(sizes)
         if not len(rows):
             continue
         size = sizes[rows]
         start = np.cumsum(size) - size
-        with np.errstate(over="ignore"):
-            mixed = mix(tokens, np.full(len(tokens), 7, np.uint64))
-            sig = np.add.reduceat(mixed, start) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sig = _signature(tokens, size)
         place = np.arange(len(tokens)) - np.repeat(start, size)
-        lead = place < np.repeat(_probe(size, t), size)
-        seed = np.minimum.reduceat(np.where(lead, mix(tokens, np.full(len(tokens), 11, np.uint64)), np.uint64(2**64 - 1)), start)
-        cut = np.cumsum(_probe(size, t))[:-1]
-        yield pd.DataFrame(
-            {
-                "id": batch["id"].to_numpy()[rows], "sig": sig.view(np.int64), "size": size.astype(np.int32), "seed": seed.view(np.int64),
-                "lead": [x for x in np.split(tokens[lead].view(np.int64), cut)],
-            }
-        )
+        lead = (place < np.repeat(_probe(size, t), size)) & (often > 1)
+        seed = np.minimum.reduceat(np.where(lead, mix(tokens, np.full(len(tokens), 11, np.uint64)), np.uint64(2**64 - 1)), start).view(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(lead.astype(np.int64), start))]).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (tokens[lead].view(np.int64), place[lead].astype(np.int32), often[lead] >= HOT_CLASS)]
+        bits = [pa.array(v) for v in _bitmap(tokens, np.repeat(np.arange(len(rows)), size), len(rows))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sig), pa.array(size.astype(np.int32)), pa.array(seed), *lists, *bits], names=_HEAD)
+
+
+_HEAD = ["id", "sig", "size", "seed", "lead", "place", "hot", "b0", "b1", "b2", "b3"]
+
+
+def _bitmap(tokens: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
+    """256 bits of each set: every shingle sets one; sets differ in at least as many shingles as their bits differ."""
+    bits = np.zeros((n, 256), dtype=np.uint8)
+    bits[row, (tokens & np.uint64(255)).astype(np.int64)] = 1
+    return list(np.packbits(bits, axis=1).view(np.int64).T.copy())
 
 
 def _sets(batches: Iterator[pd.DataFrame], shingler: Shingler) -> Iterator[pd.DataFrame]:
+    """The whole sets of wanted classes (of ids with several texts only the wanted one)."""
     for batch in batches:
         tokens, _, sizes = shingler(batch["text"].tolist())
-        yield pd.DataFrame({"sig": batch["sig"], "tokens": np.split(tokens.view(np.int64), np.cumsum(sizes)[:-1])})
+        rows = np.flatnonzero(sizes)
+        if not len(rows):
+            continue
+        sig = _signature(tokens, sizes[rows])
+        parts = np.split(tokens.view(np.int64), np.cumsum(sizes[rows])[:-1])
+        right = sig == batch["sig"].to_numpy()[rows]
+        yield pd.DataFrame({"sig": sig[right], "tokens": [p for p, ok in zip(parts, right, strict=True) if ok]})
+
+
+#: Query-group and query-member pairs that are held at once.
+PAIRS_AT_ONCE = 2_000_000
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``counts`` its index, repeated so often, and the position within the repetition."""
+    at = np.repeat(np.arange(len(counts)), counts)
+    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _open_groups(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Rows of the token-group matrix, sorted by shingle and group: bound every query of a shingle against the groups
+    that hold it, open the qualifying groups and give the pairs that their places in the order still allow."""
+    columns = ["token", "sig", "seed", "at", "cell"]
+    carry: list[np.ndarray] | None = None
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, sig, seed, packed, cell = rows
+        fresh = np.ones(len(token), dtype=bool)  # a class counts once, however many texts have it
+        fresh[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (seed[1:] != seed[:-1]) | (sig[1:] != sig[:-1])
+        token, sig, seed, packed, cell = (v[fresh] for v in (token, sig, seed, packed, cell))
+        size, place = packed >> 32, packed & 0xFFFFFFFF
+        salt = np.mod(sig, SALTS)
+        asks = (cell < 0) | (cell // SALTS == salt)
+        holds = ((cell < 0) | (np.mod(cell, SALTS) == salt)) & (place < size - np.ceil(2 * t / (1 + t) * size - 1e-9) + 1)
+        new_run = np.ones(len(token), dtype=bool)
+        new_run[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+        run = np.cumsum(new_run) - 1
+        member = np.flatnonzero(holds)
+        if not len(member):
+            return
+        new_group = np.ones(len(member), dtype=bool)
+        new_group[1:] = (run[member][1:] != run[member][:-1]) | (seed[member][1:] != seed[member][:-1])
+        first = np.flatnonzero(new_group)
+        width = np.diff(np.append(first, len(member)))
+        least = np.minimum.reduceat(size[member], first)
+        most = np.maximum.reduceat(size[member], first)
+        rest = np.maximum.reduceat((size - place - 1)[member], first)
+        group_run = run[member][first]
+        low = np.searchsorted(group_run, np.arange(run[-1] + 2))
+        query = np.flatnonzero(asks)
+        many = (low[run[query] + 1] - low[run[query]]).astype(np.int64)
+        query, many = query[many > 0], many[many > 0]
+        edge = np.cumsum(many)
+        begin = 0
+        while begin < len(query):
+            end = max(begin + 1, int(np.searchsorted(edge, (edge[begin - 1] if begin else 0) + PAIRS_AT_ONCE, side="right")))
+            at, off = _spread(many[begin:end])
+            i = query[begin:end][at]
+            g = low[run[i]] + off
+            q = size[i]
+            need = np.ceil(t / (1 + t) * (q + np.maximum(least[g], np.ceil(t * q - 1e-9))) - 1e-9)
+            ok = (least[g] <= q) & (most[g] >= t * q - 1e-9) & (1 + np.minimum(q - place[i] - 1, rest[g]) >= need)
+            i, g = i[ok], g[ok]
+            ends = np.cumsum(width[g])
+            low_pair = 0
+            while low_pair < len(g):
+                high = max(low_pair + 1, int(np.searchsorted(ends, (ends[low_pair - 1] if low_pair else 0) + PAIRS_AT_ONCE, side="right")))
+                k, off = _spread(width[g[low_pair:high]])
+                a, b = i[low_pair:high][k], member[first[g[low_pair:high]][k] + off]
+                # a pair is compared once, by its longer class (of equal ones by that with the greater signature)
+                ok = ((size[a] > size[b]) | ((size[a] == size[b]) & (sig[a] > sig[b]))) & (size[b] >= t * size[a] - 1e-9)
+                ok &= 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= t / (1 + t) * (size[a] + size[b]) - 1e-9
+                a, b = a[ok], b[ok]
+                if len(a):
+                    ints = [size[a], size[b], place[a], place[b]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sig[a]), pa.array(sig[b]), *[pa.array(v.astype(np.int32)) for v in ints]], names=["sig", "other", "q", "s", "place", "at"]
+                    )
+                low_pair = high
+            begin = end
+
+    for batch in batches:
+        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(rows[0]):
+            continue
+        if carry is not None:
+            rows = [np.concatenate([c, r]) for c, r in zip(carry, rows, strict=True)]
+        # the last run may go on in the next batch
+        last = (rows[0] == rows[0][-1]) & (rows[4] == rows[4][-1])
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+        carry = [r[cut:] for r in rows]
+        if cut:
+            yield from pairs([r[:cut] for r in rows])
+    if carry is not None:
+        yield from pairs(carry)
 
 
 class Similar:
@@ -128,69 +249,43 @@ class Similar:
             raise ValueError("threshold must be in (0, 1]")
         spark, t = texts.sparkSession, threshold
         base = texts.select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-        n = base.count()
-        common = (
-            base.select("text").mapInPandas(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= max(2, n // COMMON)).toPandas()
-        )
-        words = common["word"].to_numpy(dtype=np.int64).view(np.uint64)
-        cost = np.log2(common["n"].to_numpy(dtype=np.float64) / max(1, n // COMMON) + 1)
-        sent = spark.sparkContext.broadcast((words, np.ceil(16 * cost).astype(np.int64)))
+        sent = spark.sparkContext.broadcast(_frequency_sketch(base, width))
         heads = materialize(
-            base.mapInPandas(lambda b: _heads(b, Shingler(width, *sent.value), t), "id long, sig long, size int, seed long, lead array<long>"), "heads"
+            base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t), "id long, sig long, size int, seed long, lead array<long>, place array<int>, hot array<boolean>, b0 long, b1 long, b2 long, b3 long"), "heads"
         )
         self.members = heads.select("id", "sig").distinct()
-        # one row per class; a seed shared by many classes is split into groups of bounded size
-        classes = heads.groupBy("sig").agg(F.first("size").alias("size"), F.first("seed").alias("seed"), F.min("id").alias("rep"))
-        many = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("k"))
-        classes = materialize(
-            classes.join(many, "seed").select(
-                "sig", "size", "rep", "k", F.xxhash64("seed", F.pmod("sig", F.ceil(F.col("k") / GROUP_SIZE).cast("long"))).alias("grp")
-            ), "classes",
+        # one row per leading shingle; those of a hot shingle go to a grid of SALTS x SALTS cells, as query along one row, as member along one column
+        own, every = F.pmod("sig", F.lit(SALTS)), F.sequence(F.lit(0), F.lit(SALTS - 1))
+        grid = F.array_distinct(F.concat(F.transform(every, lambda i: own * SALTS + i), F.transform(every, lambda i: i * SALTS + own)))
+        lead = heads.select("sig", "seed", "size", F.explode(F.arrays_zip("lead", "place", "hot")).alias("x")).select(
+            F.col("x.lead").alias("token"), "sig", "seed", F.expr("shiftleft(CAST(size AS bigint), 32) + x.place").alias("at"),
+            F.when(F.col("x.hot"), grid).otherwise(F.array(F.lit(-1).cast("bigint"))).alias("cells"),
         )
-        # the rows of classes with several texts are equal; only the text of the smallest id is laid out
-        lead = (
-            heads.join(classes.select(F.col("sig"), F.col("rep").alias("id"), "grp"), ["sig", "id"])
-            .select("sig", "grp", "size", F.posexplode("lead").alias("place", "token"))
-            .repartition("token")
-        )
-        index_share = 2 * t / (1 + t)
-        matrix = (
-            lead.where(F.col("place") < F.col("size") - F.ceil(F.lit(index_share) * F.col("size") - 1e-9) + 1)
-            .groupBy("token", F.col("grp").alias("opened"))
-            .agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("place") - 1).alias("rest"))
-        )
-        hot = lead.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_TOKEN).select("token")
-        hot_tokens = materialize(hot, "hot")
-        query = lead.select("token", "sig", "grp", F.col("size").alias("q"), "place")
-        if hot_tokens.isEmpty():
-            met = query.join(matrix, "token")
+        if (sent.value >= HOT_CLASS).any():
+            lead = lead.select("token", "sig", "seed", "at", F.explode("cells").alias("cell"))
         else:
-            salt = F.pmod("sig", F.lit(SALTS))
-            spread = matrix.join(hot_tokens, "token", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            met = query.join(hot_tokens, "token", "left_anti").join(matrix, "token").unionByName(
-                query.join(hot_tokens, "token", "left_semi").withColumn("salt", salt.cast("int")).join(spread, ["token", "salt"]).drop("salt")
-            )
-        # bound: the shared shingle plus what can still be shared after it, against what the smallest member would need
-        reach = 1 + F.least(F.col("q") - F.col("place") - 1, F.col("rest"))
-        need = F.ceil(F.lit(t / (1 + t)) * (F.col("q") + F.greatest(F.col("least"), F.ceil(F.lit(t) * F.col("q") - 1e-9))) - 1e-9)
-        foreign = (
-            met.where((F.col("grp") != F.col("opened")) & (F.col("least") <= F.col("q")) & (F.col("most") >= F.lit(t) * F.col("q") - 1e-9) & (reach >= need))
-            .select("sig", "q", "opened").distinct()
+            lead = lead.select("token", "sig", "seed", "at", F.lit(-1).cast("bigint").alias("cell"))
+        met = (
+            lead.repartition("token", "cell").sortWithinPartitions("token", "cell", "seed", "sig")
+            .mapInArrow(lambda b: _open_groups(b, t), "sig long, other long, q int, s int, place int, at int")
         )
-        own = classes.where("k > 1").select("sig", F.col("size").alias("q"), F.col("grp").alias("opened"))
-        inside = classes.select(F.col("sig").alias("other"), F.col("size").alias("s"), F.col("grp").alias("opened"))
-        # a pair is compared once, by its longer class (of equal ones by that with the greater signature)
-        candidates = materialize(
-            foreign.unionByName(own).join(inside, "opened")
-            .where("q > s OR (q = s AND sig > other)").where(F.col("s") >= F.lit(t) * F.col("q") - 1e-9)
-            .select("sig", "other", "q", "s").distinct(), "opened",
+        # with all leading shingles of a pair known, the bound is drawn once more
+        most = F.col("m") + F.least(F.col("q") - F.col("place") - 1, F.col("s") - F.col("at") - 1)
+        reached = (
+            met.groupBy("sig", "other", "q", "s").agg(F.count(F.lit(1)).alias("m"), F.max("place").alias("place"), F.max("at").alias("at"))
+            .where(most >= F.lit(t / (1 + t)) * (F.col("q") + F.col("s")) - 1e-9).select("sig", "other", "q", "s")
         )
-        wanted = candidates.select("sig").union(candidates.select("other")).distinct().join(classes.select("sig", F.col("rep").alias("id")), "sig")
-        sets = materialize(
-            base.join(wanted, "id").select("sig", "text").mapInPandas(lambda b: _sets(b, Shingler(width, *sent.value)), "sig long, tokens array<long>")
-            .groupBy("sig").agg(F.max("tokens").alias("tokens")), "sets",
+        # the bitmaps of two sets bound their overlap too
+        bits = [f"b{i}" for i in range(4)]
+        maps = heads.select("sig", *bits).dropDuplicates(["sig"])
+        unlike = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"o{b}"))) for b in bits), F.lit(0))
+        candidates = materialize(
+            reached.join(maps, "sig").join(maps.select(F.col("sig").alias("other"), *[F.col(b).alias(f"o{b}") for b in bits]), "other")
+            .where((F.col("q") + F.col("s") - unlike) / 2 >= F.lit(t / (1 + t)) * (F.col("q") + F.col("s")) - 1e-9).select("sig", "other", "q", "s"), "opened",
         )
+        wanted = candidates.select("sig").union(candidates.select("other")).distinct()
+        places = heads.select("id", "sig").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
+        sets = materialize(base.join(places, "id").select("sig", "text").mapInPandas(lambda b: _sets(b, Shingler(width)), "sig long, tokens array<long>"), "sets")
         shared = F.size(F.array_intersect("a", "b"))
         self.pairs = (
             candidates.join(sets.select("sig", F.col("tokens").alias("a")), "sig")
@@ -198,7 +293,7 @@ class Similar:
             .withColumn("shared", shared)
             .withColumn("similarity", F.col("shared") / (F.col("q") + F.col("s") - F.col("shared")))
             .where(F.col("similarity") >= F.lit(t) - 1e-12)
-            .select(F.least("sig", "other").alias("sig_a"), F.greatest("sig", "other").alias("sig_b"), "similarity")
+            .select(F.least("sig", "other").alias("sig_a"), F.greatest("sig", "other").alias("sig_b"), "similarity").distinct()
         )
 
     def point_pairs(self) -> DataFrame:
