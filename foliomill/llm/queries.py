@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm import leakage, near_dup, packing, subjects, vectors
+from foliomill.llm import leakage, near_dup, packing, scans, subjects, vectors
 from foliomill.session import table
 
 
@@ -15,6 +15,28 @@ def _payload_texts(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "payloads").select(F.col("point_id").alias("id"), F.col("chunk_text").alias("text"))
 
 
+def _scans(spark, sf_dir: str) -> DataFrame:
+    """All records of PDF files (only they can be scans), repaired with the vocabulary of all other payloads."""
+    pdf = F.lower("file_path").endswith(".pdf")
+    points, answers = table(spark, sf_dir, "payloads"), table(spark, sf_dir, "vision_answers")
+    columns = lambda src, i, text, lost: [F.lit(src).alias("src"), F.col(i).alias("rec_id"), "file_path", F.col(text).alias("text"), F.lit(lost).alias("lost_ends")]
+    records = points.where(pdf).select(*columns("payload", "point_id", "chunk_text", False)).unionByName(
+        answers.where(pdf).select(*columns("vision", "vision_id", "answer", True))
+    )
+    clean = points.where(F.coalesce(~pdf, F.lit(True)) & F.col("chunk_text").isNotNull()).select(F.col("chunk_text").alias("text"))
+    return scans.repair_scans(records, clean)
+
+
+def p1_found(spark, sf_dir: str) -> DataFrame:
+    """Broken and misread words, running headers and page numbers of all records of PDF files."""
+    return scans.repairs(_scans(spark, sf_dir))
+
+
+def p1_text(spark, sf_dir: str) -> DataFrame:
+    """The readable text of every record of a PDF file."""
+    return _scans(spark, sf_dir).select("src", "rec_id", "text")
+
+
 def _vectors(spark, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "ai_results").where("op = 'embed'").select("result_id", "embedding")
 
@@ -102,7 +124,7 @@ WHERE s.shared >= 0.7 * (x.n + y.n - s.shared) - 1e-9
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (p2_found, p2_neighbours, p5_found, p5_groups, p6_packed, p6_fill, p7_found, p7_passages, p7_clean, p8_found, p8_composition)}
+    return {f.__name__: f for f in (p1_found, p1_text, p2_found, p2_neighbours, p5_found, p5_groups, p6_packed, p6_fill, p7_found, p7_passages, p7_clean, p8_found, p8_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
