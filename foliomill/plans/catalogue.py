@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from foliomill.plans import changes
+from foliomill.plans import changes, points, results, texts
 
-_MODULES = (changes,)
+_MODULES = (changes, texts, points, results)
 
 
 def queries() -> dict[str, Callable]:
