@@ -40,7 +40,7 @@ def sentences(text: str | None) -> list[str]:
     """Sentences of a text: they end with ``.``, ``!`` or ``?`` (not behind the number of a day); headings and lines without an end are none."""
     if not text:
         return []
-    text = text.replace("\r\n", "\n").replace("\r", "\n").replace(" ", " ").replace("\t", " ")
+    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u00a0", " ").replace("\t", " ")
     found = []
     for part in _END.split(text):
         part = part.strip().lstrip("-*").strip()
