@@ -47,8 +47,6 @@ QUERIES = {
     "normalized_text": _of(lambda: F.sha2(text.normalize_inline("text"), 256), "digest"),
     "word_counts": _of(lambda: text.word_count("text"), "words"),
     "brief_texts": _of(lambda: text.brief("text"), "brief"),
-    "json_names": r"""SELECT doc_id, CASE WHEN length(t) > 155 THEN t[1:150] || '[...]' ELSE t END || '.json' AS name FROM (
-SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text, '[<>:"/\\|?*]', '_', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), '^[\s\x1c-\x1f\x85\pZ]+|[\s\x1c-\x1f\x85\pZ]+$', '', 'g'), ' ', '_') AS t FROM documents)""".replace("\\\\", "\\"),
     "single_lines": _of(lambda: F.sha2(text.single_line("text"), 256), "digest"),
     "json_names": _of(lambda: text.json_name("text"), "name"),
     "line_offsets": lambda s, d: segment.line_offsets(_lines(s, d)),
@@ -74,6 +72,8 @@ SQL = {
     "word_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\s\x1c-\x1f\x85\pZ]+')) AS INT) AS words FROM documents",
     "brief_texts": r"""SELECT doc_id, CASE WHEN length(t) > 160 THEN t[1:160] || '…' ELSE t END AS brief FROM (
 SELECT doc_id, replace(replace(replace(text, chr(13), '\r'), chr(10), '\n'), chr(9), '\t') AS t FROM documents)""",
+    "json_names": r"""SELECT doc_id, CASE WHEN length(t) > 155 THEN t[1:150] || '[...]' ELSE t END || '.json' AS name FROM (
+SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(text, '[<>:"/\\|?*]', '_', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), '^[\s\x1c-\x1f\x85\pZ]+|[\s\x1c-\x1f\x85\pZ]+$', '', 'g'), ' ', '_') AS t FROM documents)""",
     "single_lines": "SELECT doc_id, sha256(" + _STRIP.format(r"regexp_replace(text, '\r\n|[\n\x0b\f\r\x85\x{2028}\x{2029}]', ' ', 'g')") + ") AS digest FROM documents",
     "line_offsets": _L + "SELECT doc_id, line_no, coalesce(CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start FROM clean",
     "paragraphs": _L + """, flags AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS before FROM clean),
