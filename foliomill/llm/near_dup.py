@@ -103,7 +103,7 @@ def _signature(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (np.add.reduceat(mixed, np.cumsum(size) - size) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
-def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float) -> Iterator[pa.RecordBatch]:
+def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float, hot: int) -> Iterator[pa.RecordBatch]:
     """Per text: class signature, size, group seed (minimum hash of the leading shingles), leading shingles and their places.
 
     A shingle whose counter is 1 stands nowhere else and can't lead to a partner, so it isn't laid out.
@@ -120,7 +120,7 @@ def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float) -> I
         lead = (place < np.repeat(_probe(size, t), size)) & (often > 1)
         seed = np.minimum.reduceat(np.where(lead, mix(tokens, np.full(len(tokens), 11, np.uint64)), np.uint64(2**64 - 1)), start).view(np.int64)
         offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(lead.astype(np.int64), start))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (tokens[lead].view(np.int64), place[lead].astype(np.int32), often[lead] >= HOT_CLASS)]
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (tokens[lead].view(np.int64), place[lead].astype(np.int32), often[lead] >= hot)]
         bits = [pa.array(v) for v in _bitmap(tokens, np.repeat(np.arange(len(rows)), size), len(rows))]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sig), pa.array(size.astype(np.int32)), pa.array(seed), *lists, *bits], names=_HEAD)
 
@@ -239,11 +239,13 @@ def _open_groups(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.Rec
 class Similar:
     """Similar classes of a table of texts: ``members`` (id, sig) and ``pairs`` (sig_a, sig_b, similarity)."""
 
-    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8) -> None:
+    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, hot_class: int = HOT_CLASS) -> None:
         """texts: ``id`` bigint, ``text``; a Jaccard similarity of ``threshold`` or more makes a pair.
 
         Null and empty texts and texts with fewer than ``width`` words have no set and no partner.  Rows repeated with
-        the same id and text count once; one id with several texts belongs to several classes.
+        the same id and text count once; one id with several texts belongs to several classes.  Rows without id are left
+        out, other columns ignored; an empty table has no members.  ``hot_class``: frequency class from which a
+        shingle's rows are dealt to a grid of tasks.
         """
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
@@ -251,7 +253,7 @@ class Similar:
         base = texts.select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
         sent = spark.sparkContext.broadcast(_frequency_sketch(base, width))
         heads = materialize(
-            base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t), "id long, sig long, size int, seed long, lead array<long>, place array<int>, hot array<boolean>, b0 long, b1 long, b2 long, b3 long"), "heads"
+            base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t, hot_class), "id long, sig long, size int, seed long, lead array<long>, place array<int>, hot array<boolean>, b0 long, b1 long, b2 long, b3 long"), "heads"
         )
         self.members = heads.select("id", "sig").distinct()
         # one row per leading shingle; those of a hot shingle go to a grid of SALTS x SALTS cells, as query along one row, as member along one column
@@ -261,7 +263,7 @@ class Similar:
             F.col("x.lead").alias("token"), "sig", "seed", F.expr("shiftleft(CAST(size AS bigint), 32) + x.place").alias("at"),
             F.when(F.col("x.hot"), grid).otherwise(F.array(F.lit(-1).cast("bigint"))).alias("cells"),
         )
-        if (sent.value >= HOT_CLASS).any():
+        if (sent.value >= hot_class).any():
             lead = lead.select("token", "sig", "seed", "at", F.explode("cells").alias("cell"))
         else:
             lead = lead.select("token", "sig", "seed", "at", F.lit(-1).cast("bigint").alias("cell"))

@@ -63,7 +63,8 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame, limit: int = MINED_DO
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [(d, s, sorted(sentence_words(x)), len(all_)) for d, s, t in zip(b["doc_id"], b["subjects"], b["text"], strict=True) for all_ in [sentences(t)] for x in all_]
-            yield pd.DataFrame(out, columns=["doc_id", "subjects", "words", "n"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "subjects", "words", "n"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(given, "doc_id").mapInPandas(split, "doc_id long, subjects array<int>, words array<string>, n int")
 
@@ -205,7 +206,8 @@ def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, s
             for d, t in zip(b["doc_id"], b["text"], strict=True):
                 n, about = score_sentences(rules, t)
                 out += [(d, names[c], k, n) for c, k in about.items() if k >= share * n and c in names]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "about", "sentences"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "subject", "about", "sentences"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInPandas(score, "doc_id long, subject string, about int, sentences int")
     return scored.groupBy("doc_id", "subject").agg(F.max("about").alias("about"), F.max("sentences").alias("sentences"))

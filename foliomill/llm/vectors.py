@@ -248,7 +248,7 @@ def _shard(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out, ignore_index=True)
 
 
-def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 96, copies: int = COPIES) -> DataFrame:
+def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 96, copies: int = COPIES, most_shard: int = MOST_SHARD) -> DataFrame:
     """``id, rank, other, cosine``: for every usable vector of (id, vector) its ``k`` most similar others.
 
     Usable: ``dim`` finite values, not all zero; other rows have no neighbours and are none.  An id counts once (of several
@@ -302,9 +302,9 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: in
 
     routed = searched.mapInArrow(route, "cell long, id long, vec binary")
     # centroids split dense regions; where a shard is still too large (more than MOST_CELLS x MOST_SHARD vectors), it is split by id
-    crowded = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > MOST_SHARD).collect() if copies * total > MOST_SHARD * cells / 4 else []
+    crowded = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most_shard).collect() if copies * total > most_shard * cells / 4 else []
     if crowded:
-        parts = F.create_map(*[F.lit(v) for r in crowded for v in (r["cell"], -(-r["c"] // MOST_SHARD))])
+        parts = F.create_map(*[F.lit(v) for r in crowded for v in (r["cell"], -(-r["c"] // most_shard))])
         n = F.coalesce(parts[F.col("cell")], F.lit(1)).cast("int")
         routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("member", F.pmod(F.xxhash64("id"), n) == F.col("part"))
     else:
