@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,7 +52,7 @@ def split_sentences(body: str) -> list[tuple[int, int]]:
     """
     out, begin = [], 0
     for m in _STOP.finditer(body):
-        token = body[:m.end()].rsplit(" ", 1)[-1]
+        token = body[max(begin, body.rfind(" ", begin, m.start()) + 1) : m.end()]
         if re.fullmatch(r"[^\W\d_]\.", token) or token[:1] in ("#", "`"):
             continue
         out.append((begin, m.end()))
@@ -73,11 +74,12 @@ def sentences(paragraph_rows: DataFrame) -> DataFrame:
                     starts.append(at)
                     at += len(line) + 1
                 joined = body.replace("\n", " ")
-                line_at = lambda o, s=starts: max(i for i, x in enumerate(s) if x <= o)
+                line_at = lambda o, s=starts: bisect_right(s, o) - 1
                 if paragraph > 1:
                     out.append((doc, paragraph, -1, "", 0, 0))
                 out += [(doc, paragraph, k, joined[x:y], first + line_at(x), first + line_at(max(x, y - 1))) for k, (x, y) in enumerate(split_sentences(joined))]
-            yield pd.DataFrame(out, columns=["doc_id", "paragraph", "k", "text", "ref_min", "ref_max"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "paragraph", "k", "text", "ref_min", "ref_max"])
 
     found = paragraph_rows.mapInPandas(cut, "doc_id long, paragraph int, k int, text string, ref_min int, ref_max int")
     w = Window.partitionBy("doc_id").orderBy("paragraph", "k")

@@ -30,8 +30,6 @@ def _merge_range(batches: Iterator[pd.DataFrame], compare: Sequence[str]) -> Ite
         key = ["_g", "_k", "_no"]
         rows = rows[~rows.duplicated(key)]
         rows = rows[rows["_there"].to_numpy(dtype=bool)].reset_index(drop=True)
-        if rows.empty:
-            return pd.DataFrame({"_g": [], "_no": [], "_k": [], "diff": []})
         g, k, no = rows["_g"].to_numpy(), rows["_k"].to_numpy(), rows["_no"].to_numpy()
         meets = np.zeros(len(rows), dtype=bool)  # the row before is the same key in the snapshot before
         meets[1:] = (g[1:] == g[:-1]) & (k[1:] == k[:-1]) & (no[:-1] == rows["_before"].to_numpy()[1:])
@@ -43,11 +41,13 @@ def _merge_range(batches: Iterator[pd.DataFrame], compare: Sequence[str]) -> Ite
             differs |= ~_same(rows[c], prev[c])
         added = ~meets & (rows["_before"].to_numpy() >= 0)
         gone = ~left & (rows["_after"].to_numpy() >= 0)
-        out = [
-            pd.DataFrame({"_g": g[m], "_no": n[m], "_k": k[m], "diff": what})
-            for m, n, what in ((added, no, "added"), (meets & differs, no, "changed"), (gone, rows["_after"].to_numpy(), "removed"))
-        ]
-        return pd.concat(out, ignore_index=True)
+        kinds = ((added, no, "added"), (meets & differs, no, "changed"), (gone, rows["_after"].to_numpy(), "removed"))
+        return pd.DataFrame(
+            {
+                "_g": np.concatenate([g[m] for m, _, _ in kinds]), "_no": np.concatenate([n[m] for m, n, _ in kinds]),
+                "_k": np.concatenate([k[m] for m, _, _ in kinds]), "diff": np.repeat(np.array([w for _, _, w in kinds], dtype=object), [m.sum() for m, _, _ in kinds]),
+            }
+        )
 
     for batch in batches:
         rows = batch if carry is None or carry.empty else pd.concat([carry, batch], ignore_index=True)
@@ -96,7 +96,7 @@ def snapshot_changes(
         base.join(calendar, ["_g", "_no"])
         .repartitionByRange(F.col("_g"), F.col("_k"))
         .sortWithinPartitions("_g", "_k", "_no", F.col("_at").desc_nulls_last(), *[F.col(v).desc_nulls_last() for v in values], F.col("_there").desc())
-        .select("_g", "_k", "_no", "_before", "_after", "_there", *values)
+        .select("_g", "_k", "_no", "_before", "_after", "_there", *[F.col(v).cast("string").alias(v) for v in values])
     )
     types = dict(base.dtypes)
     schema = f"_g {types['_g']}, _no int, _k {types['_k']}, diff string"

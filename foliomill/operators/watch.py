@@ -19,7 +19,7 @@ def glob_regex(pattern: str) -> str:
         elif pattern.startswith("**", i):
             out, i = out + r"(?:(?!\.)[^/]+/)*(?!\.)[^/]+", i + 2
         elif pattern[i] == "*":
-            out, i = out + (r"(?!\.)[^/]*" if out.endswith("/") else "[^/]*"), i + 1
+            out, i = out + (r"(?!\.)[^/]*" if pattern[i - 1] == "/" else "[^/]*"), i + 1
         elif pattern[i] == "?":
             out, i = out + "[^/]", i + 1
         else:
