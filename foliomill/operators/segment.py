@@ -157,13 +157,16 @@ def chunks(sentence_rows: DataFrame, block: int = 100, chunker: Chunker | None =
     """``doc_id, chunk_index, chunks_total, header, chunk_text, ref_min, ref_max`` by the fold above, one document at a time."""
     make = chunker or word_target_chunker()
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sent_idx")
-        found = fold_chunks(list(rows[["text", "ref_min", "ref_max"]].itertuples(index=False, name=None)), block, make)
-        return pd.DataFrame(
-            [(rows["doc_id"].iloc[0], i, len(found), h, f"# {h}\n\n{b}", x, y) for i, (h, b, x, y) in enumerate(found)],
-            columns=["doc_id", "chunk_index", "chunks_total", "header", "chunk_text", "ref_min", "ref_max"],
-        )
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, rows in zip(b["doc_id"], b["rows"], strict=True):
+                found = fold_chunks([(r["text"], r["ref_min"], r["ref_max"]) for r in rows], block, make)
+                out += [(doc, i, len(found), h, f"# {h}\n\n{t}", x, y) for i, (h, t, x, y) in enumerate(found)]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "chunks_total", "header", "chunk_text", "ref_min", "ref_max"])
 
     schema = "doc_id long, chunk_index int, chunks_total int, header string, chunk_text string, ref_min int, ref_max int"
-    return sentence_rows.groupBy("doc_id").applyInPandas(fold, schema)
+    # the fold is sequential within a document, so a document's sentences travel as one row, as its text did
+    whole = sentence_rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("sent_idx", "text", "ref_min", "ref_max"))).alias("rows"))
+    return whole.mapInPandas(fold, schema)
