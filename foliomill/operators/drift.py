@@ -195,19 +195,26 @@ def unified_points(raw: DataFrame) -> DataFrame:
     """
     lines = parse_lines(raw)
     steps = migration_steps(raw).where("change = 'route'")
-    routes = steps.groupBy("feed", "file_no").agg(F.map_from_entries(F.collect_list(F.struct("field", "detail"))).alias("own"))
+    entries = F.collect_list(F.struct("field", "detail"))
+    routes = steps.groupBy("feed", "file_no").agg(
+        F.map_from_entries(entries).alias("own"), F.map_from_entries(F.collect_list(F.struct("detail", "field"))).alias("name")
+    )
     order = Window.partitionBy("feed").orderBy("file_no")
-    routes = routes.withColumn("prior", F.coalesce(F.lag("own").over(order), F.expr("map()")))
+    routes = routes.withColumns({f"prior_{c}": F.coalesce(F.lag(c).over(order), F.expr("CAST(map() AS map<string, string>)")) for c in ("own", "name")})
     fields = ("file_path", "file_mtime", "chunk_index", "chunks_total", "chunk_text", "version", "page_range", "line_range")
     known = ", ".join(f"'{f}'" for f in fields)
+    some = lambda x: f"IF(is_variant_null({x}), NULL, {x})"
+    pick = lambda f: f"coalesce({', '.join(some(f'vm[{n}]') for n in (f"name['{f}']", f"prior_name['{f}']", f"'{f}'"))})"
+    # of the fields beyond the payload schema, by their first names, each once
+    more = (
+        "filter(transform(map_entries(vm), x -> named_struct('key', coalesce(own[x.key], prior_own[x.key], x.key), 'value', x.value)), "
+        f"x -> x.key NOT IN ({known}) AND NOT is_variant_null(x.value))"
+    )
     laid = (
         lines.join(routes, ["feed", "file_no"], "left")
-        .selectExpr("feed", "file_no", "line_no", "map_entries(CAST(v AS map<string, variant>)) AS e", "own", "prior")
-        .selectExpr(
-            "feed", "file_no", "line_no",
-            "aggregate(e, CAST(map() AS map<string, variant>), (acc, x) -> IF(is_variant_null(x.value) OR map_contains_key(acc, coalesce(own[x.key], prior[x.key], x.key)), acc, "
-            "map_concat(acc, map(coalesce(own[x.key], prior[x.key], x.key), x.value)))) AS m",
-        )
+        .selectExpr("feed", "file_no", "line_no", "CAST(v AS map<string, variant>) AS vm", "own", "prior_own", "name", "prior_name")
+        .selectExpr("feed", "file_no", "line_no", "map(" + ", ".join(f"'{f}', {pick(f)}" for f in fields) + ") AS m", f"{more} AS more")
+        .selectExpr("feed", "file_no", "line_no", "m", "map_from_entries(filter(more, (x, i) -> array_position(transform(more, y -> y.key), x.key) = i + 1)) AS more")
     )
     iso = "unix_micros(try_to_timestamp(CAST(m['file_mtime'] AS string))) / 1e6"
     version = (
@@ -219,5 +226,5 @@ def unified_points(raw: DataFrame) -> DataFrame:
         f"coalesce(try_cast(CAST(m['file_mtime'] AS string) AS double), {iso}) AS file_mtime",
         "try_cast(CAST(m['chunk_index'] AS string) AS int) AS chunk_index", "try_cast(CAST(m['chunks_total'] AS string) AS int) AS chunks_total",
         "CAST(m['chunk_text'] AS string) AS chunk_text", f"{version} AS version", _range("page_range"), _range("line_range"),
-        f"to_json(map_filter(m, (k, x) -> k NOT IN ({known}))) AS extra",
+        "to_json(more) AS extra",
     )
