@@ -1,9 +1,13 @@
 """Most similar vectors for every vector (problem 2): a small-world graph per shard, shard results merged.
 
-Vectors are routed to the shards of their nearest centroids (fitted on a bounded sample), so that close vectors meet in
-at least one shard whatever the size of the collection.  Each shard becomes a hierarchical navigable small-world graph
-held in flat neighbour arrays; its members are inserted in batches, each by a beam search through the layers, and then
-searched once more in the finished graph.  The candidates of all shards of a vector are merged to its k best.
+Vectors are routed to the shards of their nearest centroids (fitted on a bounded sample).  Each shard becomes a
+hierarchical navigable small-world graph held in flat neighbour arrays; its members are inserted in batches, each by a
+beam search through the layers, and then searched once more in the finished graph.  The candidates of all shards of a
+vector are merged to its k best.
+
+Centroids cut a dense topic into many cells, and neighbours in it would mostly meet in none.  So the true neighbours of
+some probes are looked up in the whole collection, and cells between which they get lost become one region again.  Its
+members are dealt by id into parts that every member searches, by scanning: a narrow beam misses most in such a topic.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ SAMPLE_ROWS = 40_000
 SHARD_ROWS, MOST_CELLS = 1_400, 4_096
 #: Shards that a vector goes to, and members beyond which a shard is split (then its vectors are searched in every part).
 COPIES, MOST_SHARD = 2, 24_000
+#: Vectors whose true neighbours are looked up, and the share of them (and least number) that may get lost between two groups of cells.
+PROBES, LOST_SHARE, LOST_LEAST = 2_048, 0.05, 4
 #: Graph: neighbours per node in the lowest layer, links that a new node makes, neighbours above, width of the beam when inserting and when searching.
 WIDE, LINKS, NARROW, EF_INSERT, EF_SEARCH = 32, 12, 12, 12, 8
 
@@ -222,32 +228,138 @@ def _fit(sample: np.ndarray, cells: int, rounds: int = 4) -> np.ndarray:
     return centre.astype(np.float32)
 
 
+def _best(s: np.ndarray, keep: int) -> np.ndarray:
+    """Columns of the ``keep`` greatest values of each row, in any order: they lie in the strided chunks with the greatest maxima."""
+    keep, width = min(keep, s.shape[1]), s.shape[1] // 32
+    if width <= keep:
+        return np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+    body = width * 32
+    chunks = np.argpartition(-s[:, :body].reshape(len(s), 32, width).max(axis=1), keep - 1, axis=1)[:, :keep]
+    columns = (chunks[:, None, :] + width * np.arange(32)[None, :, None]).reshape(len(s), -1)
+    columns = np.concatenate([columns, np.broadcast_to(np.arange(body, s.shape[1]), (len(s), s.shape[1] - body))], axis=1)
+    return np.take_along_axis(columns, np.argpartition(-np.take_along_axis(s, columns, 1), keep - 1, axis=1)[:, :keep], 1)
+
+
+def _tree(centre: np.ndarray) -> list[tuple[int, int]]:
+    """Average linkage of the centroids by cosine: the two nodes of each merge (leaves first, then merges in their order)."""
+    n = len(centre)
+    s = centre.astype(np.float32) @ centre.T.astype(np.float32)
+    np.fill_diagonal(s, -np.inf)
+    size, node, top, merges = np.ones(n), np.arange(n), s.max(axis=1, initial=-np.inf), []
+    for m in range(n - 1):
+        i = int(top.argmax())
+        j = int(s[i].argmax())
+        merges.append((int(node[i]), int(node[j])))
+        old = np.flatnonzero((s[:, i] == top) | (s[:, j] == top))
+        row = (size[i] * s[i] + size[j] * s[j]) / (size[i] + size[j])
+        row[[i, j]] = -np.inf
+        s[i], s[:, i], s[j], s[:, j] = row, row, -np.inf, -np.inf
+        size[i], node[i] = size[i] + size[j], n + m
+        top = np.maximum(top, row)
+        for r in {i, j, *old.tolist()}:
+            top[r] = s[r].max()
+    return merges
+
+
+def _regions(centre: np.ndarray, a: np.ndarray, b: np.ndarray, lost: np.ndarray) -> np.ndarray:
+    """The region of each centroid: its own number or, if cells became one dense region, a negative one.
+
+    a, b, lost: of each probe and true neighbour the nearest cells, and whether they meet in no shard.  From the top of
+    the centroids' tree, a node whose halves lose too many neighbours to each other stays whole.
+    """
+    n, merges = len(centre), _tree(centre)
+    leaves = [[i] for i in range(n)]
+    for i, j in merges:
+        leaves.append(leaves[i] + leaves[j])
+    region, todo = np.arange(n), [n + len(merges) - 1] if merges else []
+    pairs = np.bincount(a, minlength=n)
+    while todo:
+        at = todo.pop()
+        if at < n:
+            continue
+        side = np.zeros(n, np.int8)
+        for value, half in zip((1, 2), merges[at - n], strict=True):
+            side[leaves[half]] = value
+        crossing = int((lost & (side[a] * side[b] == 2)).sum())
+        if crossing >= max(LOST_LEAST, 2 * LOST_SHARE * min(pairs[side == 1].sum(), pairs[side == 2].sum())):
+            region[leaves[at]] = -1 - min(leaves[at])
+        else:
+            todo += merges[at - n]
+    return region
+
+
 def _shard(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Build the graph of one shard and give every vector's best candidates in it: id, other, cosine."""
+    """Every asking vector's best candidates among the members of one part of a shard: id, other, cosine.
+
+    Members form a graph; in a part of a dense region (negative cell) they are scanned.
+    """
     rows = rows.sort_values("id").drop_duplicates("id")
     ids, dim = rows["id"].to_numpy(), len(rows["vec"].iloc[0]) // 4
     x = np.frombuffer(b"".join(rows["vec"]), dtype=np.float32).reshape(-1, dim)
-    member = rows["member"].to_numpy(dtype=bool)
-    inside, outside = np.flatnonzero(member), np.flatnonzero(~member)
-    out: list[pd.DataFrame] = []
+    member, asks = rows["member"].to_numpy(dtype=bool), rows["asks"].to_numpy(dtype=bool)
+    inside, dense = np.flatnonzero(member), rows["cell"].iloc[0] < 0
+    out = [pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "cosine": np.zeros(0)})]
     if not len(inside):
-        return pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "cosine": np.zeros(0)})
-    graph = Graph(np.ascontiguousarray(x[inside]))
+        return out[0]
+    base = np.ascontiguousarray(x[inside])
+    graph = None if dense else Graph(base)
     keep = k + 3
-    for which, own in ((inside, True), (outside, False)):
+    for which, own in ((np.flatnonzero(asks & member), True), (np.flatnonzero(asks & ~member), False)):
         for a in range(0, len(which), 512):
             part = which[a : a + 512]
-            found, sims = graph.search(x[part], np.arange(a, a + len(part)) if own else None, max(EF_SEARCH, keep))
-            found, sims = found[:, : keep + 1], sims[:, : keep + 1]
+            if graph is None:
+                s = x[part] @ base.T
+                found = _best(s, keep + 1)
+                sims = np.take_along_axis(s, found, 1)
+            else:
+                found, sims = graph.search(x[part], np.searchsorted(inside, part) if own else None, max(EF_SEARCH, keep))
+                found, sims = found[:, : keep + 1], sims[:, : keep + 1]
             ok = (found >= 0) & (sims > -np.inf)
             node = inside[np.maximum(found, 0)]
             ok &= node != part[:, None]
             exact = np.matmul(x[node].astype(np.float64), x[part].astype(np.float64)[:, :, None])[:, :, 0]
             r, c = np.nonzero(ok)
-            out.append(pd.DataFrame({"id": ids[part[r]], "other": ids[node[r, c]], "cosine": exact[r, c]}))
+            one, other = ids[part[r]], ids[node[r, c]]
+            out.append(pd.DataFrame({"id": one, "other": other, "cosine": exact[r, c]}))
+            if not own and graph is not None:  # a visitor is no member here, so the member couldn't find it
+                out.append(pd.DataFrame({"id": other, "other": one, "cosine": exact[r, c]}))
     return pd.concat(out, ignore_index=True)
 
 
+def _losses(searched: DataFrame, centre: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, dim: int, copies: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each probe (ids, x) and each of its ``k`` true neighbours: their nearest cells, and whether they meet in no shard."""
+    sent = searched.sparkSession.sparkContext.broadcast((centre, ids, x))
+    p = min(copies, len(centre))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, own, q = sent.value
+        place = {int(i): n for n, i in enumerate(own)}
+        sims, cells = np.full((len(q), k), -np.inf, np.float32), np.full((len(q), k, p), -1, np.int32)
+        for b in batches:
+            at, y = _unit(b, dim)
+            y = y.astype(np.float32)
+            for a in range(0, len(y), 4096):
+                z = y[a : a + 4096]
+                s = q @ z.T
+                for n, i in enumerate(at[a : a + 4096].tolist()):
+                    if i in place:
+                        s[place[i], n] = -np.inf
+                top = _best(s, k)
+                to, back = np.unique(top, return_inverse=True)
+                near = np.argsort(-(z[to] @ c.T), axis=1)[:, :p].astype(np.int32)[back.reshape(top.shape)]
+                sims, cells = np.concatenate([sims, np.take_along_axis(s, top, 1)], axis=1), np.concatenate([cells, near], axis=1)
+                keep = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+                sims, cells = np.take_along_axis(sims, keep, 1), np.take_along_axis(cells, keep[:, :, None], 1)
+        r, n = np.nonzero(sims > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(-sims[r, n]), pa.array(list(cells[r, n]), pa.list_(pa.int32()))], names=["probe", "s", "cells"])
+
+    best = searched.mapInArrow(scan, "probe int, s float, cells array<int>").groupBy("probe").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "cells"))), 1, k).alias("near")).collect()
+    pairs = [(r["probe"], y["cells"]) for r in best for y in r["near"]]
+    probe, theirs = np.array([r for r, _ in pairs], np.int64), np.array([y for _, y in pairs], np.int64).reshape(-1, p)
+    mine = np.argsort(-(x @ centre.T), axis=1)[:, :p][probe]
+    return mine[:, 0], theirs[:, 0], ~(mine[:, :, None] == theirs[:, None, :]).any(axis=(1, 2))
+
+
 def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 96, copies: int = COPIES, most_shard: int = MOST_SHARD) -> DataFrame:
     """``id, rank, other, cosine``: for every usable vector of (id, vector) its ``k`` most similar others.
 
@@ -279,37 +391,53 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: in
         for b in batches:
             ids, x = _unit(b, dim)
             chosen = mix(ids.view(np.uint64)) % np.uint64(every) == 0 if len(ids) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x[chosen].astype(np.float32)], pa.binary())], names=["vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[chosen]), pa.array([v.tobytes() for v in x[chosen].astype(np.float32)], pa.binary())], names=["id", "vec"])
 
     if cells > 1:
-        rows = [r["vec"] for r in searched.mapInArrow(pick, "vec binary").collect()]
-        centre = _fit(np.frombuffer(b"".join(rows), dtype=np.float32).reshape(-1, dim), cells)
+        rows = searched.mapInArrow(pick, "id long, vec binary").collect()
+        sample = np.frombuffer(b"".join(r["vec"] for r in rows), dtype=np.float32).reshape(-1, dim)
+        centre = _fit(sample, cells)
+        chosen = np.random.default_rng(13).permutation(len(rows))[:PROBES]
+        region = _regions(centre, *_losses(searched, centre, np.array([r["id"] for r in rows])[chosen], sample[chosen], k, dim, copies))
     else:
-        centre = np.zeros((1, dim), np.float32)
-    sent = spark.sparkContext.broadcast(centre)
+        centre, region = np.zeros((1, dim), np.float32), np.zeros(1, np.int64)
+    dense = bool((region < 0).any())
+    sent = spark.sparkContext.broadcast((centre, region))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = sent.value
-        p = min(copies, len(c))
+        c, of = sent.value
+        p = min(copies, len(np.unique(of)))
         for b in batches:
             ids, x = _unit(b, dim)
             x = x.astype(np.float32)
             s = x @ c.T
-            top = np.argpartition(-s, p - 1, axis=1)[:, :p] if len(ids) else np.zeros((0, p), int)
-            blob = [v.tobytes() for v in x]
-            for j in range(p):
-                yield pa.RecordBatch.from_arrays([pa.array(top[:, j].astype(np.int64)), pa.array(ids), pa.array(blob, pa.binary())], names=["cell", "id", "vec"])
-
-    routed = searched.mapInArrow(route, "cell long, id long, vec binary")
-    # centroids split dense regions; where a shard is still too large (more than MOST_CELLS x MOST_SHARD vectors), it is split by id
-    crowded = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most_shard).collect() if copies * total > most_shard * cells / 4 else []
+            blob = pa.array([v.tobytes() for v in x], pa.binary())
+            first = None
+            for _ in range(p):
+                cell = of[s.argmax(axis=1)]
+                first = cell if first is None else first
+                # out of a dense region, a vector only visits: thousands of its like would fill the next shard
+                home = (cell == first) | (first >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(ids), blob, pa.array(home)], names=["cell", "id", "vec", "home"])
+                s[of[None, :] == cell[:, None]] = -np.inf
+
+    routed = searched.mapInArrow(route, "cell long, id long, vec binary, home boolean")
+    # a shard that is too large is split by id: its vectors are searched in every part, in blocks that one task can hold
+    crowded = []
+    if dense or copies * total > most_shard * cells / 4:
+        counts = routed.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("m"), F.count(F.lit(1)).alias("c"))
+        crowded = counts.where(F.col("c") > most_shard).collect()
     if crowded:
-        parts = F.create_map(*[F.lit(v) for r in crowded for v in (r["cell"], -(-r["c"] // most_shard))])
-        n = F.coalesce(parts[F.col("cell")], F.lit(1)).cast("int")
-        routed = routed.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("member", F.pmod(F.xxhash64("id"), n) == F.col("part"))
+        share = lambda name, most: F.coalesce(F.create_map(*[F.lit(v) for r in crowded for v in (r["cell"], max(1, -(-r[name] // most)))])[F.col("cell")], F.lit(1)).cast("int")
+        n, blocks = share("m", most_shard), share("c", 4 * most_shard)
+        mine = (F.pmod(F.xxhash64("id"), n), F.pmod(F.xxhash64("id", F.lit(1)), blocks))
+        routed = (
+            routed.withColumn("part", F.explode(F.sequence(F.lit(0), n - 1))).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .withColumn("member", F.col("home") & (F.col("part") == mine[0])).withColumn("asks", F.col("block") == mine[1]).where("member or asks")
+        )
     else:
-        routed = routed.withColumn("part", F.lit(0)).withColumn("member", F.lit(True))
-    found = routed.groupBy("cell", "part").applyInPandas(lambda rows: _shard(rows[["id", "vec", "member"]], k), "id long, other long, cosine double")
+        routed = routed.withColumn("part", F.lit(0)).withColumn("block", F.lit(0)).withColumn("member", F.col("home")).withColumn("asks", F.lit(True))
+    found = routed.groupBy("cell", "part", "block").applyInPandas(lambda rows: _shard(rows[["cell", "id", "vec", "member", "asks"]], k), "id long, other long, cosine double")
     score = F.round("cosine", 6)
     near = (
         found.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct((-score).alias("s"), "other"))), 1, k + 2).alias("near"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from foliomill.llm import vectors
 
@@ -44,6 +45,20 @@ def test_split_shards_lose_nothing(spark):
     assert len(got & {(i, o) for i, v in want.items() for o, _ in v}) / len(got) >= 0.9
 
 
+def test_dense_topic_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 200)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=96) + 0.3 * rng.normal(size=(5000, 96))  # a third of the rows, mean cosine 0.92
+    rest = rng.normal(size=(160, 96))[rng.integers(0, 160, 10000)] + 0.6 * rng.normal(size=(10000, 96))
+    rows = pd.DataFrame({"id": range(1, 15001), "vector": list(np.concatenate([x, rest]).astype(np.float32))})
+    got = {(r.id, r.other) for r in vectors.similar_vectors(spark.createDataFrame(rows).repartition(8), 5, most_shard=3000).where("id <= 5000").collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    want = {(i + 1, int(o) + 1) for i, near in enumerate(np.argpartition(-s, 5, axis=1)[:, :5]) for o in near}
+    assert len(got & want) / len(want) >= 0.95
+
+
 def test_copies_ties_and_bad_rows(spark):
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=96), rng.normal(size=96)
