@@ -59,6 +59,18 @@ def test_dense_topic_stays_whole(spark, monkeypatch):
     assert len(got & want) / len(want) >= 0.95
 
 
+def test_one_crowded_shard_among_many_is_split(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centre = np.eye(20, 96, dtype=np.float32)
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 50)
+    monkeypatch.setattr(vectors, "LOST_SHARE", 1e9)  # no dense regions
+    monkeypatch.setattr(vectors, "_fit", lambda sample, cells: centre)
+    x = centre[np.where(rng.random(1000) < 0.6, 0, rng.integers(0, 20, 1000))] + 0.05 * rng.normal(size=(1000, 96))
+    rows = pd.DataFrame({"id": range(1, 1001), "vector": list(x.astype(np.float32))})
+    plan = vectors.similar_vectors(spark.createDataFrame(rows), 5, most_shard=420)._jdf.queryExecution().toString()
+    assert "explode(sequence(" in plan  # dealt to parts
+
+
 def test_copies_ties_and_bad_rows(spark):
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=96), rng.normal(size=96)
