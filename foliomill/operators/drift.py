@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomill.session import materialize
+from foliomill.session import lookup_side, materialize
 
 #: A file has a field if at least this share of its records hold the key.
 PRESENT_SHARE = 0.2
@@ -34,16 +34,22 @@ CASE WHEN t = 'BIGINT' THEN 'integer'
 """
 
 
+# White space of any kind and the byte order mark, which may stand around a line's object.
+_BLANK = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def parse_lines(raw: DataFrame) -> DataFrame:
     """``feed, file_no, line_no, received_at, v`` of the lines that are whole JSON objects; a line repeated within its file counts once.
 
-    Null, empty, cut off and non-object lines are left out; of repeated lines the one with the smallest line_no stays.
+    White space of any kind around an object is ignored.  Null, empty, cut off and non-object lines are left out; of
+    repeated lines the one with the smallest line_no stays.  The lines are parsed here, once, and written to the shared
+    folder for the readers that follow.
     """
-    clean = raw.select("feed", "file_no", "line_no", "received_at", F.trim("raw").alias("raw")).where(
+    clean = raw.select("feed", "file_no", "line_no", "received_at", F.btrim("raw", F.lit(_BLANK)).alias("raw")).where(
         F.col("raw").startswith("{") & F.col("raw").endswith("}") & F.col("feed").isNotNull() & F.col("file_no").isNotNull()
     )
     once = clean.groupBy("feed", "file_no", "raw").agg(F.min("line_no").alias("line_no"), F.min("received_at").alias("received_at"))
-    return once.select("feed", "file_no", "line_no", "received_at", F.expr("try_parse_json(raw)").alias("v")).where(F.col("v").isNotNull())
+    return materialize(once.select("feed", "file_no", "line_no", "received_at", F.expr("try_parse_json(raw)").alias("v")).where(F.col("v").isNotNull()), "lines")
 
 
 def layouts(lines: DataFrame) -> DataFrame:
@@ -82,16 +88,20 @@ def rename_evidence(lines: DataFrame, layout: DataFrame) -> DataFrame:
     gone = was.join(now, key, "left_anti").withColumnRenamed("field", "old")
     come = now.where("before_no >= 0").join(was, key, "left_anti").withColumnRenamed("field", "new")
     fixed = list(IDENTITY)
-    pairs = gone.where(~F.col("old").isin(fixed)).join(come.where(~F.col("new").isin(fixed)), ["feed", "file_no", "before_no"])
-    values = lines.sparkSession.sql(
-        "SELECT feed, file_no, coalesce(try_variant_get(v, '$.file_path', 'string'), '') AS p, try_variant_get(v, '$.chunk_index', 'string') AS c, key AS field, "
-        "CAST(value AS string) AS val FROM {lines}, LATERAL variant_explode(v) WHERE NOT is_variant_null(value)",
-        lines=lines,
-    ).where("p <> '' AND c IS NOT NULL")
-    left = pairs.join(
-        values.select("feed", F.col("file_no").alias("before_no"), F.col("field").alias("old"), "p", "c", F.col("val").alias("a")), ["feed", "before_no", "old"]
-    )
-    right = values.select("feed", "file_no", F.col("field").alias("new"), "p", "c", F.col("val").alias("b"))
+    pairs = materialize(gone.where(~F.col("old").isin(fixed)).join(come.where(~F.col("new").isin(fixed)), ["feed", "file_no", "before_no"]), "pairs")
+    # only the fields that may have been renamed are laid out, and only those of the files that hold them
+    asked = pairs.select("feed", "file_no", F.col("new").alias("field")).union(pairs.select("feed", F.col("before_no").alias("file_no"), F.col("old").alias("field")))
+    asked = lookup_side(asked.groupBy("feed", "file_no").agg(F.collect_set("field").alias("asked")))
+    held = lines.join(asked, ["feed", "file_no"]).selectExpr(
+        "feed", "file_no", "asked", "CAST(v AS map<string, variant>) AS vm", "try_variant_get(v, '$.file_path', 'string') AS p", "try_variant_get(v, '$.chunk_index', 'string') AS c"
+    ).where("p <> '' AND c IS NOT NULL")
+    values = (
+        held.select("feed", "file_no", "p", "c", "vm", F.explode("asked").alias("field"))
+        .selectExpr("feed", "file_no", "field", "p", "c", "IF(is_variant_null(vm[field]), NULL, CAST(vm[field] AS string)) AS val").where("val IS NOT NULL")
+    )
+    names = lookup_side(pairs)
+    left = values.withColumnsRenamed({"file_no": "before_no", "field": "old", "val": "a"}).join(names, ["feed", "before_no", "old"])
+    right = values.withColumnsRenamed({"field": "new", "val": "b"})
     point = ["feed", "file_no", "old", "new", "p", "c"]
     met = left.join(right, ["feed", "file_no", "new", "p", "c"]).groupBy(*point).agg(F.max(F.col("a") == F.col("b")).alias("eq"))
     return met.groupBy("feed", "file_no", "old", "new").agg(F.count(F.lit(1)).alias("both"), F.count_if("eq").alias("same"))
@@ -149,7 +159,10 @@ _STEPS = ["feed", "file_no", "change", "field", "detail"]
 
 def migration_steps(raw: DataFrame) -> DataFrame:
     """All steps of all feeds, with the rows ``route`` that lead each file's names to the table's names."""
-    lines = parse_lines(raw)
+    return _steps_of(parse_lines(raw))
+
+
+def _steps_of(lines: DataFrame) -> DataFrame:
     layout = materialize(layouts(lines), "layouts")  # small, and read several times
     evidence = materialize(rename_evidence(lines, layout), "renames")
     return (
@@ -178,10 +191,12 @@ def fingerprints(raw: DataFrame) -> DataFrame:
 
 
 def _range(name: str) -> str:
-    """Array of one or two integers out of ``[1, 2]``, ``["1", "2"]``, ``{"from": 1, "to": 2}``, ``"1-2"``; nothing usable gives null."""
+    """Array of one or two integers out of ``[1, 2]``, ``["1", "2"]``, ``{"from": 1, "to": 2}``, ``"1-2"``; what is no 32-bit integer is left out, nothing usable gives null."""
     text = f"CAST(m['{name}'] AS string)"
-    numbers = f"transform(regexp_extract_all({text}, '([0-9]+)', 1), x -> CAST(x AS int))"
-    obj = f"array(CAST(try_variant_get(m['{name}'], '$.from', 'string') AS int), CAST(try_variant_get(m['{name}'], '$.to', 'string') AS int))"
+    numbers = f"transform(regexp_extract_all({text}, '([0-9]+)', 1), x -> try_cast(x AS int))"
+    numbers = f"filter({numbers}, x -> x IS NOT NULL)"
+    obj = f"filter(array(try_cast(try_variant_get(m['{name}'], '$.from', 'string') AS int), try_cast(try_variant_get(m['{name}'], '$.to', 'string') AS int)), x -> x IS NOT NULL)"
+    obj = f"nullif({obj}, CAST(array() AS array<int>))"
     return f"CASE WHEN schema_of_variant(m['{name}']) LIKE 'OBJECT%' THEN {obj} ELSE nullif({numbers}, CAST(array() AS array<int>)) END AS {name}"
 
 
@@ -194,7 +209,7 @@ def unified_points(raw: DataFrame) -> DataFrame:
     Fields beyond the payload schema go to ``extra``, a JSON object by their first name.
     """
     lines = parse_lines(raw)
-    steps = migration_steps(raw).where("change = 'route'")
+    steps = _steps_of(lines).where("change = 'route'")
     entries = F.collect_list(F.struct("field", "detail"))
     routes = steps.groupBy("feed", "file_no").agg(
         F.map_from_entries(entries).alias("own"), F.map_from_entries(F.collect_list(F.struct("detail", "field"))).alias("name")

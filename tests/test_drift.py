@@ -61,3 +61,13 @@ def test_fingerprints_equal_for_equal_layouts(spark):
     files = {1: [point(i, a=1) for i in range(3)], 2: [point(i, a=2) for i in range(3)], 3: [point(i, a="x") for i in range(3)]}
     f = {r.file_no: r.fingerprint for r in drift.fingerprints(feed(spark, files)).collect()}
     assert f[1] == f[2] != f[3]
+
+
+def test_white_space_around_objects_and_bad_ranges(spark):
+    one = lambda i, **more: json.dumps(point(i, **more))
+    files = {
+        1: [one(0) + "\r", "\t" + one(1), "\ufeff\u00a0" + one(2), one(3)[:-1], " \n "],
+        2: [one(0, page_range="12345678901-2", line_range={"from": "a", "to": "b"}), one(1, page_range={"from": "7", "to": "x"}, line_range=["5", "99999999999"])],
+    }
+    rows = {(r.file_no, r.line_no): (r.page_range, r.line_range) for r in drift.unified_points(feed(spark, files)).collect()}
+    assert rows == {(1, 1): (None, None), (1, 2): (None, None), (1, 3): (None, None), (2, 1): ([2], None), (2, 2): ([7], [5])}
