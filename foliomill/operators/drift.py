@@ -8,11 +8,13 @@ its own names to the names of the one consistent table, in which the values are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomill.session import lookup_side, materialize
+from foliomill.session import lookup_side, materialize, tasks
 
 #: A file has a field if at least this share of its records hold the key.
 PRESENT_SHARE = 0.2
@@ -107,21 +109,21 @@ def rename_evidence(lines: DataFrame, layout: DataFrame) -> DataFrame:
     return met.groupBy("feed", "file_no", "old", "new").agg(F.count(F.lit(1)).alias("both"), F.count_if("eq").alias("same"))
 
 
-def _walk_feed(layout: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
+def _walk_feed(feed: str, layout: list, evidence: list) -> list[tuple]:
     """Walk a feed's layouts in order; rows: migration steps, and one ``route`` per file and field (detail = name in the table)."""
     out: list[tuple] = []
-    if layout.empty:
-        return pd.DataFrame(out, columns=_STEPS)
-    feed = layout["feed"].iloc[0]
     same: dict[int, list[tuple]] = {}
-    for no, old, new, both, equal in evidence[["file_no", "old", "new", "both", "same"]].itertuples(index=False):
-        if 2 * equal > both:
-            same.setdefault(no, []).append((-equal / both, -equal, old, new))
+    for e in evidence:
+        if 2 * e["same"] > e["both"]:
+            same.setdefault(e["file_no"], []).append((-e["same"] / e["both"], -e["same"], e["old"], e["new"]))
+    files: dict[int, dict[str, str | None]] = {}
+    for x in layout:
+        files.setdefault(x["file_no"], {})[x["field"]] = x["kind"]
     known: dict[str, str | None] = {}  # last known type of each field name
     route: dict[str, str] = {}  # field name -> name in the consistent table
     before: set[str] | None = None
-    for no, rows in layout.sort_values(["file_no", "field"]).groupby("file_no", sort=True):
-        kinds = {f: (k if isinstance(k, str) else None) for f, k in zip(rows["field"], rows["kind"], strict=True)}
+    for no in sorted(files):
+        kinds = files[no]
         now = set(kinds)
         if before is None:
             route = {f: f for f in now}
@@ -145,13 +147,20 @@ def _walk_feed(layout: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
                 if kinds[f] and known.get(f) and kinds[f] != known[f]:
                     out.append((feed, no, "retyped", f, kinds[f]))
             route = {f: route.get(renamed[f], renamed[f]) if f in renamed else route.get(f, f) for f in now}
-        for f, k in kinds.items():
+        for f, k in sorted(kinds.items()):
             if k:
                 known[f] = k
             known.setdefault(f, None)
             out.append((feed, no, "route", f, route[f]))
         before = now
-    return pd.DataFrame(out, columns=_STEPS)
+    return out
+
+
+def _walk_feeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [x for feed, layout, evidence in zip(b["feed"], b["layout"], b["evidence"], strict=True) for x in _walk_feed(feed, list(layout), [] if evidence is None else list(evidence))]
+        if out:
+            yield pd.DataFrame(out, columns=_STEPS)
 
 
 _STEPS = ["feed", "file_no", "change", "field", "detail"]
@@ -165,9 +174,12 @@ def migration_steps(raw: DataFrame) -> DataFrame:
 def _steps_of(lines: DataFrame) -> DataFrame:
     layout = materialize(layouts(lines), "layouts")  # small, and read several times
     evidence = materialize(rename_evidence(lines, layout), "renames")
+    # a feed's layouts are a row of files x fields, far smaller than its records; the feeds are dealt evenly to the tasks
+    feeds = layout.groupBy("feed").agg(F.collect_list(F.struct("file_no", "field", "kind")).alias("layout"))
+    met = evidence.groupBy("feed").agg(F.collect_list(F.struct("file_no", "old", "new", "both", "same")).alias("evidence"))
     return (
-        layout.groupBy("feed").cogroup(evidence.groupBy("feed"))
-        .applyInPandas(_walk_feed, "feed string, file_no int, change string, field string, detail string")
+        feeds.join(met, "feed", "left").repartition(tasks(lines.sparkSession), "feed")
+        .mapInPandas(_walk_feeds, "feed string, file_no int, change string, field string, detail string")
     )
 
 
