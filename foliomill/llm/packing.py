@@ -108,9 +108,17 @@ def pack(sizes: DataFrame, packs: DataFrame, group_items: int = GROUP_ITEMS) ->
         .withColumn("first_token", F.col("piece_no") * F.col("capacity"))
         .withColumn("n_tokens", F.least(F.col("capacity"), F.col("size") - F.col("first_token")))
     )
-    groups = max(1, -(-sizes.count() // group_items))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit("deal")), F.lit(groups)))
-    return dealt.select("pack_id", "grp", "capacity", "doc_id", "piece_no", "first_token", "n_tokens").groupBy("pack_id", "grp").applyInPandas(_pack_group, schema)
+    # a piece that fills its container needs no packing; the others are dealt to groups of about ``group_items`` pieces, counted for each capacity
+    full = pieces.where("n_tokens = capacity")
+    rest = materialize(pieces.where("n_tokens < capacity").select("pack_id", "capacity", "doc_id", "piece_no", "first_token", "n_tokens"), "pieces")
+    counts = {r["pack_id"]: r["n"] for r in rest.groupBy("pack_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    groups = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, -(-n // group_items))])[F.col("pack_id")] if counts else F.lit(1)
+    # repeated rows must not all fall into one group, so their row number takes part in the deal
+    dealt = rest.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece_no", F.monotonically_increasing_id()), groups))
+    packed = dealt.select("pack_id", "grp", "capacity", "doc_id", "piece_no", "first_token", "n_tokens").groupBy("pack_id", "grp").applyInPandas(_pack_group, schema)
+    # containers of full pieces are numbered below zero
+    own = F.lit(-1).cast("long") - F.monotonically_increasing_id()
+    return packed.unionByName(full.select("pack_id", own.alias("container_id"), "doc_id", "piece_no", "first_token", "n_tokens"))
 
 
 def pack_documents(docs: DataFrame, packs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:

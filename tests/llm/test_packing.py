@@ -57,3 +57,15 @@ def test_texts_and_empty(spark):
     assert p.where("doc_id = 4").count() == -(-counts[4][1] // 512)
     assert packing.fill(p, packs).first().tokens == sum(n for _, n in counts)
     assert packing.pack_documents(docs.limit(0), packs).count() == 0 and packing.pack(packing.token_counts(docs), packs.limit(0)).count() == 0
+
+
+def test_few_very_long_documents_make_many_groups(spark):
+    sizes = spark.createDataFrame([(i, 5_000 * 10 + i % 10) for i in range(20)] + [(100 + i, 3) for i in range(900)], "doc_id long, n_tokens long")
+    packs = spark.createDataFrame([(1, 10), (2, 10**6)], "pack_id int, capacity_tokens int")
+    rows = packing.pack(sizes, packs, group_items=100)
+    full = rows.where("pack_id = 1 AND n_tokens = 10")
+    assert full.count() == 20 * 5_000 and full.where("container_id >= 0").count() == 0 and full.select("container_id").distinct().count() == 100_000
+    rest = rows.where("pack_id = 1 AND n_tokens < 10")
+    assert rest.selectExpr("container_id >> 32 AS g").distinct().count() == 10  # 918 pieces in groups of about 100
+    assert rest.groupBy("container_id").sum("n_tokens").where("`sum(n_tokens)` > 10").count() == 0
+    assert rows.where("pack_id = 2").count() == 920
