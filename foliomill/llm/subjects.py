@@ -1,9 +1,11 @@
 """Subject areas of documents (problem 8) by class-association rules.
 
-Sentences of a bounded sample of labelled documents become transactions of words and subjects; parallel frequent-pattern
-growth finds the frequent sets, those with one subject become rules, and rules that a more general one makes redundant
-are pruned.  A sentence's evidence for a subject is the sum of its matching rules' log odds, calibrated on labelled
-documents that were kept back; a document is about a subject if enough of its sentences are.
+Sentences of a bounded sample of labelled documents become weighted baskets of words and subjects.  Parallel
+frequent-pattern growth counts each frequent word and, in its conditional base, the more frequent words beside it, by
+subject; growth stops at the length that a rule may have, so no sentence, however long or often repeated, makes it explode.
+Sets that speak for a subject become rules, and rules that a more general one makes redundant are pruned.  A sentence's
+evidence for a subject is the sum of its matching rules' log odds; the evidence that makes a sentence count is calibrated
+for each subject on labelled documents that were kept back.
 """
 
 from __future__ import annotations
@@ -15,20 +17,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.session import materialize
+
 #: Labelled documents used to mine the rules and to calibrate them, at most (drawn by a hash of the id).
 MINED_DOCS = 12_000
 #: Sentences that must hold a set of words, confidence and lift over the subject's share that a rule needs.
 SUPPORT, CONFIDENCE, LIFT = 3, 0.3, 2.0
 #: Confidences are drawn towards the subject's share as by so many sentences, so rules of few sentences weigh less.
 SHRINK = 2.0
-#: Words of a rule, at most.
-RULE_WORDS = 2
-#: A longer rule stays only if its confidence is so much above every more general one's.
-GAIN = 0.05
+#: Sentences that must hold both words of a rule of two words (the longest), and how far the lower bound of its confidence
+#: (DEVIATIONS of the binomial distribution below it) must lie above the confidence of both shorter rules.
+PAIR_SUPPORT, DEVIATIONS, GAIN = 6, 2.0, 0.15
+#: Labelled documents of a subject that calibration needs to give it a cut of its own.
+CALIBRATED = 50
+#: Pairs of words that a task counts at once.
+PAIRS_AT_ONCE = 2_000_000
 #: Share of a document's sentences that must be about a subject.
 SHARE = 0.25
 
@@ -54,11 +60,10 @@ def sentence_words(sentence: str) -> set[str]:
 
 
 def labelled_sentences(docs: DataFrame, labels: DataFrame, limit: int = MINED_DOCS) -> DataFrame:
-    """``doc_id, subjects (array<int>), words (array<string>), n (sentences of the document)`` of a bounded sample of labelled documents."""
+    """``doc_id, subjects (array<int>), words (array<string>), n (sentences of the document)`` of a bounded sample of labelled
+    documents: those with the ``limit`` smallest hashes."""
     given = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_set("subject_id")).alias("subjects"))
-    total = given.count()
-    every = max(1, -(-total // max(1, limit)))
-    given = given.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    given = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -70,12 +75,12 @@ def labelled_sentences(docs: DataFrame, labels: DataFrame, limit: int = MINED_DO
 
 
 class Rules:
-    """Pruned class-association rules with the calibration of their evidence."""
+    """Pruned class-association rules with the calibrated cuts of their evidence (by subject, else the common one)."""
 
     def __init__(self, weights: dict[str, dict[int, float]], pairs: dict[tuple[str, str], dict[int, float]]) -> None:
         self.weights, self.pairs = weights, pairs
         self.paired = {w for p in pairs for w in p}
-        self.cut = 0.0
+        self.cut, self.cuts = 0.0, {}
 
     def evidence(self, words: set[str]) -> dict[int, float]:
         """Log odds of each subject that a rule speaks for: the more specific rule replaces those it contains."""
@@ -95,51 +100,107 @@ class Rules:
         return total
 
 
+def _pair_counts(batches: Iterator[pd.DataFrame], rank: dict[str, int]) -> Iterator[pd.DataFrame]:
+    """Conditional bases of the frequent words, one level deep: how often each pair of them stands in sentences of each subject.
+
+    A basket's words are brought into the order of frequency; beside each of them stand the more frequent ones.
+    """
+
+    def count(pair: list[np.ndarray], c: list[np.ndarray], k: list[np.ndarray]) -> pd.DataFrame:
+        p, s, n = np.concatenate(pair), np.concatenate(c), np.concatenate(k)
+        order = np.lexsort((s, p))
+        p, s, n = p[order], s[order], n[order]
+        new = np.ones(len(p), dtype=bool)
+        new[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
+        first = np.flatnonzero(new)
+        return pd.DataFrame({"pair": p[first], "c": s[first], "k": np.add.reduceat(n, first)})
+
+    pair, c, k, held = [], [], [], 0
+    for b in batches:
+        for words, subjects, weight in zip(b["words"], b["subjects"], b["weight"], strict=True):
+            at = np.array(sorted(rank[w] for w in words if w in rank), dtype=np.int64)
+            about = [int(x) for x in subjects if x is not None] or [-1]
+            for j in range(1, len(at)):
+                for s in about:
+                    pair.append((at[j] << 32) + at[:j])
+                    c.append(np.full(j, s, np.int32))
+                    k.append(np.full(j, weight / len(about)))
+                    held += j
+                if held >= PAIRS_AT_ONCE:
+                    yield count(pair, c, k)
+                    pair, c, k, held = [], [], [], 0
+    if pair:
+        yield count(pair, c, k)
+
+
+def _confident(n: float, by: dict[int, float], prior: dict[int, float]) -> dict[int, float]:
+    """Subjects whose confidence, drawn towards the subject's share, makes a rule."""
+    found = {}
+    for c, k in by.items():
+        conf = (k + SHRINK * prior[c]) / (n + SHRINK)
+        if conf >= CONFIDENCE and conf >= LIFT * prior[c]:
+            found[c] = conf
+    return found
+
+
 def mine(train: DataFrame) -> Rules:
-    """Rules of the sentences ``doc_id, subjects, words, n``; sentences of documents without subject speak for none."""
-    single = train.where(F.size("subjects") <= 1).select("words", F.get("subjects", F.lit(0)).alias("c")).cache()
-    n = single.count()
-    if not n:
-        return Rules({}, {})
-    prior = {r["c"]: r["count"] / n for r in single.where("c IS NOT NULL").groupBy("c").count().collect()}
+    """Rules of the sentences ``doc_id, subjects, words, n``.
+
+    A sentence of a document without subject speaks for none.  One of a document with several subjects first speaks for
+    each of them with an equal part of its weight; the rules found so tell which of them it is about, and with that
+    the rules are found anew.  Equal sentences are one basket with their number as weight.
+    """
+    baskets = materialize(train.groupBy("words", "subjects").agg(F.count(F.lit(1)).cast("double").alias("weight")), "baskets")
+    rules = _mine(baskets)
+    if not rules.weights or baskets.where(F.size("subjects") > 1).isEmpty():
+        return rules
+    sent = train.sparkSession.sparkContext.broadcast(rules)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            chosen = []
+            for words, subjects in zip(b["words"], b["subjects"], strict=True):
+                if len(subjects) > 1:
+                    found = sent.value.evidence(set(words))
+                    best = max((found.get(int(c), 0.0), -int(c)) for c in subjects if c is not None)
+                    subjects = [-best[1]] if best[0] > 0 else []
+                chosen.append([int(c) for c in subjects if c is not None])
+            yield pd.DataFrame({"words": b["words"], "subjects": chosen, "weight": b["weight"]})
+
+    return _mine(materialize(baskets.mapInPandas(decide, "words array<string>, subjects array<int>, weight double"), "decided"))
+
+
+def _mine(baskets: DataFrame) -> Rules:
+    about = F.explode(F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit(-1)))).alias("c")
+    part = F.col("weight") / F.greatest(F.size("subjects"), F.lit(1))
+    sentences_ = {r["c"]: r["k"] for r in baskets.select(about, part.alias("k")).groupBy("c").agg(F.sum("k").alias("k")).collect()}
+    total = sum(sentences_.values())
+    prior = {c: k / total for c, k in sentences_.items() if c >= 0}
     if not prior:
         return Rules({}, {})
-    word = single.select(F.explode("words").alias("w"), "c").groupBy("w", "c").agg(F.count(F.lit(1)).alias("k"))
-    totals = word.groupBy("w").agg(F.sum("k").alias("n"), F.max(F.when(F.col("c").isNotNull(), F.col("k"))).alias("best")).where(F.col("n") >= SUPPORT)
-    lifted = totals.where(F.col("best") / F.col("n") >= LIFT * min(prior.values())).select("w")
-    rows = single.withColumn("i", F.monotonically_increasing_id())
-    items = rows.select("i", "c", F.explode("words").alias("w")).join(lifted, "w").groupBy("i", "c").agg(F.collect_set(F.concat(F.lit("w:"), "w")).alias("ws"))
-    baskets = items.select(F.when(F.col("c").isNotNull(), F.concat("ws", F.array(F.concat(F.lit("c:"), F.col("c").cast("string"))))).otherwise(F.col("ws")).alias("items")).cache()
-    m = baskets.count()
-    if not m:
-        return Rules({}, {})
-    model = FPGrowth(itemsCol="items", minSupport=SUPPORT / m, minConfidence=1.0).fit(baskets)
-    named = F.filter("items", lambda x: x.startswith("c:"))
-    bare = F.array_sort(F.filter("items", lambda x: x.startswith("w:")))
-    sets = model.freqItemsets.select(bare.alias("ws"), F.get(named, F.lit(0)).alias("c"), F.size(named).alias("k"), "freq").where((F.size("ws").between(1, RULE_WORDS)) & (F.col("k") <= 1))
-    found = sets.collect()
-    single.unpersist()
-    baskets.unpersist()
-    base = {tuple(r["ws"]): r["freq"] for r in found if r["c"] is None}
-    confidence: dict[tuple, dict[int, float]] = defaultdict(dict)
-    for r in found:
-        if r["c"] is not None:
-            ws, c = tuple(r["ws"]), int(r["c"][2:])
-            conf = (r["freq"] + SHRINK * prior[c]) / (base[ws] + SHRINK)
-            if conf >= CONFIDENCE and conf >= LIFT * prior[c]:
-                confidence[ws][c] = conf
+    by_subject = lambda rows, key: rows.groupBy(key).agg(F.sum("k").alias("n"), F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("by"))
+    word = baskets.select(F.explode("words").alias("w"), "subjects", "weight").select("w", about, part.alias("k")).groupBy("w", "c").agg(F.sum("k").alias("k"))
+    singles = by_subject(word, "w").where(F.col("n") >= SUPPORT - 1e-6).collect()  # the words of the sample, bounded like it
+    order = sorted(singles, key=lambda r: (-r["n"], r["w"]))
+    single = {r["w"]: _confident(r["n"], {c: k for c, k in r["by"].items() if c >= 0}, prior) for r in order}
+    rank = {r["w"]: i for i, r in enumerate(order)}
+    names = [r["w"] for r in order]
+    sent = baskets.sparkSession.sparkContext.broadcast(rank)
+    counted = baskets.mapInPandas(lambda b: _pair_counts(b, sent.value), "pair long, c int, k double").groupBy("pair", "c").agg(F.sum("k").alias("k"))
+    best = F.array_max(F.map_values(F.map_filter("by", lambda c, _: c >= 0)))
+    pairs_ = by_subject(counted, "pair").where((F.col("n") >= PAIR_SUPPORT - 1e-6) & (best >= CONFIDENCE / 2 * F.col("n"))).collect()
     logit = lambda p: math.log(min(max(p, 0.02), 0.98) / (1 - min(max(p, 0.02), 0.98)))
-    weights: dict[str, dict[int, float]] = defaultdict(dict)
+    weights = {w: {c: logit(conf) - logit(prior[c]) for c, conf in by.items()} for w, by in single.items() if by}
     pairs: dict[tuple[str, str], dict[int, float]] = defaultdict(dict)
-    for ws, by in confidence.items():
-        for c, conf in by.items():
-            lone = max((confidence.get((w,), {}).get(c, 0.0) for w in ws), default=0.0) if len(ws) > 1 else 0.0
-            if len(ws) == 1:
-                weights[ws[0][2:]][c] = logit(conf) - logit(prior[c])
-            elif conf >= lone + GAIN:
-                a, b = sorted(w[2:] for w in ws)
-                pairs[(a, b)][c] = logit(conf) - logit(prior[c])
-    return Rules(dict(weights), dict(pairs))
+    for r in pairs_:
+        ws = (names[r["pair"] >> 32], names[r["pair"] & 0xFFFFFFFF])
+        for c, conf in _confident(r["n"], {c: k for c, k in r["by"].items() if c >= 0}, prior).items():
+            lone = max(single[w].get(c, prior[c]) for w in ws)
+            z, n = DEVIATIONS**2, r["n"]
+            least = (conf + z / (2 * n) - DEVIATIONS * math.sqrt(conf * (1 - conf) / n + z / (4 * n * n))) / (1 + z / n)  # Wilson's lower bound
+            if least >= lone + GAIN:
+                pairs[tuple(sorted(ws))][c] = logit(conf) - logit(prior[c])
+    return Rules(weights, dict(pairs))
 
 
 def score_sentences(rules: Rules, text: str | None) -> tuple[int, dict[int, int]]:
@@ -148,43 +209,62 @@ def score_sentences(rules: Rules, text: str | None) -> tuple[int, dict[int, int]
     about: dict[int, int] = defaultdict(int)
     for s in found:
         for c, v in rules.evidence(sentence_words(s)).items():
-            if v > rules.cut:
+            if v > rules.cuts.get(c, rules.cut):
                 about[c] += 1
     return len(found), about
 
 
+def _best_cut(score: np.ndarray, want: np.ndarray, lost: int = 0) -> tuple[float, float]:
+    """The cut of the documents' scores that agrees best (F1) with their labels, and that F1; ``lost``: labelled documents without score."""
+    order = np.argsort(-score, kind="stable")
+    score, want = score[order], want[order]
+    tp = np.cumsum(want)
+    f1 = 2 * tp / (np.arange(1, len(score) + 1) + want.sum() + lost)
+    f1[:-1][score[:-1] == score[1:]] = -1  # equal scores are cut together
+    f1[score <= 0] = -1
+    at = int(f1.argmax())
+    if f1[at] < 0:
+        return 0.0, 0.0
+    return float((score[at] + max(0.0, score[at + 1] if at + 1 < len(score) else 0.0)) / 2), float(f1[at])
+
+
 def calibrate(rules: Rules, held: pd.DataFrame, share: float = SHARE) -> Rules:
-    """Choose the cut of the sentence evidence at which the documents' shares agree best (F1) with labels kept back."""
+    """Choose the cut of the sentence evidence, for each subject, at which the documents agree best (F1) with labels kept back.
+
+    A document is about a subject if ``share`` of its sentences are above the cut, so its score is the evidence of the
+    sentence that completes this share.  Subjects with fewer than CALIBRATED such documents get the cut of all together.
+    """
     if held.empty:
         return rules
-    docs: dict[int, tuple[set, int, list]] = {}
+    docs: dict[int, tuple[set, int, dict]] = {}
     for d, subjects, words, n in held[["doc_id", "subjects", "words", "n"]].itertuples(index=False):
-        docs.setdefault(d, ({int(s) for s in subjects if s is not None}, n, []))[2].append(dict(rules.evidence(set(words))))
-    best = (-1.0, 0.0)
-    for cut in np.arange(0.5, 4.01, 0.25):
-        tp = fp = fn = 0
-        for want, n, ev in docs.values():
-            count: dict[int, int] = defaultdict(int)
-            for e in ev:
-                for c, v in e.items():
-                    if v > cut:
-                        count[c] += 1
-            got = {c for c, k in count.items() if k >= share * n}
-            tp, fp, fn = tp + len(got & want), fp + len(got - want), fn + len(want - got)
-        f1 = 2 * tp / max(1, 2 * tp + fp + fn)
-        if f1 > best[0] + 1e-9:
-            best = (f1, float(cut))
-    rules.cut, rules.f1 = best[1], best[0]
+        by = docs.setdefault(d, ({int(s) for s in subjects if s is not None}, n, defaultdict(list)))[2]
+        for c, v in rules.evidence(set(words)).items():
+            by[c].append(v)
+    scored: dict[int, list[tuple[float, bool]]] = defaultdict(list)
+    lost: dict[int, int] = defaultdict(int)
+    for want, n, by in docs.values():
+        need = max(1, math.ceil(share * n - 1e-9))
+        for c in want | set(by):
+            values = sorted(by.get(c, ()), reverse=True)
+            if len(values) >= need:
+                scored[c].append((values[need - 1], c in want))
+            elif c in want:
+                lost[c] += 1
+    every = [x for xs in scored.values() for x in xs]
+    if every:
+        rules.cut, rules.f1 = _best_cut(np.array([v for v, _ in every]), np.array([w for _, w in every]), sum(lost.values()))
+    for c, xs in scored.items():
+        if sum(w for _, w in xs) >= CALIBRATED:
+            rules.cuts[c] = _best_cut(np.array([v for v, _ in xs]), np.array([w for _, w in xs]), lost[c])[0]
     return rules
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, limit: int = MINED_DOCS) -> Rules:
     """Mine on four fifths of the sampled labelled documents, calibrate on the rest."""
-    sample = labelled_sentences(docs, labels, limit).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5))).cache()
+    sample = materialize(labelled_sentences(docs, labels, limit).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5))), "labelled")
     rules = mine(sample.where("fold > 0").drop("fold"))
-    rules = calibrate(rules, sample.where("fold = 0").drop("fold").toPandas())
-    sample.unpersist()
-    return rules
+    return calibrate(rules, sample.where("fold = 0").drop("fold").toPandas())
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE, limit: int = MINED_DOCS) -> DataFrame:

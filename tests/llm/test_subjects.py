@@ -49,3 +49,29 @@ def test_sentences():
     assert subjects.sentences("# Head\n\nDear X,\n\nOn 4. Mai it came. Then 1999. Next\r\nline!  \n\nYours") == ["On 4. Mai it came.", "Then 1999.", "Next\nline!"]
     assert subjects.sentences("- One. Two.\n- Three.") == ["One.", "Two.", "Three."] and subjects.sentences(None) == [] and subjects.sentences("x") == []
     assert len(subjects.sentences("A word stands here. " * 20_000)) == 20_000
+
+
+def test_long_repeated_sentences_dont_explode_and_repeats_keep_their_weight(spark):
+    long = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)).replace("word", "long") + "."
+    rows = [(i, long, [1]) for i in range(50)] + [(100 + i, f"The judge and plain{chr(97 + i % 26)} spoke.", [2]) for i in range(60)] + [(200 + i, f"Nothing was said by plain{chr(97 + i % 26)}.", []) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s) for i, _, ss in rows for s in (ss or [None])], "doc_id long, subject_id int")
+    found = {(r.doc_id, r.subject) for r in subjects.document_subjects(docs, labels, spark.createDataFrame([(1, "a"), (2, "b")], "subject_id int, name string")).collect()}
+    assert found == {(i, "a" if i < 100 else "b") for i, _, ss in rows if ss}
+
+
+def test_a_subject_that_only_stands_beside_others_is_found(spark):
+    rnd = random.Random(5)
+    truth = {i: [1, 2] if i % 3 == 0 else [1] if i % 3 == 1 else [] for i in range(900)}
+    docs = spark.createDataFrame([(i, document(rnd, a, 6)) for i, a in truth.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s) for i, a in truth.items() if i % 2 for s in (a or [None])], "doc_id long, subject_id int")
+    names = spark.createDataFrame([(1, "science"), (2, "law")], "subject_id int, name string")
+    found = {(r.doc_id, r.subject) for r in subjects.document_subjects(docs, labels, names).collect()}
+    want = {(i, {1: "science", 2: "law"}[s]) for i, a in truth.items() for s in a}
+    assert len(found & want) / len(want) > 0.9 and len(found & want) / len(found) > 0.9
+
+
+def test_sample_stays_at_its_bound(spark):
+    docs = spark.createDataFrame([(i, "The judge spoke.") for i in range(101)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(101)], "doc_id long, subject_id int")
+    assert subjects.labelled_sentences(docs, labels, 100).select("doc_id").distinct().count() == 100
