@@ -119,6 +119,13 @@ FROM s JOIN n x ON x.point_id = s.pa AND x.chunk_text = s.ta JOIN n y ON y.point
 WHERE s.shared >= 0.7 * (x.n + y.n - s.shared) - 1e-9
 """,
     "p7_found": _P7 + "SELECT doc_id, item_id FROM hit",
+    "p7_passages": r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+dg AS (SELECT doc_id, i - 1 AS d, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM dw WHERE len(w) >= 12)),
+ig AS (SELECT item_id, i - 1 AS e, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM iw WHERE len(w) >= 12)),
+met AS (SELECT doc_id, item_id, d, e, d - row_number() OVER (PARTITION BY doc_id, item_id, d - e ORDER BY d) AS island FROM dg JOIN ig USING (g))
+SELECT doc_id, item_id, min(d) AS doc_word, min(e) AS item_word, count(*) + 11 AS words FROM met GROUP BY doc_id, item_id, d - e, island""",
     "p7_clean": _P7 + "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = d.doc_id)",
 }
 

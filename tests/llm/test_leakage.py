@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from foliomill.llm import leakage
 
 
@@ -49,3 +52,26 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a " * 30)], "doc_id long, text string")
     assert leakage.leaks(d, e).count() == 0 and leakage.leaks(some, e).count() == 0
     assert leakage.without_leaks(some, e).count() == 1
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_suffixes_are_in_full_order(seed):
+    rnd = random.Random(seed)
+    texts = [[rnd.randint(1, 2 if seed % 2 else 9) for _ in range(rnd.randint(1, 60))] for _ in range(rnd.randint(1, 30))]
+    texts += texts[:4]  # whole texts repeated
+    tokens = np.array([t for x in texts for t in [*x, 0]], dtype=np.int64)
+    ends = np.flatnonzero(tokens == 0)
+    suffix = lambda i: tokens[i : ends[np.searchsorted(ends, i)]].tolist()
+    want = sorted((i for i in range(len(tokens)) if tokens[i]), key=lambda i: (suffix(i), i))
+    assert leakage.suffix_array(tokens).tolist() == want
+    assert leakage._unpack(leakage._pack(tokens), len(tokens)).tolist() == tokens.tolist()
+
+
+def test_one_index_serves_several_test_sets_and_hits_come_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "HITS_AT_ONCE", 7)
+    docs, items = make(11)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index = leakage.suffix_index(d, shard_words=200)
+    for part in (items[:6], items[6:]):
+        got = {(r.doc_id, r.item_id) for r in leakage.search_index(index, spark.createDataFrame(part, "item_id long, text string"), 6).collect()}
+        assert got == brute(docs, part, 6)
