@@ -138,7 +138,7 @@ def _follow(tokens: np.ndarray, tests: np.ndarray, place: np.ndarray, at: np.nda
     return length
 
 
-def passages(tokens: np.ndarray, array: np.ndarray, vocabulary: np.ndarray, tests: Tests) -> Iterator[tuple[np.ndarray, ...]]:
+def passages(tokens: np.ndarray, array: np.ndarray, vocabulary: np.ndarray, tests: Tests, at_once: int = HITS_AT_ONCE) -> Iterator[tuple[np.ndarray, ...]]:
     """Longest verbatim passages of one shard: item (its index), place in the tests, place in the shard, words."""
     words, least = tests.in_shard(vocabulary), tests.least
     unknown = np.concatenate([[0], np.cumsum(words < 0)])
@@ -155,7 +155,7 @@ def passages(tokens: np.ndarray, array: np.ndarray, vocabulary: np.ndarray, test
     done = 0
     total = np.concatenate([[0], np.cumsum(n)])
     while done < total[-1]:
-        stop = min(total[-1], done + HITS_AT_ONCE)
+        stop = min(total[-1], done + at_once)
         hit = np.arange(done, stop)
         which = np.searchsorted(total, hit, side="right") - 1
         place, at = array[lo[which] + hit - total[which]], queries[which]

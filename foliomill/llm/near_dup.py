@@ -1,9 +1,14 @@
 """Near-duplicate texts (problem 5) with a token-group matrix.
 
-Texts become sets of hashed word shingles; equal sets are one class.  Similar classes are partitioned into small
-groups (by a minimum hash of their rarest shingles) and the matrix stores, for every group, the union of its members'
-leading shingles with the bounds that decide whether a query can reach the threshold in it.  A query class is joined
-with the matrix, its overlap with each group is bounded, and only qualifying groups are opened and compared exactly.
+Texts become sets of hashed word shingles (tokens); equal sets are one class.  Classes are partitioned into small groups of
+similar ones: range-partitioned and sorted by a minimum hash of their rarest tokens and by size.  The matrix holds one row
+for each group, with the union of its members' tokens, the members as places in the union, and the least and greatest
+size.  Groups then ask each other: over the tokens that lead their members (so many of each set's rarest that no partner can
+miss them) the overlap of the asking group's and the asked group's unions is summed, and only where the sum reaches what
+the sizes demand the two are opened: the whole unions bound the overlap once more, then the members are compared exactly.
+
+Tokens are ordered rarest first by counters of fixed size, and where a counter holds more noise than signal by the
+frequencies of the token's words, which don't depend on how much text there is.  The order decides about cost only.
 """
 
 from __future__ import annotations
@@ -19,97 +24,175 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.words import Hasher, mix
-from foliomill.session import materialize
+from foliomill.session import lookup_side, materialize
 
 #: Counters of the frequency sketch: a fixed size (one byte each when sent to the tasks), whatever the number of texts.
 SKETCH_BITS, SKETCH_BLOCKS = 24, 64
-#: Classes that share a leading shingle beyond which the shingle's rows are salted.
-HOT_TOKEN = 20_000
-HOT_CLASS = 1 + int(4 * math.log2(HOT_TOKEN))
-SALTS = 32
+#: Words whose frequencies are sent to the tasks, at most (the most frequent ones; all others count as rarer).
+WORDS = 1_000_000
+#: How often a counter's average must fit into it for the counter to say something about the token.
+NOISE = 3.0
+#: Classes and tokens of a group, at most (one class may have more tokens); with more, a run of similar classes makes several groups.
+GROUP_CLASSES, GROUP_TOKENS = 64, 100_000
+#: Rows of one key (groups of a token, ids of a class) beyond which the key is dealt to a grid of tasks.
+HOT_ROWS = 4_096
+#: Classes of a task whose tokens are remembered as sent, at most.
+REMEMBERED = 1_000_000
+
+
+class Sketch:
+    """Frequency classes of tokens: 1 for a single text, then four classes to each doubling; 0 for a token not counted."""
+
+    def __init__(self, counters: np.ndarray, noise: float, words: np.ndarray, frequency: np.ndarray, total: float) -> None:
+        """counters: class of each counter; noise: average of a counter; words, frequency: of the most frequent words, sorted by word."""
+        self.bits = int(math.log2(len(counters)))
+        self.counters, self.noise = counters, 1 + 4 * math.log2(max(1.0, NOISE * noise)) if noise > 0.6 else 1.0
+        self.words, self.total = words, math.log2(max(total, 1.0))
+        self.share = np.log2(np.maximum(frequency, 1)) - math.log2(max(float(frequency.sum()), 1.0)) if len(words) else np.zeros(0)
+        self.rare = float(self.share.min()) if len(words) else 0.0
+
+    def level(self, tokens: np.ndarray) -> np.ndarray:
+        return self.counters[_bucket(tokens, self.bits)]
+
+    def order(self, tokens: np.ndarray, level: np.ndarray, words: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+        """Order of tokens (rarest first) as numbers from 0 to 255, equal for equal tokens; 0: in a single text for certain.
+
+        first: place of each token's first word in ``words``.
+        """
+        key = np.where(level <= 1, 0, 63 + np.minimum(level, 192).astype(np.int64))
+        vague = np.flatnonzero((level > 1) & (level <= self.noise)) if self.noise > 1 and len(self.words) else np.zeros(0, np.int64)
+        if len(vague):
+            asked = words[first[vague][:, None] + np.arange(width)]
+            at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
+            share = np.where(self.words[at] == asked, self.share[at], self.rare).sum(axis=1)
+            key[vague] = np.minimum(key[vague], np.clip(np.floor(64 + 4 * (share + self.total)), 1, 255)).astype(np.int64)
+        return key
 
 
 class Shingler:
-    """Shingle sets of whole batches; with a sketch each set is in the global order: rarest first, then by hash."""
+    """Token sets of whole batches; with a sketch each set is in the global order: rarest first, then by hash."""
 
-    def __init__(self, width: int, sketch: np.ndarray | None = None) -> None:
+    def __init__(self, width: int, sketch: Sketch | None = None) -> None:
         self.width, self.sketch, self.hasher = width, sketch, Hasher()
 
-    def bag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int]:
-        """All shingles of all texts as 64-bit numbers with their text's row, repeated ones too, and the number of texts."""
+    def bag(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+        """All tokens of all texts with their text's row, repeated ones too, the number of texts, the words and each token's first word."""
         words, counts = self.hasher(texts)
         row = np.repeat(np.arange(len(counts)), counts)
         n = len(words) - self.width + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), len(counts)
-        whole = row[:n] == row[self.width - 1 :]
-        return mix(*[words[i : n + i] for i in range(self.width)])[whole], row[:n][whole], len(counts)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), len(counts), words, np.zeros(0, np.int64)
+        whole = np.flatnonzero(row[:n] == row[self.width - 1 :])
+        return mix(*[words[i : n + i] for i in range(self.width)])[whole], row[whole], len(counts), words, whole
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct shingles of all texts in order, their frequency classes, and the number of shingles of each text."""
-        shingle, doc, n = self.bag(texts)
-        often = np.zeros(len(shingle), np.uint8) if self.sketch is None else self.sketch[_bucket(shingle)]
-        order = np.lexsort((shingle, (doc << 8) | often))
-        shingle, doc, often = shingle[order], doc[order], often[order]
-        keep = np.ones(len(shingle), dtype=bool)
-        keep[1:] = (shingle[1:] != shingle[:-1]) | (doc[1:] != doc[:-1])
-        return shingle[keep], often[keep], np.bincount(doc[keep], minlength=n)
+        """Distinct tokens of all texts in order, whether each stands in a single text for certain, and how many each text has."""
+        token, doc, n, words, first = self.bag(texts)
+        key = self.sketch.order(token, self.sketch.level(token), words, first, self.width) if self.sketch else np.ones(len(token), np.int64)
+        order = np.lexsort((token, (doc << 8) | key))
+        token, doc, key = token[order], doc[order], key[order]
+        keep = np.ones(len(token), dtype=bool)
+        keep[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
+        return token[keep], key[keep] == 0, np.bincount(doc[keep], minlength=n)
+
 
+def _bucket(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
-def _bucket(shingle: np.ndarray) -> np.ndarray:
-    return (shingle >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
+def _count(batches: Iterator[pd.DataFrame], width: int, bits: int) -> Iterator[pd.DataFrame]:
+    """One task's counters in compressed blocks, and how often it saw each word."""
+    shingler, total = Shingler(width), np.zeros(1 << bits, dtype=np.uint32)
+    seen, often, some = np.zeros(0, np.uint64), np.zeros(0, np.int64), False
+
+    def words() -> pd.DataFrame:
+        return pd.DataFrame({"block": -1, "counts": None, "word": seen.view(np.int64), "n": often})
 
-def _count(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """One task's counters, in compressed blocks."""
-    shingler, total = Shingler(width), np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
     for batch in batches:
-        total += np.bincount(_bucket(shingler.bag(batch["text"].tolist())[0]), minlength=len(total)).astype(np.uint32)
-    if total.any():
+        tokens, _, _, ws, _ = shingler.bag(batch["text"].tolist())
+        if not len(ws):
+            continue
+        some = True
+        total += np.bincount(_bucket(tokens, bits), minlength=len(total)).astype(np.uint32)
+        w, n = np.unique(ws, return_counts=True)
+        both, at = np.unique(np.concatenate([seen, w]), return_inverse=True)
+        seen, often = both, np.bincount(at, weights=np.concatenate([often, n]), minlength=len(both)).astype(np.int64)
+        if len(seen) > 2_000_000:
+            yield words()
+            seen, often = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    if some:
+        yield words()
         for i, part in enumerate(np.split(total, SKETCH_BLOCKS)):
-            yield pd.DataFrame({"block": [i], "counts": [zlib.compress(part.tobytes(), 1)]})
+            yield pd.DataFrame({"block": [i], "counts": [zlib.compress(part.astype(np.uint64).tobytes(), 1)], "word": [None], "n": [int(part.sum())]})
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sum of one block over all tasks, as frequency classes: 1 for a single text, then four classes to each doubling."""
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, dtype=np.uint64)
-    for c in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(c), dtype=np.uint32)
-    level = np.where(total == 0, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(total, 1)) + 1e-9))).astype(np.uint8)
-    return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [zlib.compress(level.tobytes(), 1)]})
+def _add(batches: Iterator[pd.DataFrame], last: bool) -> Iterator[pd.DataFrame]:
+    """Sums of the blocks, which come sorted, one block after another; ``last``: as frequency classes."""
+    at, total, n = None, None, 0
 
+    def whole() -> pd.DataFrame:
+        counts = total
+        if last:
+            counts = np.where(total == 0, 0, np.minimum(255, 1 + np.floor(4 * np.log2(np.maximum(total, 1)) + 1e-9))).astype(np.uint8)
+        return pd.DataFrame({"block": [at], "counts": [zlib.compress(counts.tobytes(), 1)], "n": [n]})
 
-def _frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """How many texts hold each shingle, as a class of a counter that it shares with few others (never too small)."""
-    blocks = (
-        texts.select("text").mapInPandas(lambda b: _count(b, width), "block int, counts binary")
-        .groupBy("block").applyInPandas(_add, "block int, counts binary").collect()
-    )
-    sketch = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.uint8)
-    for r in blocks:
-        sketch[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
-    return sketch.ravel()
+    for batch in batches:
+        for block, counts, m in zip(batch["block"], batch["counts"], batch["n"], strict=True):
+            more = np.frombuffer(zlib.decompress(counts), dtype=np.uint64)
+            if at != block:
+                if at is not None:
+                    yield whole()
+                at, total, n = block, np.zeros(len(more), dtype=np.uint64), 0
+            total += more
+            n += m
+    if at is not None:
+        yield whole()
+
+
+def frequency_sketch(texts: DataFrame, width: int, bits: int = SKETCH_BITS, words: int = WORDS) -> Sketch:
+    """How many texts hold each token, as a class of a counter that it shares with others (never too small), and the word frequencies."""
+    rows = materialize(texts.select("text").mapInPandas(lambda b: _count(b, width, bits), "block int, counts binary, word long, n long"), "counts")
+    blocks = rows.where("block >= 0").select("block", "counts", "n")
+    for parts in (32, 1):  # in two steps, so that no task adds up the counters of all others
+        if parts > 1:
+            blocks = blocks.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts))).repartition("block", "part").sortWithinPartitions("block", "part")
+        else:
+            blocks = blocks.repartition("block").sortWithinPartitions("block")
+        blocks = blocks.select("block", "counts", "n").mapInPandas(lambda b, last=parts == 1: _add(b, last), "block int, counts binary, n long")
+    counters, total = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), dtype=np.uint8), 0
+    for r in blocks.collect():
+        counters[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint8)
+        total += r["n"]
+    known = rows.where("block < 0").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(words).toPandas()
+    word = known["word"].to_numpy(dtype=np.int64).view(np.uint64)
+    by = np.argsort(word)
+    return Sketch(counters.ravel(), total / (1 << bits), word[by], known["n"].to_numpy(dtype=np.float64)[by], float(total))
 
 
 def _probe(size: np.ndarray, t: float) -> np.ndarray:
-    """How many leading shingles a query needs so that none of its partners can be missed."""
+    """How many leading tokens a set needs so that none of its partners can be missed."""
     return size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
 
 
 def _signature(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A 64-bit number of each set, whatever the order of its shingles."""
+    """A 64-bit number of each set, whatever the order of its tokens."""
     with np.errstate(over="ignore"):
         mixed = mix(tokens, np.full(len(tokens), 7, np.uint64))
         return (np.add.reduceat(mixed, np.cumsum(size) - size) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
-def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float, hot: int) -> Iterator[pa.RecordBatch]:
-    """Per text: class signature, size, group seed (minimum hash of the leading shingles), leading shingles and their places.
+_HEAD = "id long, sig long, size int, seed long, lead int, tokens binary"
+
+
+def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float) -> Iterator[pa.RecordBatch]:
+    """Per text: class signature, size, group seed (minimum hash of the leading tokens), number of leading tokens, tokens in order.
 
-    A shingle whose counter is 1 stands nowhere else and can't lead to a partner, so it isn't laid out.
+    A token that stands in no other text for certain can't be shared, so it is left out (it counts in the size).  Classes
+    without another leading token have no partner and no tokens here; nor have texts whose class the task has sent before.
     """
+    sent: set[int] = set()
     for batch in batches:
-        tokens, often, sizes = shingler(batch.column(1).to_pylist())
+        tokens, alone, sizes = shingler(batch.column(1).to_pylist())
         rows = np.flatnonzero(sizes)
         if not len(rows):
             continue
@@ -117,233 +200,278 @@ def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float, hot:
         start = np.cumsum(size) - size
         sig = _signature(tokens, size)
         place = np.arange(len(tokens)) - np.repeat(start, size)
-        lead = (place < np.repeat(_probe(size, t), size)) & (often > 1)
+        lead = (place < np.repeat(_probe(size, t), size)) & ~alone
         seed = np.minimum.reduceat(np.where(lead, mix(tokens, np.full(len(tokens), 11, np.uint64)), np.uint64(2**64 - 1)), start).view(np.int64)
-        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(lead.astype(np.int64), start))]).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(v)) for v in (tokens[lead].view(np.int64), place[lead].astype(np.int32), often[lead] >= hot)]
-        bits = [pa.array(v) for v in _bitmap(tokens, np.repeat(np.arange(len(rows)), size), len(rows))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sig), pa.array(size.astype(np.int32)), pa.array(seed), *lists, *bits], names=_HEAD)
-
-
-_HEAD = ["id", "sig", "size", "seed", "lead", "place", "hot", "b0", "b1", "b2", "b3"]
+        many = np.add.reduceat(lead.astype(np.int64), start)
+        shared = np.add.reduceat((~alone).astype(np.int64), start)
+        if len(sent) > REMEMBERED:
+            sent.clear()
+        blobs: list[bytes | None] = []
+        for s, n, a, b in zip(sig.tolist(), many.tolist(), (start + size - shared).tolist(), (start + size).tolist(), strict=True):
+            if n and s not in sent:
+                sent.add(s)
+                blobs.append(tokens[a:b].tobytes())
+            else:
+                blobs.append(None)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(rows)), pa.array(sig), pa.array(size.astype(np.int32)), pa.array(seed), pa.array(many.astype(np.int32)), pa.array(blobs, pa.binary())],
+            names=["id", "sig", "size", "seed", "lead", "tokens"],
+        )
 
 
-def _bitmap(tokens: np.ndarray, row: np.ndarray, n: int) -> list[np.ndarray]:
-    """256 bits of each set: every shingle sets one; sets differ in at least as many shingles as their bits differ."""
-    bits = np.zeros((n, 256), dtype=np.uint8)
-    bits[row, (tokens & np.uint64(255)).astype(np.int64)] = 1
-    return list(np.packbits(bits, axis=1).view(np.int64).T.copy())
+_GROUP = "grp long, least int, most int, sigs array<long>, sizes array<int>, held array<int>, tokens array<long>, places array<int>, lead array<long>, hot array<boolean>"
 
 
-def _sets(batches: Iterator[pd.DataFrame], shingler: Shingler) -> Iterator[pd.DataFrame]:
-    """The whole sets of wanted classes (of ids with several texts only the wanted one)."""
+def _groups(batches: Iterator[pa.RecordBatch], t: float, sketch: Sketch, hot: int, classes: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the matrix from classes sorted by seed, size and signature: a group is a run of one seed with at most
+    ``classes`` classes and ``most`` tokens whose sizes could still be similar."""
+    before = None
     for batch in batches:
-        tokens, _, sizes = shingler(batch["text"].tolist())
-        rows = np.flatnonzero(sizes)
-        if not len(rows):
+        if not len(batch):
+            continue
+        sig, size, seed, lead = (batch.column(i).to_numpy() for i in range(4))
+        fresh = np.ones(len(sig), dtype=bool)
+        fresh[1:] = sig[1:] != sig[:-1]
+        fresh[0] = sig[0] != before  # several tasks may have sent a class
+        before = sig[-1]
+        kept = np.flatnonzero(fresh)
+        if not len(kept):
             continue
-        sig = _signature(tokens, sizes[rows])
-        parts = np.split(tokens.view(np.int64), np.cumsum(sizes[rows])[:-1])
-        right = sig == batch["sig"].to_numpy()[rows]
-        yield pd.DataFrame({"sig": sig[right], "tokens": [p for p, ok in zip(parts, right, strict=True) if ok]})
-
-
-#: Query-group and query-member pairs that are held at once.
-PAIRS_AT_ONCE = 2_000_000
-
-
-def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each of ``counts`` its index, repeated so often, and the position within the repetition."""
-    at = np.repeat(np.arange(len(counts)), counts)
-    return at, np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-
-
-def _open_groups(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Rows of the token-group matrix, sorted by shingle and group: bound every query of a shingle against the groups
-    that hold it, open the qualifying groups and give the pairs that their places in the order still allow."""
-    columns = ["token", "sig", "seed", "at", "cell"]
-    carry: list[np.ndarray] | None = None
-
-    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, sig, seed, packed, cell = rows
-        fresh = np.ones(len(token), dtype=bool)  # a class counts once, however many texts have it
-        fresh[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1]) | (seed[1:] != seed[:-1]) | (sig[1:] != sig[:-1])
-        token, sig, seed, packed, cell = (v[fresh] for v in (token, sig, seed, packed, cell))
-        size, place = packed >> 32, packed & 0xFFFFFFFF
-        salt = np.mod(sig, SALTS)
-        asks = (cell < 0) | (cell // SALTS == salt)
-        holds = ((cell < 0) | (np.mod(cell, SALTS) == salt)) & (place < size - np.ceil(2 * t / (1 + t) * size - 1e-9) + 1)
-        new_run = np.ones(len(token), dtype=bool)
-        new_run[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
-        run = np.cumsum(new_run) - 1
-        member = np.flatnonzero(holds)
-        if not len(member):
-            return
-        new_group = np.ones(len(member), dtype=bool)
-        new_group[1:] = (run[member][1:] != run[member][:-1]) | (seed[member][1:] != seed[member][:-1])
-        first = np.flatnonzero(new_group)
-        width = np.diff(np.append(first, len(member)))
-        least = np.minimum.reduceat(size[member], first)
-        most = np.maximum.reduceat(size[member], first)
-        rest = np.maximum.reduceat((size - place - 1)[member], first)
-        group_run = run[member][first]
-        low = np.searchsorted(group_run, np.arange(run[-1] + 2))
-        query = np.flatnonzero(asks)
-        many = (low[run[query] + 1] - low[run[query]]).astype(np.int64)
-        query, many = query[many > 0], many[many > 0]
-        edge = np.cumsum(many)
-        begin = 0
-        while begin < len(query):
-            end = max(begin + 1, int(np.searchsorted(edge, (edge[begin - 1] if begin else 0) + PAIRS_AT_ONCE, side="right")))
-            at, off = _spread(many[begin:end])
-            i = query[begin:end][at]
-            g = low[run[i]] + off
-            q = size[i]
-            need = np.ceil(t / (1 + t) * (q + np.maximum(least[g], np.ceil(t * q - 1e-9))) - 1e-9)
-            ok = (least[g] <= q) & (most[g] >= t * q - 1e-9) & (1 + np.minimum(q - place[i] - 1, rest[g]) >= need)
-            i, g = i[ok], g[ok]
-            ends = np.cumsum(width[g])
-            low_pair = 0
-            while low_pair < len(g):
-                high = max(low_pair + 1, int(np.searchsorted(ends, (ends[low_pair - 1] if low_pair else 0) + PAIRS_AT_ONCE, side="right")))
-                k, off = _spread(width[g[low_pair:high]])
-                a, b = i[low_pair:high][k], member[first[g[low_pair:high]][k] + off]
-                # a pair is compared once, by its longer class (of equal ones by that with the greater signature)
-                ok = ((size[a] > size[b]) | ((size[a] == size[b]) & (sig[a] > sig[b]))) & (size[b] >= t * size[a] - 1e-9)
-                ok &= 1 + np.minimum(size[a] - place[a], size[b] - place[b]) - 1 >= t / (1 + t) * (size[a] + size[b]) - 1e-9
-                a, b = a[ok], b[ok]
-                if len(a):
-                    ints = [size[a], size[b], place[a], place[b]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(sig[a]), pa.array(sig[b]), *[pa.array(v.astype(np.int32)) for v in ints]], names=["sig", "other", "q", "s", "place", "at"]
-                    )
-                low_pair = high
-            begin = end
+        blobs = batch.column(4).take(pa.array(kept)).to_pylist()
+        held = np.array([len(b) // 8 for b in blobs])
+        group, g, first, count, many = np.zeros(len(kept), dtype=np.int64), -1, None, 0, 0
+        for n, (s, z, h) in enumerate(zip(seed[kept].tolist(), size[kept].tolist(), held.tolist(), strict=True)):
+            if first is None or s != first[0] or z * t > first[1] + 1e-9 or count == classes or many + h > most:
+                g, first, count, many = g + 1, (s, z), 0, 0
+            count, many = count + 1, many + h
+            group[n] = g
+        token = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+        row = np.repeat(np.arange(len(kept)), held)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(held) - held, held)
+        leads = place < lead[kept][row]
+        # the union of each group, and each member's tokens as places in it
+        of = group[row]
+        by = np.lexsort((token, of))
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (token[by][1:] != token[by][:-1]) | (of[by][1:] != of[by][:-1])
+        union, union_of = token[by][new], of[by][new]
+        begin = np.searchsorted(union_of, np.arange(g + 2))
+        at = np.empty(len(token), dtype=np.int64)
+        at[by] = np.cumsum(new) - 1
+        leading = np.zeros(len(union), dtype=bool)
+        leading[at[leads]] = True
+        at -= begin[of]
+        edge = np.searchsorted(group, np.arange(g + 2))
+        ends = np.concatenate([[0], np.cumsum(held)])[edge]
+        lead_edge = np.concatenate([[0], np.cumsum(leading)])[begin]
+        lead_token = union[leading]
+        cut = lambda values, edges: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
+        n = size[kept]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(sig[kept][edge[:-1]]), pa.array(np.minimum.reduceat(n, edge[:-1])), pa.array(np.maximum.reduceat(n, edge[:-1])),
+                cut(sig[kept], edge), cut(n, edge), cut(held.astype(np.int32), edge), cut(union.view(np.int64), begin), cut(at.astype(np.int32), ends),
+                cut(lead_token.view(np.int64), lead_edge), cut(sketch.level(lead_token) >= hot, lead_edge),
+            ],
+            names=[x.split()[0] for x in _GROUP.split(", ")],
+        )
 
+
+class _Opened:
+    """Members of the groups in one column of a batch, flattened."""
+
+    def __init__(self, batch: pa.RecordBatch, prefix: str) -> None:
+        flat = lambda name: batch.column(batch.schema.get_field_index(prefix + name))
+        edges = lambda col: col.offsets.to_numpy() - col.offsets[0].as_py()
+        self.tokens, self.token_edge = flat("tokens").flatten().to_numpy(), edges(flat("tokens"))
+        self.sigs, self.member_edge = flat("sigs").flatten().to_numpy(), edges(flat("sigs"))
+        self.sizes, self.held = flat("sizes").flatten().to_numpy(), flat("held").flatten().to_numpy()
+        self.places, self.place_edge = flat("places").flatten().to_numpy(), edges(flat("places"))
+        self.of_token = np.repeat(np.arange(len(batch)), np.diff(self.token_edge))
+
+    def matrix(self, i: int, common: np.ndarray) -> np.ndarray:
+        """Members of group i by tokens, for the chosen places of its union."""
+        a, b = self.member_edge[i], self.member_edge[i + 1]
+        m = np.zeros((b - a, self.token_edge[i + 1] - self.token_edge[i]), dtype=np.float32)
+        m[np.repeat(np.arange(b - a), self.held[a:b]), self.places[self.place_edge[i] : self.place_edge[i + 1]]] = 1
+        return m[:, common]
+
+
+def _open(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Opens pairs of groups (columns a_*, b_*): pairs of classes with a similarity of ``t`` or more."""
     for batch in batches:
-        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
-        if not len(rows[0]):
+        if not len(batch):
             continue
-        if carry is not None:
-            rows = [np.concatenate([c, r]) for c, r in zip(carry, rows, strict=True)]
-        # the last run may go on in the next batch
-        last = (rows[0] == rows[0][-1]) & (rows[4] == rows[4][-1])
-        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
-        carry = [r[cut:] for r in rows]
-        if cut:
-            yield from pairs([r[:cut] for r in rows])
-    if carry is not None:
-        yield from pairs(carry)
+        a, b = _Opened(batch, "a_"), _Opened(batch, "b_")
+        # tokens that the two unions share
+        token, pair = np.concatenate([a.tokens, b.tokens]), np.concatenate([a.of_token, b.of_token])
+        by = np.lexsort((token, pair))
+        twin = np.flatnonzero((token[by][1:] == token[by][:-1]) & (pair[by][1:] == pair[by][:-1]))
+        x, y = np.minimum(by[twin], by[twin + 1]), np.maximum(by[twin], by[twin + 1]) - len(a.tokens)
+        edge = np.searchsorted(pair[by[twin]], np.arange(len(batch) + 1))
+        out: list[tuple[np.ndarray, ...]] = []
+        least = np.minimum.reduceat(a.sizes, a.member_edge[:-1]) + np.minimum.reduceat(b.sizes, b.member_edge[:-1])
+        for i in np.flatnonzero(np.diff(edge) >= t / (1 + t) * least - 1e-9).tolist():
+            common = slice(edge[i], edge[i + 1])
+            many = edge[i + 1] - edge[i]
+            pa_, pb_ = slice(a.member_edge[i], a.member_edge[i + 1]), slice(b.member_edge[i], b.member_edge[i + 1])
+            p, q = a.sizes[pa_], b.sizes[pb_]
+            need = t / (1 + t) * (p[:, None] + q[None, :]) - 1e-9
+            # what the whole unions share bounds the overlap of any two members
+            if not ((need <= many) & (t * p[:, None] <= q[None, :] + 1e-9) & (t * q[None, :] <= p[:, None] + 1e-9)).any():
+                continue
+            shared = a.matrix(i, x[common] - a.token_edge[i]) @ b.matrix(i, y[common] - b.token_edge[i]).T
+            similar = shared / (p[:, None] + q[None, :] - shared)
+            r, c = np.nonzero(similar >= t - 1e-6)
+            exact = shared[r, c].astype(np.float64) / (p[r].astype(np.float64) + q[c] - shared[r, c])
+            ok = exact >= t - 1e-12
+            u, v = a.sigs[pa_][r[ok]], b.sigs[pb_][c[ok]]
+            differ = u != v
+            if differ.any():
+                out.append((np.minimum(u, v)[differ], np.maximum(u, v)[differ], exact[ok][differ]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], names=["sig_a", "sig_b", "similarity"])
+
+
+def _grid(rows: DataFrame, key: str, by: str, hot: DataFrame | None, left: bool) -> DataFrame:
+    """Rows with ``cell``: those of a hot key (``key``, ``side``) are dealt by ``by`` to one line of a grid of side x side cells, so that
+    each pair of rows meets in one cell; all others have the cell 0."""
+    if hot is None:
+        return rows.withColumn("cell", F.lit(0))
+    own = F.pmod(F.xxhash64(by), F.col("side"))
+    line = F.sequence(F.lit(0), F.col("side") - 1)
+    cells = F.transform(line, (lambda i: own * F.col("side") + i) if left else (lambda i: i * F.col("side") + own))
+    return rows.join(hot, key, "left").withColumn("cell", F.explode(F.when(F.col("side").isNull(), F.array(F.lit(0))).otherwise(cells.cast("array<int>")))).drop("side")
+
+
+def _hot(counts: DataFrame, key: str, limit: int) -> DataFrame | None:
+    """Keys with more than ``limit`` rows (``key, n``), with the side of their grid; None if there is none."""
+    found = materialize(counts.where(F.col("n") > limit).select(key, F.ceil(F.col("n") / limit).cast("int").alias("side")), "hot")
+    n = found.count()  # no more than the rows counted, divided by the limit
+    return lookup_side(found, n) if n else None
+
+
+def _meet(many: DataFrame, few: DataFrame, key: str, by: str, limit: int, counted: DataFrame | None = None) -> DataFrame:
+    """Join on ``key``; rows of ``many`` whose key has more than ``limit`` of them are dealt by ``by``, and the key's rows of ``few`` go to each part.
+
+    counted: rows of which the keys are counted, if not those of ``many``.
+    """
+    hot = _hot((many if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, limit)
+    if hot is None:
+        return many.join(few, key)
+    part = F.when(F.col("side").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("side"))).cast("int")
+    dealt = many.join(hot, key, "left").withColumn("part", part).drop("side")
+    spread = few.join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("side", F.lit(1)) - 1))).drop("side")
+    return dealt.join(spread, [key, "part"]).drop("part")
 
 
 class Similar:
     """Similar classes of a table of texts: ``members`` (id, sig) and ``pairs`` (sig_a, sig_b, similarity)."""
 
-    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, hot_class: int = HOT_CLASS) -> None:
+    def __init__(self, texts: DataFrame, width: int = 5, threshold: float = 0.8, hot_rows: int = HOT_ROWS, bits: int = SKETCH_BITS, words: int = WORDS,
+                 group_classes: int = GROUP_CLASSES, group_tokens: int = GROUP_TOKENS) -> None:
         """texts: ``id`` bigint, ``text``; a Jaccard similarity of ``threshold`` or more makes a pair.
 
         Null and empty texts and texts with fewer than ``width`` words have no set and no partner.  Rows repeated with
         the same id and text count once; one id with several texts belongs to several classes.  Rows without id are left
-        out, other columns ignored; an empty table has no members.  ``hot_class``: frequency class from which a
-        shingle's rows are dealt to a grid of tasks.
+        out, other columns ignored; an empty table has no members.  ``hot_rows``: rows of one key from which it is dealt
+        to a grid of tasks.
         """
         if not 0 < threshold <= 1:
             raise ValueError("threshold must be in (0, 1]")
         spark, t = texts.sparkSession, threshold
+        self.hot_rows = hot_rows
         base = texts.select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
-        sent = spark.sparkContext.broadcast(_frequency_sketch(base, width))
-        heads = materialize(
-            base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t, hot_class), "id long, sig long, size int, seed long, lead array<long>, place array<int>, hot array<boolean>, b0 long, b1 long, b2 long, b3 long"), "heads"
-        )
+        sent = spark.sparkContext.broadcast(frequency_sketch(base, width, bits, words))
+        heads = materialize(base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t), _HEAD), "heads")
         self.members = heads.select("id", "sig").distinct()
-        # one row per leading shingle; those of a hot shingle go to a grid of SALTS x SALTS cells, as query along one row, as member along one column
-        own, every = F.pmod("sig", F.lit(SALTS)), F.sequence(F.lit(0), F.lit(SALTS - 1))
-        grid = F.array_distinct(F.concat(F.transform(every, lambda i: own * SALTS + i), F.transform(every, lambda i: i * SALTS + own)))
-        lead = heads.select("sig", "seed", "size", F.explode(F.arrays_zip("lead", "place", "hot")).alias("x")).select(
-            F.col("x.lead").alias("token"), "sig", "seed", F.expr("shiftleft(CAST(size AS bigint), 32) + x.place").alias("at"),
-            F.when(F.col("x.hot"), grid).otherwise(F.array(F.lit(-1).cast("bigint"))).alias("cells"),
+        hot_class = 1 + int(4 * math.log2(max(2, hot_rows)))
+        groups = materialize(
+            heads.where("tokens IS NOT NULL").select("sig", "size", "seed", "lead", "tokens")
+            .repartitionByRange("seed", "size", "sig").sortWithinPartitions("seed", "size", "sig")
+            .mapInArrow(lambda b: _groups(b, t, sent.value, hot_class, group_classes, group_tokens), _GROUP), "groups",
         )
-        if (sent.value >= hot_class).any():
-            lead = lead.select("token", "sig", "seed", "at", F.explode("cells").alias("cell"))
-        else:
-            lead = lead.select("token", "sig", "seed", "at", F.lit(-1).cast("bigint").alias("cell"))
-        met = (
-            lead.repartition("token", "cell").sortWithinPartitions("token", "cell", "seed", "sig")
-            .mapInArrow(lambda b: _open_groups(b, t), "sig long, other long, q int, s int, place int, at int")
-        )
-        # with all leading shingles of a pair known, the bound is drawn once more
-        most = F.col("m") + F.least(F.col("q") - F.col("place") - 1, F.col("s") - F.col("at") - 1)
-        reached = (
-            met.groupBy("sig", "other", "q", "s").agg(F.count(F.lit(1)).alias("m"), F.max("place").alias("place"), F.max("at").alias("at"))
-            .where(most >= F.lit(t / (1 + t)) * (F.col("q") + F.col("s")) - 1e-9).select("sig", "other", "q", "s")
+        cells = groups.select("grp", F.expr("shiftleft(CAST(least AS bigint), 32) + most").alias("bounds"), F.explode(F.arrays_zip("lead", "hot")).alias("x")).select(
+            F.col("x.lead").alias("token"), "grp", "bounds", F.col("x.hot").alias("hot")
         )
-        # the bitmaps of two sets bound their overlap too
-        bits = [f"b{i}" for i in range(4)]
-        maps = heads.select("sig", *bits).dropDuplicates(["sig"])
-        unlike = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"o{b}"))) for b in bits), F.lit(0))
-        candidates = materialize(
-            reached.join(maps, "sig").join(maps.select(F.col("sig").alias("other"), *[F.col(b).alias(f"o{b}") for b in bits]), "other")
-            .where((F.col("q") + F.col("s") - unlike) / 2 >= F.lit(t / (1 + t)) * (F.col("q") + F.col("s")) - 1e-9).select("sig", "other", "q", "s"), "opened",
-        )
-        wanted = candidates.select("sig").union(candidates.select("other")).distinct()
-        places = heads.select("id", "sig").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-        sets = materialize(base.join(places, "id").select("sig", "text").mapInPandas(lambda b: _sets(b, Shingler(width)), "sig long, tokens array<long>"), "sets")
-        shared = F.size(F.array_intersect("a", "b"))
-        self.pairs = (
-            candidates.join(sets.select("sig", F.col("tokens").alias("a")), "sig")
-            .join(sets.select(F.col("sig").alias("other"), F.col("tokens").alias("b")), "other")
-            .withColumn("shared", shared)
-            .withColumn("similarity", F.col("shared") / (F.col("q") + F.col("s") - F.col("shared")))
-            .where(F.col("similarity") >= F.lit(t) - 1e-12)
-            .select(F.least("sig", "other").alias("sig_a"), F.greatest("sig", "other").alias("sig_b"), "similarity").distinct()
-        )
+        # only tokens whose counter allows it are counted to find those that too many groups hold
+        hot = _hot(cells.where("hot").groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token", hot_rows)
+        cells = cells.select("token", "grp", "bounds")
+        asking = _grid(cells, "token", "grp", hot, True)
+        asked = _grid(cells, "token", "grp", hot, False).withColumnsRenamed({"grp": "other", "bounds": "limits"})
+        met = asking.join(asked, ["token", "cell"]).where("grp < other").groupBy("grp", "other", "bounds", "limits").agg(F.count(F.lit(1)).alias("m"))
+        low, high = lambda c: F.shiftright(F.col(c), 32), lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
+
+        def needed(a: str, b: str):
+            """Fewest common leading tokens with which a set of a's sizes could reach a shorter or equal one of b's (null: none can).
+
+            Sets of q and s <= q tokens share at most their m common leading tokens and the ceil(tq) - 1 that don't lead the
+            longer one; t / (1 + t) * (q + s) must be reached.  The demand is least for the greatest q.
+            """
+            q = F.least(high(a).cast("double"), high(b) / F.lit(t))
+            some = F.floor(F.lit(t / (1 + t)) * low(b) - F.lit(t * t / (1 + t)) * q - F.lit(1e-9)) + 1
+            return F.when(q >= F.greatest(low(a), low(b)) - F.lit(1e-9), F.greatest(F.lit(1), some))
+
+        opened = materialize(met.where(F.col("m") >= F.least(needed("bounds", "limits"), needed("limits", "bounds"))).select("grp", "other"), "opened")
+        content = ["sigs", "sizes", "held", "tokens", "places"]
+        side = lambda key, p: groups.select(F.col("grp").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in content])
+        pairs = "sig_a long, sig_b long, similarity double"
+        across = _meet(opened, side("grp", "a"), "grp", "other", hot_rows)
+        across = _meet(across, side("other", "b"), "other", "grp", hot_rows, opened).drop("grp", "other")
+        within = groups.where(F.size("sigs") > 1).select(*[F.col(c).alias(f"{p}_{c}") for p in "ab" for c in content])
+        self.pairs = materialize(across.unionByName(within).mapInArrow(lambda b: _open(b, t), pairs).dropDuplicates(["sig_a", "sig_b"]), "similar")
 
     def point_pairs(self) -> DataFrame:
-        """Every pair of ids with similar or equal sets, ``id_a < id_b``, distinct."""
-        a = self.members.select(F.col("id").alias("x"), F.col("sig").alias("sig_a"))
-        b = self.members.select(F.col("id").alias("y"), F.col("sig").alias("sig_b"))
-        unlike = self.pairs.join(a, "sig_a").join(b, "sig_b").select("x", "y")
-        repeated = self.members.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("sig").alias("sig_a"))
-        copies = a.join(repeated, "sig_a", "left_semi")
-        alike = copies.join(copies.select(F.col("x").alias("y"), "sig_a"), "sig_a").where("x < y").select("x", "y")
+        """Every pair of ids with similar or equal sets, ``id_a < id_b``, distinct.
+
+        Ids of a class with many copies are dealt to tasks, where the pairs of the class go to each of them.
+        """
+        ids = lambda name, sig: self.members.select(F.col("id").alias(name), F.col("sig").alias(sig))
+        unlike = _meet(ids("x", "sig_a"), self.pairs.select("sig_a", "sig_b"), "sig_a", "x", self.hot_rows).select("x", "sig_b")
+        unlike = _meet(ids("y", "sig_b"), unlike, "sig_b", "y", self.hot_rows).select("x", "y")
+        counts = self.members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+        hot = _hot(counts, "sig", self.hot_rows)
+        repeated = self.members.join(counts.where("n > 1").select("sig"), "sig", "left_semi")
+        left = _grid(repeated.select(F.col("id").alias("x"), "sig"), "sig", "x", hot, True)
+        right = _grid(repeated.select(F.col("id").alias("y"), "sig"), "sig", "y", hot, False)
+        alike = left.join(right, ["sig", "cell"]).where("x < y").select("x", "y")
         return unlike.where("x <> y").unionByName(alike).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
     def groups(self) -> DataFrame:
         """One row per id: ``id, group_id`` (smallest id that similar classes connect it with), ``copies`` (ids of its class), ``links`` (similar other classes)."""
-        edges = materialize(self.pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b")), "edges")
-        label = connect(edges)
+        edges = self.pairs.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
+        label = connect(edges, self.hot_rows)
         links = edges.select("a").union(edges.select(F.col("b"))).groupBy(F.col("a").alias("sig")).agg(F.count(F.lit(1)).alias("links"))
         classes = self.members.groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
         known = classes.join(label, "sig", "left").join(links, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         first = known.groupBy("label").agg(F.min("least").alias("group_id"))
-        return (
-            self.members.join(known.join(first, "label").select("sig", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "sig")
-            .groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("copies").alias("copies"), F.max("links").alias("links"))
-        )
+        told = known.join(first, "label").select("sig", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+        return _meet(self.members, told, "sig", "id", self.hot_rows).groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("copies").alias("copies"), F.max("links").alias("links"))
 
 
-def connect(edges: DataFrame) -> DataFrame:
+def connect(edges: DataFrame, hot_rows: int = HOT_ROWS, rounds: int | None = None) -> DataFrame:
     """Connected components of ``a, b``: ``sig, label`` (smallest connected node), by alternating large and small stars.
 
     Each round is written to the shared folder; rounds grow with the logarithm of the nodes.  No edges give no rows.
+    If the stars still change after ``rounds`` (by default many more than are needed) an error is raised.
     """
     both = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     current = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     size = lambda e: e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     before = size(current)
-    for _ in range(4 * (2 + math.ceil(math.log2(before["n"] + 2)))):
+    for _ in range(4 * (2 + math.ceil(math.log2(before["n"] + 2))) if rounds is None else rounds):
         least = both(current).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both(current).join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _meet(both(current), least, "a", "b", hot_rows).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a <> b").distinct(), "stars")
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        small = _meet(large, lower, "a", "b", hot_rows).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
         current = materialize(small.where("a <> b").distinct(), "stars")
         now = size(current)
         if now == before:
-            break
+            nodes = current.select(F.col("a").alias("sig"), F.col("b").alias("label"))
+            return nodes.groupBy("sig").agg(F.min("label").alias("label"))
         before = now
-    nodes = current.select(F.col("a").alias("sig"), F.col("b").alias("label"))
-    return nodes.groupBy("sig").agg(F.min("label").alias("label"))
+    raise RuntimeError("connected components haven't converged")
 
 
 def similar_points(texts: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -67,11 +67,20 @@ def test_suffixes_are_in_full_order(seed):
     assert leakage._unpack(leakage._pack(tokens), len(tokens)).tolist() == tokens.tolist()
 
 
-def test_one_index_serves_several_test_sets_and_hits_come_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "HITS_AT_ONCE", 7)
+def test_one_index_serves_several_test_sets(spark):
     docs, items = make(11)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     index = leakage.suffix_index(d, shard_words=200)
     for part in (items[:6], items[6:]):
         got = {(r.doc_id, r.item_id) for r in leakage.search_index(index, spark.createDataFrame(part, "item_id long, text string"), 6).collect()}
         assert got == brute(docs, part, 6)
+
+
+def test_hits_come_in_blocks():
+    tests = leakage.Tests([(1, "a b c d"), (2, "b c")], 2)
+    words, _ = leakage.Hasher()(["a b c d"] * 30)
+    vocabulary, at = np.unique(words, return_inverse=True)
+    tokens = np.insert(at + 1, np.arange(4, 121, 4), 0)
+    whole = [np.concatenate(v).tolist() for v in zip(*leakage.passages(tokens, leakage.suffix_array(tokens), vocabulary, tests))]
+    parts = [np.concatenate(v).tolist() for v in zip(*leakage.passages(tokens, leakage.suffix_array(tokens), vocabulary, tests, 7))]
+    assert whole == parts and len(whole[0]) == 60

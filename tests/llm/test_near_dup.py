@@ -46,7 +46,7 @@ def test_against_brute_force(spark, width, t):
 def test_hot_shingles_take_the_grid(spark):
     rows = corpus(9, 90)
     df = spark.createDataFrame(rows, "id long, text string")
-    s = near_dup.Similar(df, 3, 0.7, hot_class=5)
+    s = near_dup.Similar(df, 3, 0.7, hot_rows=3)
     assert {tuple(r) for r in s.point_pairs().collect()} == brute(rows, 3, 0.7)
 
 
@@ -85,3 +85,27 @@ def test_empty_table_and_long_text(spark):
     long = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
     got = near_dup.similar_points(spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text of five words")], "id long, text string"))
     assert [tuple(r) for r in got.collect()] == [(1, 2)]
+
+
+def test_worn_out_counters_and_tiny_groups_change_nothing(spark):
+    rows = corpus(12, 200)
+    df = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    # every counter is shared by many tokens, so word frequencies order them
+    assert near_dup.frequency_sketch(df.where("text is not null").select("id", "text"), 3, bits=8).noise > 9
+    for width, t, words in ((3, 0.7, 1000), (5, 0.8, 5)):
+        s = near_dup.Similar(df, width, t, bits=8, words=words, group_classes=3, group_tokens=90)
+        assert {tuple(r) for r in s.point_pairs().collect()} == brute(rows, width, t)
+
+
+def test_class_with_many_copies_is_dealt(spark):
+    rows = [(i, "one two three four five six seven eight nine ten") for i in range(60)] + [(100 + i, "one two three four five six seven eight nine ten eleven") for i in range(40)]
+    s = near_dup.Similar(spark.createDataFrame(rows, "id long, text string"), 3, 0.7, hot_rows=7)
+    assert {tuple(r) for r in s.point_pairs().collect()} == brute(rows, 3, 0.7)
+    assert {(r.group_id, r.copies, r.links) for r in s.groups().collect()} == {(0, 60, 1), (0, 40, 1)}
+
+
+def test_connect_hub_and_too_few_rounds(spark):
+    star = spark.createDataFrame([(i, 1000) for i in range(50)] + [(1000, 2000), (2000, 2001)], "a long, b long")
+    assert {r.label for r in near_dup.connect(star, hot_rows=6).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        near_dup.connect(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long"), rounds=1)
