@@ -2,10 +2,11 @@
 
 Texts become sets of hashed word shingles (tokens); equal sets are one class.  Classes are partitioned into small groups of
 similar ones: range-partitioned and sorted by a minimum hash of their rarest tokens and by size.  The matrix holds one row
-for each group, with the union of its members' tokens, the members as places in the union, and the least and greatest
-size.  Groups then ask each other: over the tokens that lead their members (so many of each set's rarest that no partner can
-miss them) the overlap of the asking group's and the asked group's unions is summed, and only where the sum reaches what
-the sizes demand the two are opened: the whole unions bound the overlap once more, then the members are compared exactly.
+for each group: the union of the tokens that lead its members (so many of each set's rarest that no partner can miss them),
+a bitmap of each member's whole set and of their union, and the least and greatest size.  Groups then ask each other: the
+overlap of the asking group's and the asked group's unions is summed over their tokens, and only where the sum and the
+bitmaps can reach what the sizes demand the two are opened; the members that the same bounds leave are compared exactly.
+The rest of a set, behind its leading tokens, isn't written anywhere: at 100 shingles a text it is several times the input.
 
 Tokens are ordered rarest first by counters of fixed size, and where a counter holds more noise than signal by the
 frequencies of the token's words, which don't depend on how much text there is.  The order decides about cost only.
@@ -36,6 +37,8 @@ NOISE = 3.0
 GROUP_CLASSES, GROUP_TOKENS = 64, 100_000
 #: Rows of one key (groups of a token, ids of a class) beyond which the key is dealt to a grid of tasks.
 HOT_ROWS = 4_096
+#: Pairs that a task makes at once.
+PAIRS_AT_ONCE = 2_000_000
 #: Classes of a task whose tokens are remembered as sent, at most.
 REMEMBERED = 1_000_000
 
@@ -181,14 +184,36 @@ def _signature(tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
         return (np.add.reduceat(mixed, np.cumsum(size) - size) ^ (size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
 
 
-_HEAD = "id long, sig long, size int, seed long, lead int, tokens binary"
+def _bitmap(tokens: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """256 bits of each set: every token sets one; sets differ in at least as many tokens as their bits differ."""
+    bits = np.zeros((n, 256), dtype=np.uint8)
+    bits[row, (tokens & np.uint64(255)).astype(np.int64)] = 1
+    return np.packbits(bits, axis=1)
 
 
-def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float) -> Iterator[pa.RecordBatch]:
-    """Per text: class signature, size, group seed (minimum hash of the leading tokens), number of leading tokens, tokens in order.
+#: Bytes of a leading token in the matrix.
+TOKEN_BYTES = 5
+
+
+def _pack(tokens: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, 8 - TOKEN_BYTES :])
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // TOKEN_BYTES, 8), dtype=np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(np.int64).ravel()
+
+
+_HEAD = "id long, sig long, size int, seed long, lead binary"
+
+
+def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float, hot: int) -> Iterator[pa.RecordBatch]:
+    """Per text: class signature, size, group seed (minimum hash of the leading tokens), bitmap and leading tokens as bytes.
 
     A token that stands in no other text for certain can't be shared, so it is left out (it counts in the size).  Classes
-    without another leading token have no partner and no tokens here; nor have texts whose class the task has sent before.
+    without another leading token have no partner and no bytes here; nor have texts whose class the task has sent before.
+    The last bit of a token says whether its counter allows more than the hot number of texts.
     """
     sent: set[int] = set()
     for batch in batches:
@@ -199,37 +224,39 @@ def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float) -> I
         size = sizes[rows]
         start = np.cumsum(size) - size
         sig = _signature(tokens, size)
-        place = np.arange(len(tokens)) - np.repeat(start, size)
-        lead = (place < np.repeat(_probe(size, t), size)) & ~alone
+        row = np.repeat(np.arange(len(rows)), size)
+        place = np.arange(len(tokens)) - start[row]
+        lead = (place < _probe(size, t)[row]) & ~alone
         seed = np.minimum.reduceat(np.where(lead, mix(tokens, np.full(len(tokens), 11, np.uint64)), np.uint64(2**64 - 1)), start).view(np.int64)
-        many = np.add.reduceat(lead.astype(np.int64), start)
-        shared = np.add.reduceat((~alone).astype(np.int64), start)
+        edge = np.concatenate([[0], np.cumsum(np.add.reduceat(lead.astype(np.int64), start))])
+        leading = tokens[lead]
+        marked = np.where(shingler.sketch.level(leading) >= hot, leading | np.uint64(1 << 24), leading & ~np.uint64(1 << 24))
+        packed, bits = _pack(marked), _bitmap(tokens, row, len(rows))
         if len(sent) > REMEMBERED:
             sent.clear()
         blobs: list[bytes | None] = []
-        for s, n, a, b in zip(sig.tolist(), many.tolist(), (start + size - shared).tolist(), (start + size).tolist(), strict=True):
-            if n and s not in sent:
+        for i, (s, a, b) in enumerate(zip(sig.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            if b > a and s not in sent:
                 sent.add(s)
-                blobs.append(tokens[a:b].tobytes())
+                blobs.append(bits[i].tobytes() + packed[a:b].tobytes())
             else:
                 blobs.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows)), pa.array(sig), pa.array(size.astype(np.int32)), pa.array(seed), pa.array(many.astype(np.int32)), pa.array(blobs, pa.binary())],
-            names=["id", "sig", "size", "seed", "lead", "tokens"],
+            [batch.column(0).take(pa.array(rows)), pa.array(sig), pa.array(size.astype(np.int32)), pa.array(seed), pa.array(blobs, pa.binary())], names=["id", "sig", "size", "seed", "lead"]
         )
 
 
-_GROUP = "grp long, least int, most int, sigs array<long>, sizes array<int>, held array<int>, tokens array<long>, places array<int>, lead array<long>, hot array<boolean>"
+_GROUP = "grp long, least int, most int, tokens binary, bits binary, sigs array<long>, sizes array<int>, b0 array<long>, b1 array<long>, b2 array<long>, b3 array<long>"
 
 
-def _groups(batches: Iterator[pa.RecordBatch], t: float, sketch: Sketch, hot: int, classes: int, most: int) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], t: float, classes: int, most: int) -> Iterator[pa.RecordBatch]:
     """Rows of the matrix from classes sorted by seed, size and signature: a group is a run of one seed with at most
-    ``classes`` classes and ``most`` tokens whose sizes could still be similar."""
+    ``classes`` classes and ``most`` leading tokens whose sizes could still be similar."""
     before = None
     for batch in batches:
         if not len(batch):
             continue
-        sig, size, seed, lead = (batch.column(i).to_numpy() for i in range(4))
+        sig, size, seed = (batch.column(i).to_numpy() for i in range(3))
         fresh = np.ones(len(sig), dtype=bool)
         fresh[1:] = sig[1:] != sig[:-1]
         fresh[0] = sig[0] != before  # several tasks may have sent a class
@@ -237,100 +264,100 @@ def _groups(batches: Iterator[pa.RecordBatch], t: float, sketch: Sketch, hot: in
         kept = np.flatnonzero(fresh)
         if not len(kept):
             continue
-        blobs = batch.column(4).take(pa.array(kept)).to_pylist()
-        held = np.array([len(b) // 8 for b in blobs])
+        blobs = batch.column(3).take(pa.array(kept)).to_pylist()
+        held = np.array([(len(b) - 32) // TOKEN_BYTES for b in blobs])
         group, g, first, count, many = np.zeros(len(kept), dtype=np.int64), -1, None, 0, 0
         for n, (s, z, h) in enumerate(zip(seed[kept].tolist(), size[kept].tolist(), held.tolist(), strict=True)):
             if first is None or s != first[0] or z * t > first[1] + 1e-9 or count == classes or many + h > most:
                 g, first, count, many = g + 1, (s, z), 0, 0
             count, many = count + 1, many + h
             group[n] = g
-        token = np.frombuffer(b"".join(blobs), dtype=np.uint64)
-        row = np.repeat(np.arange(len(kept)), held)
-        place = np.arange(len(token)) - np.repeat(np.cumsum(held) - held, held)
-        leads = place < lead[kept][row]
-        # the union of each group, and each member's tokens as places in it
-        of = group[row]
+        token = _unpack(b"".join(b[32:] for b in blobs))
+        bits = np.frombuffer(b"".join(b[:32] for b in blobs), dtype=np.uint8).reshape(-1, 32)
+        of = np.repeat(group, held)
         by = np.lexsort((token, of))
         new = np.ones(len(by), dtype=bool)
         new[1:] = (token[by][1:] != token[by][:-1]) | (of[by][1:] != of[by][:-1])
-        union, union_of = token[by][new], of[by][new]
-        begin = np.searchsorted(union_of, np.arange(g + 2))
-        at = np.empty(len(token), dtype=np.int64)
-        at[by] = np.cumsum(new) - 1
-        leading = np.zeros(len(union), dtype=bool)
-        leading[at[leads]] = True
-        at -= begin[of]
+        union = np.ascontiguousarray(token[by][new].view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES])
+        begin = np.searchsorted(of[by][new], np.arange(g + 2))
         edge = np.searchsorted(group, np.arange(g + 2))
-        ends = np.concatenate([[0], np.cumsum(held)])[edge]
-        lead_edge = np.concatenate([[0], np.cumsum(leading)])[begin]
-        lead_token = union[leading]
-        cut = lambda values, edges: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(values))
         n = size[kept]
+        cut = lambda values: pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(sig[kept][edge[:-1]]), pa.array(np.minimum.reduceat(n, edge[:-1])), pa.array(np.maximum.reduceat(n, edge[:-1])),
-                cut(sig[kept], edge), cut(n, edge), cut(held.astype(np.int32), edge), cut(union.view(np.int64), begin), cut(at.astype(np.int32), ends),
-                cut(lead_token.view(np.int64), lead_edge), cut(sketch.level(lead_token) >= hot, lead_edge),
+                pa.array([union[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()),
+                pa.array([x.tobytes() for x in np.bitwise_or.reduceat(bits, edge[:-1], axis=0)], pa.binary()),
+                cut(sig[kept]), cut(n), *[cut(np.ascontiguousarray(bits[:, 8 * i : 8 * i + 8]).view(np.int64).ravel()) for i in range(4)],
             ],
             names=[x.split()[0] for x in _GROUP.split(", ")],
         )
 
 
-class _Opened:
-    """Members of the groups in one column of a batch, flattened."""
-
-    def __init__(self, batch: pa.RecordBatch, prefix: str) -> None:
-        flat = lambda name: batch.column(batch.schema.get_field_index(prefix + name))
-        edges = lambda col: col.offsets.to_numpy() - col.offsets[0].as_py()
-        self.tokens, self.token_edge = flat("tokens").flatten().to_numpy(), edges(flat("tokens"))
-        self.sigs, self.member_edge = flat("sigs").flatten().to_numpy(), edges(flat("sigs"))
-        self.sizes, self.held = flat("sizes").flatten().to_numpy(), flat("held").flatten().to_numpy()
-        self.places, self.place_edge = flat("places").flatten().to_numpy(), edges(flat("places"))
-        self.of_token = np.repeat(np.arange(len(batch)), np.diff(self.token_edge))
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each token of each group's union: token, grp, bounds (least and greatest size), whether the token may be hot."""
+    for batch in batches:
+        blobs = batch.column(3).to_pylist()
+        token = _unpack(b"".join(blobs))
+        row = np.repeat(np.arange(len(blobs)), [len(b) // TOKEN_BYTES for b in blobs])
+        bounds = (batch.column(1).to_numpy().astype(np.int64) << 32) + batch.column(2).to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(token >> 1), pa.array(batch.column(0).to_numpy()[row]), pa.array(bounds[row]), pa.array((token & 1).astype(bool))], names=["token", "grp", "bounds", "hot"]
+        )
 
-    def matrix(self, i: int, common: np.ndarray) -> np.ndarray:
-        """Members of group i by tokens, for the chosen places of its union."""
-        a, b = self.member_edge[i], self.member_edge[i + 1]
-        m = np.zeros((b - a, self.token_edge[i + 1] - self.token_edge[i]), dtype=np.float32)
-        m[np.repeat(np.arange(b - a), self.held[a:b]), self.places[self.place_edge[i] : self.place_edge[i + 1]]] = 1
-        return m[:, common]
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups that share a token, from rows sorted by token and cell; in a hot token's cell askers (role 1, 3) meet the asked (2, 3)."""
+    columns = ["token", "cell", "role", "grp", "bounds"]
+    carry: list[np.ndarray] | None = None
+
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, cell, role, grp, bounds = rows
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+        begin = np.flatnonzero(new)
+        width = np.diff(np.append(begin, len(token)))
+        own = np.repeat(np.arange(len(begin)), width)
+        many = np.where(width[own] > 1, width[own], 0)  # each row meets all rows of its run
+        edge = np.cumsum(many)
+        at = 0
+        while at < len(token):
+            end = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + PAIRS_AT_ONCE, side="right")))
+            a = np.repeat(np.arange(at, end), many[at:end])
+            b = begin[own[a]] + np.arange(len(a)) - np.repeat(np.cumsum(many[at:end]) - many[at:end], many[at:end])
+            # a grid holds each pair in both orders, a plain run in one of them
+            ok = (grp[a] < grp[b]) & (role[a] & 1 > 0) & (role[b] & 2 > 0)
+            a, b = a[ok], b[ok]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (grp[a], grp[b], bounds[a], bounds[b])], names=["grp", "other", "bounds", "limits"])
+            at = end
 
-def _open(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
-    """Opens pairs of groups (columns a_*, b_*): pairs of classes with a similarity of ``t`` or more."""
     for batch in batches:
-        if not len(batch):
+        rows = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(rows[0]):
+            continue
+        if carry is not None:
+            rows = [np.concatenate([c, r]) for c, r in zip(carry, rows, strict=True)]
+        last = (rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1])  # the last run may go on in the next batch
+        cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
+        carry = [r[cut:] for r in rows]
+        if cut:
+            yield from pairs([r[:cut] for r in rows])
+    if carry is not None:
+        yield from pairs(carry)
+
+
+def _sets(batches: Iterator[pd.DataFrame], shingler: Shingler) -> Iterator[pd.DataFrame]:
+    """The whole sets of wanted classes (of ids with several texts only the wanted one)."""
+    for batch in batches:
+        tokens, _, sizes = shingler(batch["text"].tolist())
+        rows = np.flatnonzero(sizes)
+        if not len(rows):
             continue
-        a, b = _Opened(batch, "a_"), _Opened(batch, "b_")
-        # tokens that the two unions share
-        token, pair = np.concatenate([a.tokens, b.tokens]), np.concatenate([a.of_token, b.of_token])
-        by = np.lexsort((token, pair))
-        twin = np.flatnonzero((token[by][1:] == token[by][:-1]) & (pair[by][1:] == pair[by][:-1]))
-        x, y = np.minimum(by[twin], by[twin + 1]), np.maximum(by[twin], by[twin + 1]) - len(a.tokens)
-        edge = np.searchsorted(pair[by[twin]], np.arange(len(batch) + 1))
-        out: list[tuple[np.ndarray, ...]] = []
-        least = np.minimum.reduceat(a.sizes, a.member_edge[:-1]) + np.minimum.reduceat(b.sizes, b.member_edge[:-1])
-        for i in np.flatnonzero(np.diff(edge) >= t / (1 + t) * least - 1e-9).tolist():
-            common = slice(edge[i], edge[i + 1])
-            many = edge[i + 1] - edge[i]
-            pa_, pb_ = slice(a.member_edge[i], a.member_edge[i + 1]), slice(b.member_edge[i], b.member_edge[i + 1])
-            p, q = a.sizes[pa_], b.sizes[pb_]
-            need = t / (1 + t) * (p[:, None] + q[None, :]) - 1e-9
-            # what the whole unions share bounds the overlap of any two members
-            if not ((need <= many) & (t * p[:, None] <= q[None, :] + 1e-9) & (t * q[None, :] <= p[:, None] + 1e-9)).any():
-                continue
-            shared = a.matrix(i, x[common] - a.token_edge[i]) @ b.matrix(i, y[common] - b.token_edge[i]).T
-            similar = shared / (p[:, None] + q[None, :] - shared)
-            r, c = np.nonzero(similar >= t - 1e-6)
-            exact = shared[r, c].astype(np.float64) / (p[r].astype(np.float64) + q[c] - shared[r, c])
-            ok = exact >= t - 1e-12
-            u, v = a.sigs[pa_][r[ok]], b.sigs[pb_][c[ok]]
-            differ = u != v
-            if differ.any():
-                out.append((np.minimum(u, v)[differ], np.maximum(u, v)[differ], exact[ok][differ]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], names=["sig_a", "sig_b", "similarity"])
+        sig = _signature(tokens, sizes[rows])
+        parts = np.split(tokens.view(np.int64), np.cumsum(sizes[rows])[:-1])
+        right = sig == batch["sig"].to_numpy()[rows]
+        yield pd.DataFrame({"sig": sig[right], "tokens": [p for p, ok in zip(parts, right, strict=True) if ok]})
 
 
 def _grid(rows: DataFrame, key: str, by: str, hot: DataFrame | None, left: bool) -> DataFrame:
@@ -383,23 +410,28 @@ class Similar:
         self.hot_rows = hot_rows
         base = texts.select(F.col("id").cast("long").alias("id"), "text").where("id IS NOT NULL AND text IS NOT NULL")
         sent = spark.sparkContext.broadcast(frequency_sketch(base, width, bits, words))
-        heads = materialize(base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t), _HEAD), "heads")
-        self.members = heads.select("id", "sig").distinct()
         hot_class = 1 + int(4 * math.log2(max(2, hot_rows)))
+        heads = materialize(base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t, hot_class), _HEAD), "heads")
+        self.members = heads.select("id", "sig").distinct()
         groups = materialize(
-            heads.where("tokens IS NOT NULL").select("sig", "size", "seed", "lead", "tokens")
+            heads.where("lead IS NOT NULL").select("sig", "size", "seed", "lead")
             .repartitionByRange("seed", "size", "sig").sortWithinPartitions("seed", "size", "sig")
-            .mapInArrow(lambda b: _groups(b, t, sent.value, hot_class, group_classes, group_tokens), _GROUP), "groups",
-        )
-        cells = groups.select("grp", F.expr("shiftleft(CAST(least AS bigint), 32) + most").alias("bounds"), F.explode(F.arrays_zip("lead", "hot")).alias("x")).select(
-            F.col("x.lead").alias("token"), "grp", "bounds", F.col("x.hot").alias("hot")
+            .mapInArrow(lambda b: _groups(b, t, group_classes, group_tokens), _GROUP).select(*[F.col(x.split()[0]) for x in _GROUP.split(", ")]), "groups",
         )
+        cells = groups.select("grp", "least", "most", "tokens").mapInArrow(_cells, "token long, grp long, bounds long, hot boolean")
         # only tokens whose counter allows it are counted to find those that too many groups hold
         hot = _hot(cells.where("hot").groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token", hot_rows)
         cells = cells.select("token", "grp", "bounds")
-        asking = _grid(cells, "token", "grp", hot, True)
-        asked = _grid(cells, "token", "grp", hot, False).withColumnsRenamed({"grp": "other", "bounds": "limits"})
-        met = asking.join(asked, ["token", "cell"]).where("grp < other").groupBy("grp", "other", "bounds", "limits").agg(F.count(F.lit(1)).alias("m"))
+        if hot is None:
+            laid = cells.repartition("token").sortWithinPartitions("token").withColumn("cell", F.lit(0)).withColumn("role", F.lit(3))
+        else:
+            own, side = F.pmod(F.xxhash64("grp"), F.col("side")).cast("int"), F.col("side")
+            at = lambda cell, role: F.struct(cell.cast("int").alias("cell"), F.lit(role).alias("role"))
+            others = F.filter(F.sequence(F.lit(0), side - 1), lambda i: i != own)
+            grid = F.concat(F.array(at(own * side + own, 3)), F.transform(others, lambda i: at(own * side + i, 1)), F.transform(others, lambda i: at(i * side + own, 2)))
+            laid = cells.join(hot, "token", "left").select("token", "grp", "bounds", F.explode(F.when(side.isNull(), F.array(at(F.lit(0), 3))).otherwise(grid)).alias("x"))
+            laid = laid.select("token", "grp", "bounds", "x.cell", "x.role").repartition("token", "cell").sortWithinPartitions("token", "cell")
+        met = laid.mapInArrow(_meetings, "grp long, other long, bounds long, limits long").groupBy("grp", "other", "bounds", "limits").agg(F.count(F.lit(1)).alias("m"))
         low, high = lambda c: F.shiftright(F.col(c), 32), lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
 
         def needed(a: str, b: str):
@@ -413,13 +445,27 @@ class Similar:
             return F.when(q >= F.greatest(low(a), low(b)) - F.lit(1e-9), F.greatest(F.lit(1), some))
 
         opened = materialize(met.where(F.col("m") >= F.least(needed("bounds", "limits"), needed("limits", "bounds"))).select("grp", "other"), "opened")
-        content = ["sigs", "sizes", "held", "tokens", "places"]
-        side = lambda key, p: groups.select(F.col("grp").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in content])
-        pairs = "sig_a long, sig_b long, similarity double"
-        across = _meet(opened, side("grp", "a"), "grp", "other", hot_rows)
-        across = _meet(across, side("other", "b"), "other", "grp", hot_rows, opened).drop("grp", "other")
-        within = groups.where(F.size("sigs") > 1).select(*[F.col(c).alias(f"{p}_{c}") for p in "ab" for c in content])
-        self.pairs = materialize(across.unionByName(within).mapInArrow(lambda b: _open(b, t), pairs).dropDuplicates(["sig_a", "sig_b"]), "similar")
+        # the groups' members; of a pair of groups those that sizes and bitmaps leave
+        bits = [f"b{i}" for i in range(4)]
+        classes = groups.select("grp", F.explode(F.arrays_zip("sigs", "sizes", *bits)).alias("x")).select("grp", F.col("x.sigs").alias("sig"), F.col("x.sizes").alias("size"), *[f"x.{b}" for b in bits])
+        asked = classes.select(F.col("grp").alias("other"), F.col("sig").alias("osig"), F.col("size").alias("osize"), *[F.col(b).alias(f"o{b}") for b in bits])
+        across = _meet(_meet(opened, classes, "grp", "other", hot_rows), asked, "other", "sig", hot_rows).drop("grp", "other")
+        crowded = groups.where(F.size("sigs") > 1).select("grp")
+        within = classes.join(crowded, "grp", "left_semi").join(asked.withColumnRenamed("other", "grp"), "grp").where("sig < osig").drop("grp")
+        unlike = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"o{b}"))) for b in bits), F.lit(0))
+        total = F.col("size") + F.col("osize")
+        allowed = (F.least("size", "osize") >= F.lit(t) * F.greatest("size", "osize") - 1e-9) & ((total - unlike) / 2 >= F.lit(t / (1 + t)) * total - 1e-9)
+        candidates = materialize(across.unionByName(within).where(allowed & (F.col("sig") != F.col("osig"))).select("sig", F.col("osig").alias("other"), F.col("size").alias("q"), F.col("osize").alias("s")), "candidates")
+        # the exact check: whole sets of the classes that are left, made from one text each
+        wanted = candidates.select("sig").union(candidates.select("other")).distinct()
+        chosen = heads.select("id", "sig").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
+        sets = materialize(base.join(chosen, "id").select("sig", "text").mapInPandas(lambda b: _sets(b, Shingler(width)), "sig long, tokens array<long>").dropDuplicates(["sig"]), "sets")
+        shared = F.size(F.array_intersect("a", "b"))
+        checked = _meet(_meet(candidates, sets.select("sig", F.col("tokens").alias("a")), "sig", "other", hot_rows), sets.select(F.col("sig").alias("other"), F.col("tokens").alias("b")), "other", "sig", hot_rows, candidates)
+        self.pairs = materialize(
+            checked.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.col("q") + F.col("s") - F.col("shared"))).where(F.col("similarity") >= F.lit(t) - 1e-12)
+            .select(F.least("sig", "other").alias("sig_a"), F.greatest("sig", "other").alias("sig_b"), "similarity").dropDuplicates(["sig_a", "sig_b"]), "similar",
+        )
 
     def point_pairs(self) -> DataFrame:
         """Every pair of ids with similar or equal sets, ``id_a < id_b``, distinct.
