@@ -205,7 +205,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
-_HEAD = "id long, sig long, size int, seed long, lead binary"
+_HEAD = "id long, sig long, size int, seed long, alone int, lead binary"
 
 
 def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float, hot: int) -> Iterator[pa.RecordBatch]:
@@ -241,12 +241,12 @@ def _heads(batches: Iterator[pa.RecordBatch], shingler: Shingler, t: float, hot:
                 blobs.append(bits[i].tobytes() + packed[a:b].tobytes())
             else:
                 blobs.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(rows)), pa.array(sig), pa.array(size.astype(np.int32)), pa.array(seed), pa.array(blobs, pa.binary())], names=["id", "sig", "size", "seed", "lead"]
-        )
+        single = np.add.reduceat(alone.astype(np.int64), start).astype(np.int32)
+        ints = [pa.array(v) for v in (sig, size.astype(np.int32), seed, single)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *ints, pa.array(blobs, pa.binary())], names=["id", "sig", "size", "seed", "alone", "lead"])
 
 
-_GROUP = "grp long, least int, most int, tokens binary, bits binary, sigs array<long>, sizes array<int>, b0 array<long>, b1 array<long>, b2 array<long>, b3 array<long>"
+_GROUP = "grp long, least int, most int, tokens binary, behind array<int>, bits binary, sigs array<long>, sizes array<int>, b0 array<long>, b1 array<long>, b2 array<long>, b3 array<long>"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], t: float, classes: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _groups(batches: Iterator[pa.RecordBatch], t: float, classes: int, most: int
     for batch in batches:
         if not len(batch):
             continue
-        sig, size, seed = (batch.column(i).to_numpy() for i in range(3))
+        sig, size, seed, alone = (batch.column(i).to_numpy() for i in range(4))
         fresh = np.ones(len(sig), dtype=bool)
         fresh[1:] = sig[1:] != sig[:-1]
         fresh[0] = sig[0] != before  # several tasks may have sent a class
@@ -264,7 +264,7 @@ def _groups(batches: Iterator[pa.RecordBatch], t: float, classes: int, most: int
         kept = np.flatnonzero(fresh)
         if not len(kept):
             continue
-        blobs = batch.column(3).take(pa.array(kept)).to_pylist()
+        blobs = batch.column(4).take(pa.array(kept)).to_pylist()
         held = np.array([(len(b) - 32) // TOKEN_BYTES for b in blobs])
         group, g, first, count, many = np.zeros(len(kept), dtype=np.int64), -1, None, 0, 0
         for n, (s, z, h) in enumerate(zip(seed[kept].tolist(), size[kept].tolist(), held.tolist(), strict=True)):
@@ -282,11 +282,16 @@ def _groups(batches: Iterator[pa.RecordBatch], t: float, classes: int, most: int
         begin = np.searchsorted(of[by][new], np.arange(g + 2))
         edge = np.searchsorted(group, np.arange(g + 2))
         n = size[kept]
+        # how many tokens stand behind each token of a union, in the member where most do
+        row = np.repeat(np.arange(len(kept)), held)
+        place = alone[kept][row] + np.arange(len(token)) - (np.cumsum(held) - held)[row]
+        behind = np.maximum.reduceat((n[row] - place - 1)[by], np.flatnonzero(new)).astype(np.int32)
         cut = lambda values: pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(values))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(sig[kept][edge[:-1]]), pa.array(np.minimum.reduceat(n, edge[:-1])), pa.array(np.maximum.reduceat(n, edge[:-1])),
                 pa.array([union[a:b].tobytes() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(behind)),
                 pa.array([x.tobytes() for x in np.bitwise_or.reduceat(bits, edge[:-1], axis=0)], pa.binary()),
                 cut(sig[kept]), cut(n), *[cut(np.ascontiguousarray(bits[:, 8 * i : 8 * i + 8]).view(np.int64).ravel()) for i in range(4)],
             ],
@@ -295,24 +300,28 @@ def _groups(batches: Iterator[pa.RecordBatch], t: float, classes: int, most: int
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each token of each group's union: token, grp, bounds (least and greatest size), whether the token may be hot."""
+    """One row for each token of each group's union: token, grp, bounds (least and greatest size), tokens behind it, whether it may be hot."""
     for batch in batches:
         blobs = batch.column(3).to_pylist()
         token = _unpack(b"".join(blobs))
         row = np.repeat(np.arange(len(blobs)), [len(b) // TOKEN_BYTES for b in blobs])
         bounds = (batch.column(1).to_numpy().astype(np.int64) << 32) + batch.column(2).to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(token >> 1), pa.array(batch.column(0).to_numpy()[row]), pa.array(bounds[row]), pa.array((token & 1).astype(bool))], names=["token", "grp", "bounds", "hot"]
-        )
+        columns = [pa.array(token >> 1), pa.array(batch.column(0).to_numpy()[row]), pa.array(bounds[row]), batch.column(4).flatten(), pa.array((token & 1).astype(bool))]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "grp", "bounds", "behind", "hot"])
+
 
+def _meetings(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of groups that share a token, from rows sorted by token and cell; in a hot token's cell askers (role 1, 3) meet the asked (2, 3).
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups that share a token, from rows sorted by token and cell; in a hot token's cell askers (role 1, 3) meet the asked (2, 3)."""
-    columns = ["token", "cell", "role", "grp", "bounds"]
+    Left out are pairs whose sizes can't be similar and tokens behind which too little is left for an overlap that begins with
+    them.  need: the least overlap that makes members of the two groups similar; behind: what is left behind the token.
+    """
+    columns = ["token", "cell", "role", "grp", "bounds", "behind"]
     carry: list[np.ndarray] | None = None
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        token, cell, role, grp, bounds = rows
+        token, cell, role, grp, bounds, behind = rows
+        least, most = bounds >> 32, bounds & 0xFFFFFFFF
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
         begin = np.flatnonzero(new)
@@ -328,8 +337,12 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a grid holds each pair in both orders, a plain run in one of them
             ok = (grp[a] < grp[b]) & (role[a] & 1 > 0) & (role[b] & 2 > 0)
             a, b = a[ok], b[ok]
+            p, q = np.maximum(least[a], np.ceil(t * least[b] - 1e-9)), np.maximum(least[b], np.ceil(t * least[a] - 1e-9))
+            need, left = np.ceil(t / (1 + t) * (p + q) - 1e-9), np.minimum(behind[a], behind[b])
+            ok = (p <= most[a]) & (q <= most[b]) & (1 + left >= need)
+            a, b, need, left = a[ok], b[ok], need[ok].astype(np.int32), left[ok].astype(np.int32)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (grp[a], grp[b], bounds[a], bounds[b])], names=["grp", "other", "bounds", "limits"])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (grp[a], grp[b], need, left)], names=["grp", "other", "need", "behind"])
             at = end
 
     for batch in batches:
@@ -414,14 +427,14 @@ class Similar:
         heads = materialize(base.mapInArrow(lambda b: _heads(b, Shingler(width, sent.value), t, hot_class), _HEAD), "heads")
         self.members = heads.select("id", "sig").distinct()
         groups = materialize(
-            heads.where("lead IS NOT NULL").select("sig", "size", "seed", "lead")
+            heads.where("lead IS NOT NULL").select("sig", "size", "seed", "alone", "lead")
             .repartitionByRange("seed", "size", "sig").sortWithinPartitions("seed", "size", "sig")
             .mapInArrow(lambda b: _groups(b, t, group_classes, group_tokens), _GROUP).select(*[F.col(x.split()[0]) for x in _GROUP.split(", ")]), "groups",
         )
-        cells = groups.select("grp", "least", "most", "tokens").mapInArrow(_cells, "token long, grp long, bounds long, hot boolean")
+        cells = groups.select("grp", "least", "most", "tokens", "behind").mapInArrow(_cells, "token long, grp long, bounds long, behind int, hot boolean")
         # only tokens whose counter allows it are counted to find those that too many groups hold
         hot = _hot(cells.where("hot").groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token", hot_rows)
-        cells = cells.select("token", "grp", "bounds")
+        cells = cells.select("token", "grp", "bounds", "behind")
         if hot is None:
             laid = cells.repartition("token").sortWithinPartitions("token").withColumn("cell", F.lit(0)).withColumn("role", F.lit(3))
         else:
@@ -429,29 +442,28 @@ class Similar:
             at = lambda cell, role: F.struct(cell.cast("int").alias("cell"), F.lit(role).alias("role"))
             others = F.filter(F.sequence(F.lit(0), side - 1), lambda i: i != own)
             grid = F.concat(F.array(at(own * side + own, 3)), F.transform(others, lambda i: at(own * side + i, 1)), F.transform(others, lambda i: at(i * side + own, 2)))
-            laid = cells.join(hot, "token", "left").select("token", "grp", "bounds", F.explode(F.when(side.isNull(), F.array(at(F.lit(0), 3))).otherwise(grid)).alias("x"))
-            laid = laid.select("token", "grp", "bounds", "x.cell", "x.role").repartition("token", "cell").sortWithinPartitions("token", "cell")
-        met = laid.mapInArrow(_meetings, "grp long, other long, bounds long, limits long").groupBy("grp", "other", "bounds", "limits").agg(F.count(F.lit(1)).alias("m"))
-        low, high = lambda c: F.shiftright(F.col(c), 32), lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1))
-
-        def needed(a: str, b: str):
-            """Fewest common leading tokens with which a set of a's sizes could reach a shorter or equal one of b's (null: none can).
-
-            Sets of q and s <= q tokens share at most their m common leading tokens and the ceil(tq) - 1 that don't lead the
-            longer one; t / (1 + t) * (q + s) must be reached.  The demand is least for the greatest q.
-            """
-            q = F.least(high(a).cast("double"), high(b) / F.lit(t))
-            some = F.floor(F.lit(t / (1 + t)) * low(b) - F.lit(t * t / (1 + t)) * q - F.lit(1e-9)) + 1
-            return F.when(q >= F.greatest(low(a), low(b)) - F.lit(1e-9), F.greatest(F.lit(1), some))
-
-        opened = materialize(met.where(F.col("m") >= F.least(needed("bounds", "limits"), needed("limits", "bounds"))).select("grp", "other"), "opened")
+            laid = cells.join(hot, "token", "left").select("token", "grp", "bounds", "behind", F.explode(F.when(side.isNull(), F.array(at(F.lit(0), 3))).otherwise(grid)).alias("x"))
+            laid = laid.select("token", "grp", "bounds", "behind", "x.cell", "x.role").repartition("token", "cell").sortWithinPartitions("token", "cell")
+        met = laid.mapInArrow(lambda b: _meetings(b, t), "grp long, other long, need int, behind int").groupBy("grp", "other").agg(
+            F.max("need").alias("need"), F.count(F.lit(1)).alias("m"), F.min("behind").alias("low"), F.max("behind").alias("high")
+        )
+        # of one member each, the tokens counted and those behind the last of them are all that can be shared; of several
+        # members the last token needn't be the pair's, so only what stands behind the first is certain
+        single = lambda key, name: groups.where(F.size("sigs") > 1).select(F.col("grp").alias(key), F.lit(True).alias(name))
+        opened = materialize(met.where(F.col("m") + F.col("high") >= F.col("need")), "met")
+        crowded = groups.where(F.size("sigs") > 1).select("grp").count()
+        for key, name in (("grp", "x"), ("other", "y")):
+            opened = opened.join(lookup_side(single(key, name), crowded), key, "left")
+        opened = materialize(opened.where(F.col("x").isNotNull() | F.col("y").isNotNull() | (F.col("m") + F.col("low") >= F.col("need"))).select("grp", "other"), "opened")
         # the groups' members; of a pair of groups those that sizes and bitmaps leave
         bits = [f"b{i}" for i in range(4)]
         classes = groups.select("grp", F.explode(F.arrays_zip("sigs", "sizes", *bits)).alias("x")).select("grp", F.col("x.sigs").alias("sig"), F.col("x.sizes").alias("size"), *[f"x.{b}" for b in bits])
         asked = classes.select(F.col("grp").alias("other"), F.col("sig").alias("osig"), F.col("size").alias("osize"), *[F.col(b).alias(f"o{b}") for b in bits])
         across = _meet(_meet(opened, classes, "grp", "other", hot_rows), asked, "other", "sig", hot_rows).drop("grp", "other")
-        crowded = groups.where(F.size("sigs") > 1).select("grp")
-        within = classes.join(crowded, "grp", "left_semi").join(asked.withColumnRenamed("other", "grp"), "grp").where("sig < osig").drop("grp")
+        names = ["sigs", "sizes", *bits]
+        of = lambda i, prefix: [F.get(n, i).alias(prefix + n.removesuffix("s")) for n in names]
+        twos = groups.where(F.size("sigs") > 1).select(*names, F.posexplode("sigs").alias("i", "_i")).select(*names, "i", F.posexplode("sigs").alias("j", "_j")).where("i < j")
+        within = twos.select(*of(F.col("i"), ""), *of(F.col("j"), "o"))
         unlike = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"o{b}"))) for b in bits), F.lit(0))
         total = F.col("size") + F.col("osize")
         allowed = (F.least("size", "osize") >= F.lit(t) * F.greatest("size", "osize") - 1e-9) & ((total - unlike) / 2 >= F.lit(t / (1 + t)) * total - 1e-9)
@@ -459,7 +471,7 @@ class Similar:
         # the exact check: whole sets of the classes that are left, made from one text each
         wanted = candidates.select("sig").union(candidates.select("other")).distinct()
         chosen = heads.select("id", "sig").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-        sets = materialize(base.join(chosen, "id").select("sig", "text").mapInPandas(lambda b: _sets(b, Shingler(width)), "sig long, tokens array<long>").dropDuplicates(["sig"]), "sets")
+        sets = materialize(base.join(lookup_side(chosen), "id").select("sig", "text").mapInPandas(lambda b: _sets(b, Shingler(width)), "sig long, tokens array<long>").dropDuplicates(["sig"]), "sets")
         shared = F.size(F.array_intersect("a", "b"))
         checked = _meet(_meet(candidates, sets.select("sig", F.col("tokens").alias("a")), "sig", "other", hot_rows), sets.select(F.col("sig").alias("other"), F.col("tokens").alias("b")), "other", "sig", hot_rows, candidates)
         self.pairs = materialize(
