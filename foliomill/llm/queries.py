@@ -19,9 +19,9 @@ def _scans(spark, sf_dir: str) -> DataFrame:
     """All records of PDF files (only they can be scans), repaired with the vocabulary of all other payloads."""
     pdf = F.lower("file_path").endswith(".pdf")
     points, answers = table(spark, sf_dir, "payloads"), table(spark, sf_dir, "vision_answers")
-    columns = lambda src, i, text, lost: [F.lit(src).alias("src"), F.col(i).alias("rec_id"), "file_path", F.col(text).alias("text"), F.lit(lost).alias("lost_ends")]
-    records = points.where(pdf).select(*columns("payload", "point_id", "chunk_text", False)).unionByName(
-        answers.where(pdf).select(*columns("vision", "vision_id", "answer", True))
+    columns = lambda src, i, text, lost, place: [F.lit(src).alias("src"), F.col(i).alias("rec_id"), "file_path", F.col(text).alias("text"), F.lit(lost).alias("lost_ends"), F.col(place).alias("place")]
+    records = points.where(pdf).select(*columns("payload", "point_id", "chunk_text", False, "chunk_index")).unionByName(
+        answers.where(pdf).select(*columns("vision", "vision_id", "answer", True, "page_no"))
     )
     clean = points.where(F.coalesce(~pdf, F.lit(True)) & F.col("chunk_text").isNotNull()).select(F.col("chunk_text").alias("text"))
     return scans.repair_scans(records, clean)

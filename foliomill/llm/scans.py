@@ -9,6 +9,7 @@ joined to paragraphs.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,10 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.trie import Trie
+from foliomill.session import lookup_side, materialize
 
-#: A word or a pair of neighbours belongs to the vocabulary if it makes up this share of the clean texts' words (and stands
-#: there twice), so neither holds more than VOCABULARY entries, however much text there is.
+#: Words and pairs of neighbours that are sent to the tasks, at most.  All that stand twice in the clean texts belong to them
+#: until there are more; then the most frequent do.
 VOCABULARY = 1_000_000
+#: A line is a running header of its file if it stands in so many of the file's places and at least this share of them is
+#: where furniture stands (beside a page number, at an end of the record, within a sentence).
+HEADER_PLACES, HEADER_SHARE = 3, 0.5
+#: A word that stands beside a number less often than once in so many times says nothing about one there.
+RARELY = 2_000
 #: Edits within which candidates are retrieved, and confusions that may explain one.
 EDITS, CONFUSIONS_MOST = 2, 2
 
@@ -115,19 +122,22 @@ class Repairer:
 
     def learn(self, suspects: set[str]) -> None:
         """Candidates of all new suspects of a batch: fewest confusions first, then the most frequent."""
-        if len(self.memory) > 300_000:
-            self.memory.clear()
         new = [w for w in suspects if w not in self.memory]
         for w, near in self.trie.within(new, EDITS).items():
             scored = [(explained(v, w), -self.words[v], v) for v in near if v != w]
             self.memory[w] = sorted(s for s in scored if s[0] <= CONFUSIONS_MOST)
 
+    def candidates(self, word: str) -> list[tuple[int, int, str]]:
+        if word not in self.memory:
+            self.learn({word})
+        return self.memory[word]
+
     def best(self, word: str, before: str, after: str, capital: bool = False) -> str | None:
         """The candidate that fits best: fewest confusions, then neighbours seen in clean texts, then frequency.
 
         A word with a capital is never taken for a name: an unknown name can't be told from a misread one.
         """
-        found = self.memory.get(word)
+        found = self.candidates(word)
         if capital and found:
             found = [f for f in found if f[2] not in self.names]
         if not found:
@@ -153,13 +163,15 @@ class Repairer:
         key, last = m[1].lower(), m[3]
         return m[1] != key and last != last.lower() and any(c in "0123456789Il" for c in m[2]) and _section_word(key)
 
-    def strip_line(self, line: str, title: list[str]) -> tuple[str | None, set[str]]:
-        """What is left of a line without furniture (None: all of it was), and the kinds of furniture."""
+    def strip_line(self, line: str, title: list[str], running: frozenset[str] = frozenset()) -> tuple[str | None, set[str]]:
+        """What is left of a line without furniture (None: all of it was), and the kinds of furniture; running: keys of the file's headers."""
         text = line.strip()
         if not text or len(text) > 90:
             return line, set()
         if _LONE.fullmatch(text):
             return None, {"page_number"}
+        if running and line_key(text) in running:
+            return None, {"header", "page_number"} if _LONE_FIRST.match(text) or _LONE_LAST.match(text) else {"header"}
         kinds: set[str] = set()
         wide = "  " in text
         m = _LONE_FIRST.match(text) if wide else None
@@ -173,6 +185,10 @@ class Repairer:
             return None, kinds
         return line, kinds
 
+    def _with_number(self, pair: str, word: str) -> bool:
+        """Whether a word stands beside a number often enough (once in RARELY times) for one there to be content."""
+        return self.pairs.get(pair, 0) * RARELY > self.words.get(word, 0)
+
     def strip_inline(self, text: str, title: list[str]) -> tuple[str, set[str]]:
         """A text whose line ends are lost, without the furniture that stands within it."""
         kinds: set[str] = set()
@@ -219,7 +235,7 @@ class Repairer:
                 b, a = before.strip("\x00.,;:").lower(), after.strip("\x00.,;:").lower()
                 # what stands before an end of a sentence says nothing about what follows it
                 b, ends = ("", True) if before.endswith((".", "!", "?", "\x00")) or not before else (b, False)
-                content = self.pairs.get(f"{b} 0", 0) or (self.pairs.get(f"0 {a}", 0) and not (ends and after[:1].isupper()))
+                content = self._with_number(f"{b} 0", b) or (self._with_number(f"0 {a}", a) and not (ends and after[:1].isupper()))
                 edge = ends or not before or not after or before == "\x00" or after == "\x00"
                 broken = before[-1:] in tuple(_HYPHENS) and after[:1].islower()
                 if broken or (not content and (edge or (b in self.words and a in self.words))):
@@ -250,7 +266,7 @@ class Repairer:
         words = self.words
         return {w for t in _TOKEN.findall(text) if not t.isdigit() for w in [t.lower()] if w not in words and not _ID.fullmatch(t) and len(w) > 2}
 
-    def clean(self, path: str, text: str, lost_ends: bool) -> tuple[list[str], set[str]]:
+    def clean(self, path: str, text: str, lost_ends: bool, running: frozenset[str] = frozenset()) -> tuple[list[str], set[str]]:
         """Paragraphs without furniture, the hyphens at line ends marked with \\x01, and the kinds of furniture."""
         title = title_of(path)
         if lost_ends:
@@ -267,7 +283,7 @@ class Repairer:
         current = ""
         gap = removed = False
         for line in lines:
-            left, found = self.strip_line(line, title)
+            left, found = self.strip_line(line, title, running)
             kinds |= found
             if left is None:
                 removed = True
@@ -338,14 +354,11 @@ class Repairer:
             if a + b and (a + b).lower() in self.words and a.isalpha() and b.isalpha():
                 core, hyphen = a + b, True
             elif a.isalpha() and b.isalpha() and a.lower() not in self.words and b.lower() not in self.words:
-                self.learn({(a + b).lower()})
-                if self.memory[(a + b).lower()] or not self.memory.get(low):
+                if self.candidates((a + b).lower()) or not self.candidates(low):
                     core, hyphen = a + b, True
             low = core.lower()
         word = low
         if low not in self.words and not low.isdigit() and not _ID.fullmatch(core) and len(low) > 2:
-            if low not in self.memory:
-                self.learn({low})
             best = self.best(low, before, after, core[0].isupper())
             if best:
                 word = best
@@ -356,7 +369,58 @@ class Repairer:
         return token[: m.start()] + core + token[m.end() :]
 
 
-_ready: dict[int, Repairer] = {}
+_ready: dict[str, Repairer] = {}
+
+
+def _repairer(name: str, sent) -> Repairer:
+    """The worker's repairer of a run, made once; it keeps what it has learnt, up to a bound, from task to task."""
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = Repairer(*sent.value)
+    found = _ready[name]
+    if len(found.memory) > 300_000:
+        found.memory.clear()
+    return found
+
+
+def line_key(line: str) -> str:
+    """What a running header has in common on all pages: without white space, numbers and case."""
+    return re.sub(r"[\s\d_]+", "", _LONE_LAST.sub(r"\1", _LONE_FIRST.sub(lambda m: m[m.lastindex], line.strip()))).lower()
+
+
+def _short_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Short lines without an end of a sentence: file_path, key, place, and whether they stand where furniture stands."""
+    for b in batches:
+        out = []
+        for path, text, place in zip(b["file_path"], b["text"], b["place"], strict=True):
+            lines = [x.strip() for x in _LINES.split(text)]
+            while lines and lines[0].startswith("# "):
+                lines.pop(0)
+            full = [i for i, x in enumerate(lines) if x]
+            for n, i in enumerate(full):
+                x = lines[i]
+                if len(x) > 90 or len(x) < 4 or x.count(" ") > 9 or x[-1] in ".!?:;," or x[0] in "-*" or _LONE.fullmatch(x) or not (x[0].isupper() or x[0].isdigit()):
+                    continue
+                key = line_key(x)
+                if len(key) < 4:
+                    continue
+                before, after = lines[full[n - 1]] if n else "", lines[full[n + 1]] if n + 1 < len(full) else ""
+                broken = bool(before) and before[-1] not in ".!?:" and after[:1].islower()
+                odd = broken or bool(_LONE.fullmatch(before)) or bool(_LONE.fullmatch(after)) or "  " in x
+                out.append((path, key, place, odd))
+        if out:
+            yield pd.DataFrame(out, columns=["file_path", "key", "place", "odd"])
+
+
+def running_headers(records: DataFrame) -> DataFrame:
+    """``file_path, running``: keys of the lines that come back in many places of a file, where furniture stands.
+
+    records: ``file_path, text, lost_ends, place`` (number of the chunk or page; copies and revisions of one place count once).
+    """
+    known = records.where("file_path IS NOT NULL AND text IS NOT NULL AND place IS NOT NULL AND NOT lost_ends").select("file_path", "text", "place")
+    lines = known.mapInPandas(_short_lines, "file_path string, key string, place long, odd boolean").groupBy("file_path", "key", "place").agg(F.max("odd").alias("odd"))
+    often = lines.groupBy("file_path", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if("odd").alias("odd")).where((F.col("n") >= HEADER_PLACES) & (F.col("odd") >= HEADER_SHARE * F.col("n")))
+    return often.groupBy("file_path").agg(F.collect_set("key").alias("running"))
 
 
 def clean_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], set[str]]:
@@ -366,8 +430,7 @@ def clean_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], set[s
     words = lines.select(F.explode(F.expr(r"regexp_extract_all(line, '[\\p{L}\\p{N}]+(?:-[\\p{L}\\p{N}]+)*', 0)")).alias("w"))
     seen = words.groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower("w") == F.col("w")).alias("k"))
     counts = seen.where("n >= 2 AND NOT w RLIKE '[0-9]'").cache()
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") >= max(2, total / VOCABULARY)).collect()
+    rows = counts.orderBy(F.col("n").desc(), "w").limit(VOCABULARY).collect()
     vocabulary, names = {r["w"]: r["n"] for r in rows}, {r["w"] for r in rows if not r["k"]}
     counts.unpersist()
     close = _confusable(vocabulary)
@@ -387,7 +450,7 @@ def clean_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], set[s
                 yield pd.DataFrame({"pair": list(n), "n": list(n.values())})
 
     grouped = texts.select("text").mapInPandas(neighbours, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = {r["pair"]: r["n"] for r in grouped.where(F.col("n") >= max(2, total / VOCABULARY)).collect()}
+    pairs = {r["pair"]: r["n"] for r in grouped.where("n >= 2").orderBy(F.col("n").desc(), "pair").limit(VOCABULARY).collect()}
     return vocabulary, pairs, names
 
 
@@ -407,29 +470,26 @@ def _confusable(vocabulary: dict[str, int]) -> set[str]:
 
 
 def repair_scans(records: DataFrame, clean: DataFrame) -> DataFrame:
-    """``src, rec_id, text, repairs``: the readable text of each record of (src, rec_id, file_path, text, lost_ends).
+    """``src, rec_id, text, repairs``: the readable text of each record of (src, rec_id, file_path, text, lost_ends, place).
 
+    ``place``: number of the record in its file (optional); lines that come back in many places of a file are running headers.
     ``lost_ends``: the record's line ends have become spaces.  ``repairs``: array of (kind, word), kind ``hyphen``, ``misread``,
     ``header`` or ``page_number`` (word empty).  ``clean`` holds the texts (column text) that can't be scans; they give the
     vocabulary.  Null texts stay null, empty ones empty, both without repairs; repeated records are repaired each; without
     clean texts only furniture and hyphens are repaired; leading lines that begin with ``# `` stay as they are.
     """
     spark = records.sparkSession
-    sent = spark.sparkContext.broadcast(clean_words(clean))
-    number = id(sent)
+    sent, name = spark.sparkContext.broadcast(clean_words(clean)), uuid.uuid4().hex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if number not in _ready:
-            _ready.clear()
-            _ready[number] = Repairer(*sent.value)
-        r = _ready[number]
+        r = _repairer(name, sent)
         for b in batches:
             cleaned, suspects = [], set()
-            for path, text, lost in zip(b["file_path"], b["text"], b["lost_ends"], strict=True):
+            for path, text, lost, running in zip(b["file_path"], b["text"], b["lost_ends"], b["running"], strict=True):
                 if not text:
                     cleaned.append(None)
                     continue
-                c = r.clean(path or "", text, bool(lost))
+                c = r.clean(path or "", text, bool(lost), frozenset() if running is None else frozenset(running))
                 cleaned.append(c)
                 for p in c[0]:
                     if not p.startswith("# "):
@@ -447,7 +507,10 @@ def repair_scans(records: DataFrame, clean: DataFrame) -> DataFrame:
             yield pd.DataFrame({"src": b["src"], "rec_id": b["rec_id"], "text": texts, "repairs": repairs})
 
     schema = "src string, rec_id long, text string, repairs array<struct<kind string, word string>>"
-    return records.select("src", F.col("rec_id").cast("long").alias("rec_id"), "file_path", "text", "lost_ends").mapInPandas(work, schema)
+    place = F.col("place").cast("long") if "place" in records.columns else F.lit(None).cast("long")
+    given = records.select("src", F.col("rec_id").cast("long").alias("rec_id"), "file_path", "text", "lost_ends", place.alias("place"))
+    running = materialize(running_headers(given), "headers")
+    return given.join(lookup_side(running), "file_path", "left").drop("place").mapInPandas(work, schema)
 
 
 def repairs(repaired: DataFrame) -> DataFrame:

@@ -66,3 +66,26 @@ def test_no_clean_texts_long_text_and_empty_table(spark):
     rows = spark.createDataFrame([("p", 1, "/a.pdf", "re-\nmoved", False)] * 2, "src string, rec_id long, file_path string, text string, lost_ends boolean")
     repaired = scans.repair_scans(rows, spark.createDataFrame([(t,) for t in TEXT], "text string"))
     assert [tuple(r) for r in scans.repairs(repaired).collect()] == [("p", 1, "hyphen", "removed")]
+
+
+def test_header_that_is_not_the_files_name_is_found_by_its_repetition(spark):
+    body = lambda i: f"The modest court was removed from the\n{i + 1}   Ledger of the Old Guild\ncarpenter until the evening.\n\nHeads and Tails\n\nReturn the short note."
+    rows = [("p", i, "/d/scan 1.pdf", body(i), False, i) for i in range(4)] + [("p", 10 + i, "/d/other.pdf", body(0), False, 7) for i in range(5)]
+    r = spark.createDataFrame(rows, "src string, rec_id long, file_path string, text string, lost_ends boolean, place int")
+    got = {x.rec_id: x for x in scans.repair_scans(r, spark.createDataFrame([(t,) for t in TEXT], "text string")).collect()}
+    assert "Ledger" not in got[0].text and "from the carpenter until" in got[0].text and {("header", ""), ("page_number", "")} <= {(a.kind, a.word) for a in got[0].repairs}
+    assert "Heads and Tails" in got[0].text  # repeated, but where headings stand
+    assert "Ledger" in got[10].text  # copies of one place are no repetition
+
+
+def test_rare_words_stay_in_the_vocabulary_however_much_text_there_is(spark):
+    words, pairs, _ = scans.clean_words(spark.createDataFrame([("Zylinderkopf was seen twice",)] * 2 + [("the court " * 5000,)] * 300, "text string"))
+    assert words["zylinderkopf"] == 2 and words["court"] == 1_500_000  # one of 1.5 million
+
+
+def test_worker_keeps_what_it_has_learnt():
+    class Sent:
+        value = ({"court": 3}, {}, set())
+
+    r = scans._repairer("run", Sent)
+    assert r.candidates("caurt") == r.memory["caurt"] and scans._repairer("run", Sent) is r and scans._repairer("next", Sent) is not r and len(scans._ready) == 1
