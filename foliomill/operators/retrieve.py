@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,20 @@ from pyspark.sql import functions as F
 QUERY_BLOCK = 2_000
 
 
+def _unit(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of the rows with ``dim`` finite values that aren't all zero."""
+    ids, col = batch.column(0), batch.column(1)
+    ok = np.asarray(ids.is_valid()) & np.asarray(col.is_valid())
+    if len(col):
+        ok &= np.diff(col.offsets.to_numpy()) == dim
+    ids, col = ids.filter(pa.array(ok)), col.filter(pa.array(ok))
+    x = np.array(col.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+    ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+    x = x[good]
+    return ids[good], x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.1, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, id, score``: the ``k`` rows of ``vectors`` (id, vector) most similar to each of ``queries`` (id, vector).
 
@@ -25,22 +40,29 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.
     asked = queries.select(F.col(queries.columns[0]).cast("long").alias("id"), F.col(queries.columns[1]).cast("array<double>").alias("vector"))
     asked = asked.where("id IS NOT NULL AND size(vector) > 0")
 
-    def search(batches: Iterator[pd.DataFrame], sent) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
         qid, q = sent.value
         best_id, best = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
         for b in batches:
-            rows = [(i, v) for i, v in zip(b["id"], b["vector"], strict=True) if v is not None and len(v) == q.shape[1] and np.isfinite(v).all() and np.any(v)]
-            if not rows:
-                continue
-            x = np.array([v for _, v in rows])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            s = np.round(q @ x.T, 6)
-            ids = np.concatenate([best_id, np.tile(np.array([i for i, _ in rows]), (len(qid), 1))], axis=1)
-            s = np.concatenate([best, s], axis=1)
-            order = np.lexsort((ids, -s), axis=1)[:, :k]
-            best_id, best = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
+            ids, x = _unit(b, q.shape[1])
+            for at in range(0, len(ids), 4096):
+                s = np.round(q @ x[at : at + 4096].T, 6)
+                near = np.broadcast_to(ids[at : at + 4096], s.shape)
+                # only rows that could still be among the k best are sorted; at equal scores all of them are
+                if best.shape[1] == k:
+                    can = (s >= best[:, -1:]).any(axis=0)
+                    s, near = s[:, can], near[:, can]
+                elif s.shape[1] > k:
+                    edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    can = (s >= edge[:, None]).any(axis=0)
+                    s, near = s[:, can], near[:, can]
+                if not s.shape[1]:
+                    continue
+                every_id, every = np.concatenate([best_id, near], axis=1), np.concatenate([best, s], axis=1)
+                order = np.lexsort((every_id, -every), axis=1)[:, :k]
+                best_id, best = np.take_along_axis(every_id, order, 1), np.take_along_axis(every, order, 1)
         r, c = np.nonzero(best >= least)
-        yield pd.DataFrame({"query_id": qid[r], "id": best_id[r, c], "score": best[r, c]})
+        yield pa.RecordBatch.from_arrays([pa.array(qid[r]), pa.array(best_id[r, c]), pa.array(best[r, c])], names=["query_id", "id", "score"])
 
     found: DataFrame | None = None
     part: list = []
@@ -49,7 +71,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.
         q = np.array([r["vector"] for r in part], dtype=np.float64)
         norm = np.linalg.norm(q, axis=1, keepdims=True)
         sent = spark.sparkContext.broadcast((np.array([r["id"] for r in part], dtype=np.int64), q / np.where(norm == 0, 1, norm)))
-        return base.mapInPandas(lambda b: search(b, sent), "query_id long, id long, score double")
+        return base.mapInArrow(lambda b: search(b, sent), "query_id long, id long, score double")
 
     for row in asked.toLocalIterator():
         if part and len(row["vector"]) != len(part[0]["vector"]):
@@ -65,12 +87,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 30, least: float = 0.
 
 
 def knee(scores: list[float], sensitivity: float = 1.0) -> int | None:
-    """Index of the knee of falling convex scores (Kneedle: Satopää et al., 2011); None if there is none or below 3 points."""
+    """Index of the knee of falling convex scores (Kneedle: Satopää et al., 2011); None if there is none or below 3 points.
+
+    First the curve is smoothed by a polynomial (degree 7, less for few points); if that has no knee, the scores themselves are taken.
+    """
     n = len(scores)
     if n < 3 or max(scores) - min(scores) < 1e-12:
         return None
-    y = np.array(scores, dtype=float)
+    x, y = np.linspace(0, 1, n), np.array(scores, dtype=float)
+    smooth = np.polynomial.Polynomial.fit(x, y, min(7, n - 1))(x)
+    found = _knee(smooth, sensitivity)
+    return _knee(y, sensitivity) if found is None else found
+
+
+def _knee(y: np.ndarray, sensitivity: float) -> int | None:
+    n = len(y)
     x = np.linspace(0, 1, n)
+    if y.max() - y.min() < 1e-12:
+        return None
     y = (y - y.min()) / (y.max() - y.min())
     d = (1 - y) - x  # a falling convex curve is mirrored to a rising concave one
     step = sensitivity / (n - 1)
@@ -85,14 +119,22 @@ def knee(scores: list[float], sensitivity: float = 1.0) -> int | None:
     return None
 
 
-def knee_cutoff(ranked: DataFrame, sensitivity: float = 1.0, least: int = 1) -> DataFrame:
+def cut_hits(scores: list[float], floor: float = 0.0, sensitivity: float = 1.0, least: int = 1) -> int:
+    """How many of the falling scores stay: up to the knee and, within that, before the first below ``floor`` (all if that is the first)."""
+    n, at = len(scores), knee(scores, sensitivity)
+    cutoff = n if at is None else min(n, max(least, at + 1))
+    if n < 2 or cutoff == n:
+        return n
+    low = next((i for i, s in enumerate(scores[:cutoff]) if s < floor), cutoff)
+    return low if low else n
+
+
+def knee_cutoff(ranked: DataFrame, sensitivity: float = 1.0, least: int = 1, floor: float = 0.0) -> DataFrame:
     """``query_id, n, cutoff``: how many of a query's ranked rows (query_id, rank, score) stay; all where there is no knee."""
 
     def cut(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rank")
-        at = knee(rows["score"].tolist(), sensitivity)
-        n = len(rows)
-        return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "n": [n], "cutoff": [n if at is None else min(n, max(least, at + 1))]})
+        return pd.DataFrame({"query_id": [rows["query_id"].iloc[0]], "n": [len(rows)], "cutoff": [cut_hits(rows["score"].tolist(), floor, sensitivity, least)]})
 
     return ranked.groupBy("query_id").applyInPandas(cut, "query_id long, n int, cutoff int")
 
@@ -103,6 +145,41 @@ def drop_cutoff(ranked: DataFrame, floor: float) -> DataFrame:
     return ranked.withColumn("_f", first).where((F.col("_f").isNull()) | (F.col("_f") == 1) | (F.col("rank") < F.col("_f"))).drop("_f")
 
 
+def permutation_faults(given: list[int], n: int) -> list[str]:
+    """What keeps a list from being a permutation of 0 to n - 1: wrong length, missing, unknown or repeated entries."""
+    want, have = set(range(n)), set(given)
+    faults = [] if len(given) == n else ["length"]
+    faults += ["missing"] if want - have else []
+    faults += ["unknown"] if have - want else []
+    return faults + (["repeated"] if len(have) < len(given) else [])
+
+
+def repaired(given: list[int], n: int) -> list[int]:
+    """:func:`repair_permutation` of plain lists."""
+    valid = list(dict.fromkeys(i for i in given if 0 <= i < n))
+    return valid + [i for i in range(n) if i not in set(valid)]
+
+
+def permutation_check(given: Column, original: Column) -> Column:
+    """Faults of a permutation column as text (empty: none), in the order length, missing, unknown, repeated."""
+    return F.concat_ws(
+        ",", F.when(F.size(given) != F.size(original), "length"), F.when(F.size(F.array_except(original, given)) > 0, "missing"),
+        F.when(F.size(F.array_except(given, original)) > 0, "unknown"), F.when(F.size(F.array_distinct(given)) < F.size(given), "repeated"),
+    )
+
+
+def resolved(asked: list[str], known: list[str], most: int = 2) -> list[str]:
+    """The known hashes that an answer's references mean (see :func:`resolve_references`), those that mean none left out."""
+    out = []
+    for ref in asked:
+        token = ref.replace("<<<", "").replace(">>>", "").strip().lower()
+        near = [(sum(a != b for a, b in zip(token, h, strict=True)), i) for i, h in enumerate(known) if len(token) == 16 == len(h)]
+        best = min(near, default=(most + 1, 0))
+        if best[0] <= most:
+            out.append(known[best[1]])
+    return out
+
+
 def repair_permutation(given: Column, original: Column) -> Column:
     """First occurrences of valid entries in the given order, then what is missing in the original order."""
     return F.concat(F.array_distinct(F.filter(given, lambda x: F.array_contains(original, x))), F.array_except(original, given))
@@ -150,6 +227,11 @@ def number_references(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_f", first).withColumn("number", F.dense_rank().over(Window.partitionBy("answer").orderBy("_f"))).drop("_f")
 
 
+# The answer's headings and the marks around the hashes of a context, as its readers expect them.
+HEADINGS = ("### Question", "### Answers", "### Conclusion", "### References", "### Follow-Up Questions")
+MARKS = ("<<< ", " >>>")
+
+
 def render_answer(question: str, answers: list[tuple[str, list[str]]], conclusion: str, follow_ups: list[str], rejected: bool = False) -> str:
     """One answer as Markdown: question, numbered answers, conclusion, references, follow-ups; empty if rejected."""
     if rejected:
@@ -159,15 +241,15 @@ def render_answer(question: str, answers: list[tuple[str, list[str]]], conclusio
         for ref in used:
             number.setdefault(ref, len(number) + 1)
     bullets = ["- " + a + "".join(f" **[{n}]**" for n in sorted({number[r] for r in used})) for a, used in answers]
-    parts = ["### Question", f"**{question}**", "### Answers", "\n".join(bullets), "### Conclusion", f"**{conclusion}**"]
+    parts = [HEADINGS[0], f"**{question}**", HEADINGS[1], "\n".join(bullets), HEADINGS[2], f"**{conclusion}**"]
     if number:
-        parts += ["### References", "\n".join(f"- **[{n}]** {ref}" for ref, n in number.items())]
-    parts += ["### Follow-Up Questions", "\n".join(f"- {f}" for f in follow_ups)]
+        parts += [HEADINGS[3], "\n".join(f"- **[{n}]** {ref}" for ref, n in number.items())]
+    parts += [HEADINGS[4], "\n".join(f"- {f}" for f in follow_ups)]
     return "\n\n".join(p for p in parts if p)
 
 
 def context(rows: DataFrame, group: str = "hit") -> DataFrame:
     """Context of each group (``group, distance, hash, chunk_text``): hashes and texts in order, four line ends apart."""
-    piece = F.concat(F.lit("<<< "), F.col("hash"), F.lit(" >>>\n\n"), F.coalesce("chunk_text", F.lit("")), F.lit("\n"))
+    piece = F.concat(F.lit(MARKS[0]), F.col("hash"), F.lit(MARKS[1] + "\n\n"), F.coalesce("chunk_text", F.lit("")), F.lit("\n"))
     listed = F.sort_array(F.collect_list(F.struct("distance", piece.alias("piece"))))
     return rows.groupBy(group).agg(F.array_join(F.transform(listed, lambda x: x["piece"]), "\n\n\n\n").alias("context"))

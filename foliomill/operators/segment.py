@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text
 
+Chunker = Callable[[list[str]], list[tuple[int, str]]]
+
 
 def lines(docs: DataFrame) -> DataFrame:
     """``doc_id, line_no (from 1), line``; null texts have no lines, the empty text has one."""
@@ -48,12 +50,12 @@ def split_sentences(body: str) -> list[tuple[int, int]]:
     """Begin and end of the sentences of one paragraph (lines joined by single spaces).
 
     A sentence ends at ``.``, ``!``, ``?`` or ``…`` before white space, but not behind a single letter and not right
-    behind markdown signs (heading, bullet, code mark).
+    behind markdown signs: a word that begins with a heading's or code mark, or a bullet at the paragraph's beginning.
     """
     out, begin = [], 0
     for m in _STOP.finditer(body):
         token = body[max(begin, body.rfind(" ", begin, m.start()) + 1) : m.end()]
-        if re.fullmatch(r"[^\W\d_]\.", token) or token[:1] in ("#", "`"):
+        if re.fullmatch(r"[^\W\d_]\.", token) or token[:1] in ("#", "`") or (token[:1] in ("-", "*") and m.end() - len(token) == 0):
             continue
         out.append((begin, m.end()))
         begin = m.end() + 1
@@ -62,6 +64,82 @@ def split_sentences(body: str) -> list[tuple[int, int]]:
     return out
 
 
+_WHITE = re.compile("[ \t\u00a0]+")
+_LINE_END = re.compile(r"\r\n|\r|\n")
+_STRIP = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def document_paragraphs(body: str) -> list[tuple[int, list[str]]]:
+    """First line's number and lines of each paragraph of a whole text, as :func:`paragraphs` cuts them."""
+    out: list[tuple[int, list[str]]] = []
+    before: str | None = None
+    for n, line in enumerate(_LINE_END.split(body), 1):
+        line = _WHITE.sub(" ", line).strip(_STRIP)
+        if line:
+            if not before or line.startswith(("- ", "#")) or before.startswith("#"):
+                out.append((n, []))
+            out[-1][1].append(line)
+        before = line
+    return out
+
+
+def document_sentences(body: str | None) -> list[tuple[str, int, int]]:
+    """Text and first and last line of each sentence of a whole text; an empty one with references 0 between paragraphs."""
+    out: list[tuple[str, int, int]] = []
+    for first, found in document_paragraphs(body or ""):
+        starts, at = [], 0
+        for line in found:
+            starts.append(at)
+            at += len(line) + 1
+        if out:
+            out.append(("", 0, 0))
+        joined = " ".join(found)
+        line_at = lambda o, s=starts, f=first: f + bisect_right(s, o) - 1
+        out += [(joined[x:y], line_at(x), line_at(max(x, y - 1))) for x, y in split_sentences(joined)]
+    return out
+
+
+def sentences_of(docs: DataFrame) -> DataFrame:
+    """:func:`sentences` of whole texts (``doc_id, text``, one row each), in one pass without a shuffle; null texts have none."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(d, k, *s) for d, t in zip(b["doc_id"], b["text"], strict=True) for k, s in enumerate(document_sentences(t))]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "sent_idx", "text", "ref_min", "ref_max"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, sent_idx int, text string, ref_min int, ref_max int")
+
+
+def paragraphs_of(docs: DataFrame) -> DataFrame:
+    """:func:`paragraphs` of whole texts (``doc_id, text``, one row each), in one pass without a shuffle; null texts have none."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(d, k, n, n + len(x) - 1, "\n".join(x)) for d, t in zip(b["doc_id"], b["text"], strict=True) for k, (n, x) in enumerate(document_paragraphs(t or ""), 1)]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "paragraph", "first_line", "last_line", "body"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, paragraph int, first_line int, last_line int, body string")
+
+
+def chunk_documents(docs: DataFrame, block: int = 100, chunker: Chunker | None = None) -> DataFrame:
+    """:func:`chunks` of whole texts (``doc_id, text``, one row each), in one pass without a shuffle."""
+    make = chunker or word_target_chunker()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, body in zip(b["doc_id"], b["text"], strict=True):
+                found = fold_chunks(document_sentences(body), block, make)
+                out += [(doc, i, len(found), h, f"# {h}\n\n{t}", x, y) for i, (h, t, x, y) in enumerate(found)]
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "chunk_index", "chunks_total", "header", "chunk_text", "ref_min", "ref_max"])
+
+    schema = "doc_id long, chunk_index int, chunks_total int, header string, chunk_text string, ref_min int, ref_max int"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(fold, schema)
+
+
 def sentences(paragraph_rows: DataFrame) -> DataFrame:
     """``doc_id, sent_idx (from 0), text, ref_min, ref_max``; a row with empty text and references 0 stands between paragraphs."""
 
@@ -97,9 +175,6 @@ def blocks(rows: DataFrame, size: int, order: str = "line_no") -> DataFrame:
     )
 
 
-Chunker = Callable[[list[str]], list[tuple[int, str]]]
-
-
 def word_target_chunker(target: int = 200) -> Chunker:
     """Offline chunker: starts a chunk when the one before has its words; breaks at paragraph ends above three quarters of them."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,13 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def checked_pattern(pattern: str) -> str:
+    """The pattern with the home folder for ``~``; it must be absolute."""
+    found = os.path.expanduser(pattern.strip())
+    glob_regex(found)
+    return found
+
+
 def selected(paths: DataFrame, include: list[str], exclude: list[str]) -> DataFrame:
     """Distinct ``file_path`` that an include pattern selects and no exclude pattern does; exclusion always wins.
 

@@ -22,7 +22,7 @@ def _lines(s, d):
 
 
 def _sentences(s, d):
-    return segment.sentences(segment.paragraphs(_lines(s, d)))
+    return segment.sentences_of(_docs(s, d))
 
 
 def ocr_strategy(s, d):
@@ -50,10 +50,10 @@ QUERIES = {
     "single_lines": _of(lambda: F.sha2(text.single_line("text"), 256), "digest"),
     "json_names": _of(lambda: text.json_name("text"), "name"),
     "line_offsets": lambda s, d: segment.line_offsets(_lines(s, d)),
-    "paragraphs": lambda s, d: segment.paragraphs(_lines(s, d)),
+    "paragraphs": lambda s, d: segment.paragraphs_of(_docs(s, d)),
     "line_blocks": lambda s, d: segment.blocks(_lines(s, d), 100),
     "sentences": _sentences,
-    "chunks": lambda s, d: segment.chunks(_sentences(s, d), 100),
+    "chunks": lambda s, d: segment.chunk_documents(_docs(s, d), 100),
     "ocr_strategy": ocr_strategy,
     "doc_kinds": doc_kinds,
 }

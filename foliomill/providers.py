@@ -29,6 +29,14 @@ class Provider(ABC):
     @abstractmethod
     def answer(self, question: str, chunks: list[tuple[str, str]]) -> dict: ...
 
+    def vision(self, image: bytes, mode: str) -> str | None:
+        """Text of an image (mode ``ocr`` or ``entity``); None if it can't be told.  Without a model there is none."""
+        return None
+
+    def models(self) -> str:
+        """What tells the models apart; part of every cache key."""
+        return type(self).__name__
+
 
 class Offline(Provider):
     """Feature hashing, word targets and word overlap; equal input gives equal output everywhere."""
@@ -36,6 +44,9 @@ class Offline(Provider):
     def __init__(self, size: int = 256, words: int = 200) -> None:
         self.size, self._chunk = size, word_target_chunker(words)
 
+    def models(self) -> str:
+        return f"offline-{self.size}"
+
     def embed(self, texts: list[str]) -> np.ndarray:
         import hashlib
 
@@ -86,12 +97,39 @@ def embed_with_ladder(provider: Provider, text: str, too_long: type[Exception] =
     return None
 
 
+def embed_all(provider: Provider, texts: list[str], too_long: type[Exception] = ValueError) -> list:
+    """Vectors of all texts with retries; where one of them is too long or fails, each goes alone, shortened, and what still fails has None."""
+    try:
+        return list(retry(lambda: provider.embed(texts), attempts=3))
+    except Exception:  # one bad text costs itself only
+        out = []
+        for t in texts:
+            try:
+                out.append(retry(lambda t=t: embed_with_ladder(provider, t, too_long)))
+            except Exception:
+                out.append(None)
+        return out
+
+
+def vision_text(provider: Provider, image: bytes, mode: str) -> str | None:
+    """Text of an image: ``ocr``, ``entity``, ``both`` (OCR text, a space and the entities' text; null if either is) or ``none``."""
+    if mode == "none":
+        return None
+    parts = [retry(lambda m=m: provider.vision(image, m)) for m in (("ocr", "entity") if mode == "both" else (mode,))]
+    return None if any(p is None for p in parts) else " ".join(parts)
+
+
+def vision_mode(ocr: bool, entity: bool) -> str:
+    """Which questions an image is asked."""
+    return "both" if ocr and entity else "ocr" if ocr else "entity" if entity else "none"
+
+
 def embed(rows: DataFrame, provider: Provider, text: str = "chunk_text") -> DataFrame:
-    """Rows with ``vector array<float>``; null texts have none."""
+    """Rows with ``vector array<float>``; null texts and texts whose embedding fails have none."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            vectors = provider.embed([t or "" for t in b[text]])
+            vectors = embed_all(provider, [t or "" for t in b[text]])
             b["vector"] = [v if t is not None else None for v, t in zip(vectors, b[text], strict=True)]
             yield b
 

@@ -33,13 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, a temporary one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.  Where it is unset, a local master gets a temporary
+    folder (kept for the session); on a cluster that is an error, as no such folder is shared."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-foliomill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        _folders[app] = "file://" + tempfile.mkdtemp(prefix="spark-foliomill-")
+    return _folders[app]
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:

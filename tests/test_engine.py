@@ -4,6 +4,7 @@ import zipfile
 
 from foliomill import providers
 from foliomill.engine import Engine
+from foliomill.operators.store import Collections
 from foliomill.sources import files
 from foliomill.streaming.incremental import ingest_new_files
 
@@ -24,11 +25,15 @@ def test_track_commit_search(spark, tmp_path):
     assert [os.path.basename(r.file_path) for r in e.diff().collect()] == ["d.pdf"]  # unprocessable, stays open
     assert e.search("kernel memory").first().file_path.endswith("b.html")
     assert "[1]" in e.query("what does the kernel do with memory")
+    path = e.query_to_files("what does the kernel do?", str(tmp_path / "out"))
+    assert path.endswith("what_does_the_kernel_do_.json") and "kernel" in open(path).read() and "### Answers" in open(path[:-5] + ".md").read()
+    assert Engine(spark, str(home)).patterns == {f"{root}/*.*": "include", f"{root}/*.md": "exclude"}  # a restart knows them
+    assert e.cache.read("embed").count() == e.store.read(e.name).count()
     (root / "b.html").unlink()
     (root / "a.txt").write_text("Something else entirely here.")
     assert e.update(str(root)) == {"changed": 1, "removed": 1}
     assert e.update(str(root)) == {} and e.store.stats(e.name).first().files == 1
-    assert e.store.names() == ["default"] and e.store.chunk_headers("default", f"{root}/a.txt").count() == 1
+    assert e.store.names() == [e.name] and e.store.chunk_headers(e.name, f"{root}/a.txt").count() == 1
 
 
 def test_decoders():
@@ -82,3 +87,52 @@ def test_catalogue_runs_on_the_smallest_tables(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_unreadable_changed_file_keeps_its_points_and_only_changed_files_are_read(spark, tmp_path):
+    root, home = tmp_path / "files", tmp_path / "home"
+    root.mkdir()
+    (root / "a[1].txt").write_text("The cat sat on the mat.")
+    (root / "b.txt").write_text("Birds sing in trees.")
+    e = Engine(spark, str(home))
+    e.include(f"{root}/**")
+    assert e.update(str(root)) == {"added": 2}
+    (root / "b.txt").write_bytes(b"no\x00text")
+    assert e.update(str(root)) == {} and e.store.stats(e.name).first().files == 2
+    assert [(os.path.basename(r.file_path), r["diff"]) for r in e.diff().collect()] == [("b.txt", "changed")]
+    assert e.search("birds sing").first().file_path.endswith("b.txt") and e.files_found("birds sing").first().file_path.endswith("b.txt")
+
+
+def test_a_write_that_dies_changes_nothing(spark, tmp_path):
+    c = Collections(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "file_path string, chunk_index int")
+    c.write("n", rows(("/a", 0), ("/b", 0)))
+    real = c.spark
+    c.spark = None  # the line that makes a batch valid can't be written
+    try:
+        c.replace("n", rows(("/a", 7)))
+    except AttributeError:
+        pass
+    c.spark = real
+    see = lambda: sorted(tuple(r) for r in c.read("n").collect())
+    assert see() == [("/a", 0), ("/b", 0)]
+    c.replace("n", rows(("/a", 1)))
+    c.add("n", rows(("/a", 2)))
+    c.remove("n", rows(("/b", 0), ("/x", 0)))
+    assert see() == [("/a", 1), ("/a", 2)] and c.catalogue().collect()[0].chunks == 2
+    c.write("n", rows(("/z", 0)))
+    assert see() == [("/z", 0)] and c.names() == ["n"]
+
+
+def test_one_bad_text_costs_itself_only(spark):
+    class Picky(providers.Offline):
+        def embed(self, texts):
+            if any(len(t.split()) > 3 for t in texts):
+                raise ValueError("too long")
+            if any("bad" in t for t in texts):
+                raise RuntimeError
+            return super().embed(texts)
+
+    got = providers.embed_all(Picky(4), ["a b", "bad", "one two three four five"])
+    assert [v is not None for v in got] == [True, False, True]
+    assert providers.vision_mode(True, True) == "both" and providers.vision_text(Picky(4), b"", "both") is None

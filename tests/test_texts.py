@@ -107,3 +107,13 @@ def test_chunks_tile_their_sentences(spark):
     assert [r.chunk_index for r in cut] == list(range(len(cut))) and {r.chunks_total for r in cut} == {len(cut)} and len(cut) > 5
     words = " ".join(r.chunk_text.split("\n\n", 1)[1] for r in cut).split()
     assert words == body.split()
+
+
+def test_one_pass_gives_what_the_windows_give(spark):
+    bodies = ["A.\nB.\n\nC.", "First. Second spans\nlines.\n\nThird.", "# H\nx y.\n- a\n- b. c d. e\n\n\n\tz\u00a0 q", "", None, "\n \n", "a\r\nb\rc"]
+    d = docs(spark, *bodies)
+    rows = segment.paragraphs(segment.lines(d))
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(segment.paragraphs_of(d)) == key(rows)
+    assert key(segment.sentences_of(d)) == key(segment.sentences(rows))
+    assert key(segment.chunk_documents(d, 2)) == key(segment.chunks(segment.sentences(rows), 2))
