@@ -29,6 +29,13 @@ def file_uri(path: Column) -> Column:
     return F.concat(F.lit("file://"), coded)
 
 
+def markdown_links(text: Column) -> Column:
+    """Each ``file://`` address of a text as Markdown link: ``[decoded](address)``; an address ends before white space, ``]`` or ``)``."""
+    parts = F.regexp_extract_all(text, F.lit(r"(file://[^\s\])]+|(?:(?!file://[^\s\])])[\s\S])+)"), 1)
+    link = lambda x: F.concat(F.lit("["), F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x), F.lit("]("), x, F.lit(")"))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("file://") & (F.length(x) > 7), link(x)).otherwise(x)), "")
+
+
 def utc_time(seconds: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS`` in UTC (the session's time zone is UTC)."""
     return F.date_format(F.timestamp_seconds(F.floor(seconds)), "yyyy-MM-dd HH:mm:ss")

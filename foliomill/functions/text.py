@@ -71,6 +71,28 @@ def json_name(question: Column | str, most: int = 160) -> Column:
     return F.concat(F.when(F.length(t) > most - 5, F.concat(F.substring(t, 1, most - 10), F.lit("[...]"))).otherwise(t), F.lit(".json"))
 
 
+def score_percent(score: Column | str) -> Column:
+    """A score in percent, six characters wide with two decimals."""
+    return F.format_string("%6.2f", (F.col(score) if isinstance(score, str) else score) * 100)
+
+
+def bracketed(found: Column | str, strict: Column | bool, kind: str = "image") -> Column:
+    """An image's text as it stands in its document: bare for a page read strictly, else in brackets; null: that it can't be processed."""
+    found = F.col(found) if isinstance(found, str) else found
+    return F.coalesce(F.when(F.lit(strict) if isinstance(strict, bool) else strict, found).otherwise(F.concat(F.lit("["), found, F.lit("]"))), F.lit(f"[Unprocessable {kind}]"))
+
+
+def first_text(columns: list[str], names: tuple[str, ...] = ("chunk_text", "text", "content", "body")) -> Column:
+    """The first column of text by its name; none gives null."""
+    known = [F.col(n).cast("string") for n in names if n in columns]
+    return F.coalesce(*known) if known else F.lit(None).cast("string")
+
+
+def word_targets(target: int) -> tuple[int, int, int, int]:
+    """Least, most, greatest tolerated and smallest tolerated words of a chunk."""
+    return int(0.75 * target), int(1.25 * target), int(1.5 * target), int(0.5 * target)
+
+
 def json_clean(text: Column | str) -> Column:
     """Without control characters other than tab and line ends."""
     return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")

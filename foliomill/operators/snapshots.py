@@ -123,6 +123,19 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str = "file_path", compar
     )
 
 
+def consecutive_diffs(rows: DataFrame, group: str = "profile", number: str = "snapshot_no", key: str = "file_path", compare: Sequence[str] = ("size", "mtime")) -> DataFrame:
+    """:func:`snapshot_diff` of every snapshot of every group with the group's snapshot before: ``group, number, key, diff``.
+
+    rows: one row for each entry (no repeated ones).  A group's first snapshot is compared with nothing and left out.
+    """
+    calendar = rows.groupBy(group, number).agg(F.count(F.lit(1)).alias("_n")).withColumn("_to", F.lead(number).over(Window.partitionBy(group).orderBy(number)))
+    first = calendar.groupBy(group).agg(F.min(number).alias("_first"))
+    place = lambda no: F.struct(F.col(group).alias("g"), F.col(no).alias("n"), F.col(key).alias("k")).alias("_key")
+    old = rows.join(calendar.where("_to IS NOT NULL"), [group, number]).select(place("_to"), *compare)
+    new = rows.join(first, group).where(F.col(number) > F.col("_first")).select(place(number), *compare)
+    return snapshot_diff(old, new, "_key", compare).select(F.col("_key.g").alias(group), F.col("_key.n").alias(number), F.col("_key.k").alias(key), "diff")
+
+
 def diff_counts(diff: DataFrame) -> DataFrame:
     """Rows per diff state (added, changed, removed, None)."""
     return diff.groupBy("diff").agg(F.count(F.lit(1)).alias("n"))

@@ -25,6 +25,14 @@ def cache_entries(results: DataFrame) -> DataFrame:
     return first.join(once.groupBy("cache_key").agg(F.countDistinct("result_id").alias("uses")), "cache_key")
 
 
+def answered_before(results: DataFrame) -> DataFrame:
+    """Results (result_id, cache_key, op, created_at) with ``hit``: whether an earlier one had their key; null keys never hit."""
+    once = results.select("result_id", "cache_key", "op", "created_at").distinct()
+    first = once.where("cache_key IS NOT NULL").groupBy("cache_key").agg(F.min(F.struct("created_at", "result_id")).alias("first"))
+    met = once.join(first, "cache_key", "left")
+    return met.withColumn("hit", F.coalesce(F.struct("created_at", "result_id") > F.col("first"), F.lit(False))).drop("first")
+
+
 def with_cache(work: DataFrame, cache: DataFrame, bypass: bool = False) -> DataFrame:
     """Work items (cache_key, ...) with ``hit``; bypassing skips reading only."""
     if bypass:

@@ -128,9 +128,31 @@ def resolved_references(s, d):
     return retrieve.resolve_references(asked, known)
 
 
+def reference_numbers(s, d):
+    """Numbers of the versions around each hit, in the order in which they first appear."""
+    stored = _newest(s, d)
+    rows = points.neighbours(_hits(stored), stored, 2).join(stored.select("point_id", F.coalesce("version", F.lit("")).alias("ref")), "point_id")
+    return retrieve.number_references(rows.select(F.col("hit").alias("answer"), F.col("distance").alias("pos"), "ref"))
+
+
+def file_extents(s, d):
+    """Last page and last line that the chunks of each file name."""
+    return _points(s, d).groupBy("file_path").agg(F.max(F.array_max("page_range")).alias("pages"), F.max(F.array_max("line_range")).alias("lines"))
+
+
+def path_preview(s, d):
+    """The first ten paths of the collection."""
+    return _points(s, d).select("file_path").distinct().orderBy("file_path").limit(10)
+
+
+def linked_uris(s, d):
+    """A sentence with each point's address as Markdown link."""
+    return _points(s, d).select("point_id", refs.markdown_links(F.concat(F.lit("see "), refs.file_uri(F.col("file_path")), F.lit(" (there)"))).alias("linked"))
+
+
 QUERIES = {f.__name__: f for f in (
     payload_faults, newest_points, point_labels, point_uris, point_hashes, point_references, neighbour_expand, expanded_once, missing_neighbours, collection_stats, chunks_by_file,
-    repeated_chunks, renamed_paths, old_versions, stripped_headers, removed_files, file_coverage, hit_contexts, resolved_references,
+    repeated_chunks, renamed_paths, old_versions, stripped_headers, removed_files, file_coverage, hit_contexts, resolved_references, reference_numbers, file_extents, path_preview, linked_uris,
 )}
 
 _NEW = """
@@ -181,6 +203,17 @@ FROM stored GROUP BY file_path""",
     "hit_contexts": _NEW + _wanted(1) + f""", named AS (SELECT file_path, chunk_index, chunk_text, {_HASH} AS hash FROM stored)
 SELECT hit, sha256(string_agg('<<< ' || hash || ' >>>' || chr(10) || chr(10) || coalesce(chunk_text, '') || chr(10), repeat(chr(10), 4) ORDER BY distance)) AS digest
 FROM wanted JOIN named USING (file_path, chunk_index) GROUP BY hit""",
+    "reference_numbers": _NEW + _wanted(2) + """, r AS (SELECT w.hit AS answer, w.distance AS pos, coalesce(s.version, '') AS ref FROM wanted w JOIN stored s USING (file_path, chunk_index))
+SELECT answer, pos, ref, CAST(dense_rank() OVER (PARTITION BY answer ORDER BY f) AS INT) AS number FROM (SELECT *, min(pos) OVER (PARTITION BY answer, ref) AS f FROM r)""",
+    "file_extents": "SELECT file_path, max(list_max(page_range)) AS pages, max(list_max(line_range)) AS lines FROM payloads GROUP BY file_path",
+    "path_preview": "SELECT DISTINCT file_path FROM payloads ORDER BY file_path NULLS FIRST LIMIT 10",
+    "linked_uris": f"SELECT point_id, 'see [file://' || file_path || '](' || {_URI} || ') (there)' AS linked FROM payloads",
+    "resolved_references": _NEW + _wanted(1) + f""", known AS (SELECT w.hit AS answer, w.distance + 1 AS place, {_HASH} AS hash, w.distance FROM wanted w JOIN stored USING (file_path, chunk_index)),
+asked AS (SELECT answer, pos, ref, lower(trim(replace(replace(ref, '<<<', ''), '>>>', ''))) AS token FROM (
+  SELECT answer, unnest([0, 1, 2]) AS pos, unnest(['<<< ' || upper(hash) || ' >>>', substr(hash, 1, 4) || 'x' || substr(hash, 6, 4) || 'x' || substr(hash, 11, 6), '0123']) AS ref FROM known WHERE distance = 0)),
+met AS (SELECT a.answer, a.pos, a.ref, k.hash, k.place, CASE WHEN length(a.token) = 16 THEN hamming(a.token, k.hash) END AS distance FROM asked a JOIN known k USING (answer)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY answer, pos ORDER BY distance, place) AS n FROM met WHERE distance <= 2)
+SELECT answer, CAST(pos AS INT) AS pos, ref, hash, CAST(distance AS INT) AS distance FROM placed WHERE n = 1""",
     "removed_files": f"""WITH changes AS ({CHANGES}) SELECT point_id, committed_at FROM payloads p
 WHERE NOT EXISTS (SELECT 1 FROM changes c WHERE c.diff = 'removed' AND c.file_path = p.file_path)""",
 }
