@@ -39,8 +39,8 @@ def _merge_range(batches: Iterator[pd.DataFrame], compare: Sequence[str]) -> Ite
         prev = rows.shift(1)
         for c in compare:
             differs |= ~_same(rows[c], prev[c])
-        added = ~meets & (rows["_before"].to_numpy() >= 0)
-        gone = ~left & (rows["_after"].to_numpy() >= 0)
+        added = ~meets & rows["_later"].to_numpy(dtype=bool)
+        gone = ~left & rows["_sooner"].to_numpy(dtype=bool)
         kinds = ((added, no, "added"), (meets & differs, no, "changed"), (gone, rows["_after"].to_numpy(), "removed"))
         return pd.DataFrame(
             {
@@ -63,6 +63,11 @@ def _merge_range(batches: Iterator[pd.DataFrame], compare: Sequence[str]) -> Ite
         yield emit(carry)
 
 
+def _plain(name: str, kind: str):
+    """A column whose text is equal where its values are: 0.0 and -0.0 are one value."""
+    return F.col(name) + F.lit(0).cast(kind) if kind in ("double", "float") else F.col(name)
+
+
 def snapshot_changes(
     rows: DataFrame,
     group: str = "profile",
@@ -89,16 +94,17 @@ def snapshot_changes(
     order = Window.partitionBy("_g").orderBy("_no")
     calendar = (
         base.groupBy("_g", "_no").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_g", "_no", F.coalesce(F.lag("_no").over(order), F.lit(-1)).alias("_before"), F.coalesce(F.lead("_no").over(order), F.lit(-1)).alias("_after"))
+        .select("_g", "_no", F.lag("_no").over(order).alias("_before"), F.lead("_no").over(order).alias("_after"))
+        # whether there is a snapshot before and after; a group's first snapshot meets itself as the one before, its last as the one after
+        .select("_g", "_no", F.coalesce("_before", "_no").alias("_before"), F.coalesce("_after", "_no").alias("_after"), F.col("_before").isNotNull().alias("_later"), F.col("_after").isNotNull().alias("_sooner"))
     )
-    values = [f"_v{i}" for i in range(len(compare))]
+    values, types = [f"_v{i}" for i in range(len(compare))], dict(base.dtypes)
     laid = (
         base.join(calendar, ["_g", "_no"])
         .repartitionByRange(F.col("_g"), F.col("_k"))
         .sortWithinPartitions("_g", "_k", "_no", F.col("_at").desc_nulls_last(), *[F.col(v).desc_nulls_last() for v in values], F.col("_there").desc())
-        .select("_g", "_k", "_no", "_before", "_after", "_there", *[F.col(v).cast("string").alias(v) for v in values])
+        .select("_g", "_k", "_no", "_before", "_after", "_later", "_sooner", "_there", *[_plain(v, types[v]).cast("string").alias(v) for v in values])
     )
-    types = dict(base.dtypes)
     schema = f"_g {types['_g']}, _no int, _k {types['_k']}, diff string"
     found = laid.mapInPandas(lambda batches: _merge_range(batches, values), schema)
     return found.select(F.col("_g").alias(group), F.col("_no").alias(number), F.col("_k").alias(key), "diff")

@@ -69,3 +69,8 @@ def test_watch_diff_and_resolve(spark):
     assert {r.file_path: r["diff"] for r in d.collect()} == {"/a": "removed", "/b": "changed", "/c": "None", "/d": "added"}
     done = snapshots.resolve_diff(d, spark.createDataFrame([("/a",), ("/b",)], "file_path string"))
     assert {r.file_path: r["diff"] for r in done.collect()} == {"/b": "None", "/c": "None", "/d": "added"}
+
+
+def test_negative_numbers_and_signed_zero(spark):
+    rows = [("a", n, T0, T0, f, 1, z, None, 1, "") for n, z in ((-3, 0.0), (-1, -0.0)) for f in ("/x", "/y") if (n, f) != (-1, "/y")] + [("a", -1, T0, T0, "/z", 1, 1.0, None, 1, "")]
+    assert {(r.snapshot_no, r.file_path, r["diff"]) for r in snapshots.snapshot_changes(spark.createDataFrame(rows, SCHEMA)).collect()} == {(-1, "/y", "removed"), (-1, "/z", "added")}
