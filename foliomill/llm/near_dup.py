@@ -391,7 +391,7 @@ def _hot(counts: DataFrame, key: str, limit: int) -> DataFrame | None:
     return lookup_side(found, n) if n else None
 
 
-def _meet(many: DataFrame, few: DataFrame, key: str, by: str, limit: int, counted: DataFrame | None = None) -> DataFrame:
+def meet(many: DataFrame, few: DataFrame, key: str, by: str, limit: int, counted: DataFrame | None = None) -> DataFrame:
     """Join on ``key``; rows of ``many`` whose key has more than ``limit`` of them are dealt by ``by``, and the key's rows of ``few`` go to each part.
 
     counted: rows of which the keys are counted, if not those of ``many``.
@@ -459,7 +459,7 @@ class Similar:
         bits = [f"b{i}" for i in range(4)]
         classes = groups.select("grp", F.explode(F.arrays_zip("sigs", "sizes", *bits)).alias("x")).select("grp", F.col("x.sigs").alias("sig"), F.col("x.sizes").alias("size"), *[f"x.{b}" for b in bits])
         asked = classes.select(F.col("grp").alias("other"), F.col("sig").alias("osig"), F.col("size").alias("osize"), *[F.col(b).alias(f"o{b}") for b in bits])
-        across = _meet(_meet(opened, classes, "grp", "other", hot_rows), asked, "other", "sig", hot_rows).drop("grp", "other")
+        across = meet(meet(opened, classes, "grp", "other", hot_rows), asked, "other", "sig", hot_rows).drop("grp", "other")
         names = ["sigs", "sizes", *bits]
         of = lambda i, prefix: [F.get(n, i).alias(prefix + n.removesuffix("s")) for n in names]
         twos = groups.where(F.size("sigs") > 1).select(*names, F.posexplode("sigs").alias("i", "_i")).select(*names, "i", F.posexplode("sigs").alias("j", "_j")).where("i < j")
@@ -473,7 +473,7 @@ class Similar:
         chosen = heads.select("id", "sig").join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
         sets = materialize(base.join(lookup_side(chosen), "id").select("sig", "text").mapInPandas(lambda b: _sets(b, Shingler(width)), "sig long, tokens array<long>").dropDuplicates(["sig"]), "sets")
         shared = F.size(F.array_intersect("a", "b"))
-        checked = _meet(_meet(candidates, sets.select("sig", F.col("tokens").alias("a")), "sig", "other", hot_rows), sets.select(F.col("sig").alias("other"), F.col("tokens").alias("b")), "other", "sig", hot_rows, candidates)
+        checked = meet(meet(candidates, sets.select("sig", F.col("tokens").alias("a")), "sig", "other", hot_rows), sets.select(F.col("sig").alias("other"), F.col("tokens").alias("b")), "other", "sig", hot_rows, candidates)
         self.pairs = materialize(
             checked.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.col("q") + F.col("s") - F.col("shared"))).where(F.col("similarity") >= F.lit(t) - 1e-12)
             .select(F.least("sig", "other").alias("sig_a"), F.greatest("sig", "other").alias("sig_b"), "similarity").dropDuplicates(["sig_a", "sig_b"]), "similar",
@@ -485,8 +485,8 @@ class Similar:
         Ids of a class with many copies are dealt to tasks, where the pairs of the class go to each of them.
         """
         ids = lambda name, sig: self.members.select(F.col("id").alias(name), F.col("sig").alias(sig))
-        unlike = _meet(ids("x", "sig_a"), self.pairs.select("sig_a", "sig_b"), "sig_a", "x", self.hot_rows).select("x", "sig_b")
-        unlike = _meet(ids("y", "sig_b"), unlike, "sig_b", "y", self.hot_rows).select("x", "y")
+        unlike = meet(ids("x", "sig_a"), self.pairs.select("sig_a", "sig_b"), "sig_a", "x", self.hot_rows).select("x", "sig_b")
+        unlike = meet(ids("y", "sig_b"), unlike, "sig_b", "y", self.hot_rows).select("x", "y")
         counts = self.members.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
         hot = _hot(counts, "sig", self.hot_rows)
         repeated = self.members.join(counts.where("n > 1").select("sig"), "sig", "left_semi")
@@ -504,7 +504,7 @@ class Similar:
         known = classes.join(label, "sig", "left").join(links, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         first = known.groupBy("label").agg(F.min("least").alias("group_id"))
         told = known.join(first, "label").select("sig", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-        return _meet(self.members, told, "sig", "id", self.hot_rows).groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("copies").alias("copies"), F.max("links").alias("links"))
+        return meet(self.members, told, "sig", "id", self.hot_rows).groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("copies").alias("copies"), F.max("links").alias("links"))
 
 
 def connect(edges: DataFrame, hot_rows: int = HOT_ROWS, rounds: int | None = None) -> DataFrame:
@@ -519,10 +519,10 @@ def connect(edges: DataFrame, hot_rows: int = HOT_ROWS, rounds: int | None = Non
     before = size(current)
     for _ in range(4 * (2 + math.ceil(math.log2(before["n"] + 2))) if rounds is None else rounds):
         least = both(current).groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _meet(both(current), least, "a", "b", hot_rows).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = meet(both(current), least, "a", "b", hot_rows).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a <> b").distinct(), "stars")
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = _meet(large, lower, "a", "b", hot_rows).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        small = meet(large, lower, "a", "b", hot_rows).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
         current = materialize(small.where("a <> b").distinct(), "stars")
         now = size(current)
         if now == before:
@@ -537,4 +537,4 @@ def similar_points(texts: DataFrame, width: int = 5, threshold: float = 0.8) ->
     return Similar(texts, width, threshold).point_pairs()
 
 
-__all__ = ["Similar", "connect", "similar_points"]
+__all__ = ["Similar", "connect", "meet", "similar_points"]

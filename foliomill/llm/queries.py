@@ -118,6 +118,19 @@ SELECT DISTINCT s.pa AS point_a, s.pb AS point_b
 FROM s JOIN n x ON x.point_id = s.pa AND x.chunk_text = s.ta JOIN n y ON y.point_id = s.pb AND y.chunk_text = s.tb
 WHERE s.shared >= 0.7 * (x.n + y.n - s.shared) - 1e-9
 """,
+    "p5_groups": r"""
+WITH RECURSIVE t AS (SELECT DISTINCT point_id, chunk_text FROM payloads WHERE point_id IS NOT NULL AND chunk_text IS NOT NULL),
+w AS (SELECT point_id, regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}]+') AS w FROM t),
+s AS (SELECT point_id, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS g FROM w WHERE len(w) >= 3),
+m AS (SELECT DISTINCT point_id, md5(array_to_string(g, '|')) AS c, g FROM s),
+c AS (SELECT c, any_value(g) AS g, count(DISTINCT point_id) AS copies, min(point_id) AS least FROM m GROUP BY c),
+x AS (SELECT c, len(g) AS n, unnest(g) AS k FROM c),
+p AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS shared FROM x a JOIN x b ON a.k = b.k AND a.c <> b.c GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE shared >= 0.7 * (na + nb - shared) - 1e-9),
+r AS (SELECT c AS a, c AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+g AS (SELECT r.a AS c, min(y.least) AS group_id FROM r JOIN c y ON y.c = r.b GROUP BY r.a),
+l AS (SELECT a AS c, count(*) AS links FROM e GROUP BY a)
+SELECT point_id, min(group_id) AS group_id, max(copies) AS copies, max(coalesce(links, 0)) AS links FROM m JOIN g USING (c) JOIN c USING (c) LEFT JOIN l USING (c) GROUP BY point_id""",
     "p7_found": _P7 + "SELECT doc_id, item_id FROM hit",
     "p7_passages": r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),

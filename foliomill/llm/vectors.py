@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomill.llm.near_dup import HOT_ROWS, meet
 from foliomill.llm.words import mix
 from foliomill.session import lookup_side, materialize
 
@@ -450,7 +451,8 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: in
         .where(F.col("cosine") >= least)
         .groupBy("own").agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("s"), "neighbour"))), 1, k + 1).alias("best"))
     )
-    mine = members.join(lists.withColumnRenamed("own", "key"), "key").select("id", F.slice(F.filter("best", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("best"))
+    # ids of a direction with many copies are dealt to tasks
+    mine = meet(members, lists.withColumnRenamed("own", "key"), "key", "id", HOT_ROWS).select("id", F.slice(F.filter("best", lambda x: x["neighbour"] != F.col("id")), 1, k).alias("best"))
     return mine.select("id", F.posexplode("best").alias("rank", "x")).select(
         "id", (F.col("rank") + 1).alias("rank"), F.col("x.neighbour").alias("other"), (-F.col("x.s")).alias("cosine")
     )
