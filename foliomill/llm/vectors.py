@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from foliomill.llm.near_dup import HOT_ROWS, meet
 from foliomill.llm.words import mix
-from foliomill.session import lookup_side, materialize
+from foliomill.session import lookup_side, materialize, tasks
 
 #: Rows of the sample that the centroids are fitted on (at most so many, drawn by a hash of the id).
 SAMPLE_ROWS = 40_000
@@ -435,6 +435,9 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: in
         )
     else:
         routed = routed.withColumn("part", F.lit(0)).withColumn("block", F.lit(0)).withColumn("member", F.col("home")).withColumn("asks", F.lit(True))
+    # as many partitions as there are shards and parts, so what a task reads doesn't grow with the collection
+    shards = len(np.unique(region)) + sum(max(1, -(-r["m"] // most_shard)) * max(1, -(-r["c"] // (4 * most_shard))) for r in crowded)
+    routed = routed.repartition(max(tasks(spark), shards), "cell", "part", "block")
     found = routed.groupBy("cell", "part", "block").applyInPandas(lambda rows: _shard(rows[["cell", "id", "vec", "member", "asks"]], k), "id long, other long, cosine double")
     score = F.round("cosine", 6)
     near = (
