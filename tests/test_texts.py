@@ -117,3 +117,11 @@ def test_one_pass_gives_what_the_windows_give(spark):
     assert key(segment.paragraphs_of(d)) == key(rows)
     assert key(segment.sentences_of(d)) == key(segment.sentences(rows))
     assert key(segment.chunk_documents(d, 2)) == key(segment.chunks(segment.sentences(rows), 2))
+
+
+def test_links_brackets_and_targets(spark):
+    assert one(spark, "see file:///a%20b+c.txt, (file:///d) [file:///e] file:// x", refs.markdown_links(F.col("x"))) == "see [file:///a b+c.txt,](file:///a%20b+c.txt,) ([file:///d](file:///d)) [[file:///e](file:///e)] file:// x"
+    assert one(spark, "no\nlink", refs.markdown_links(F.col("x"))) == "no\nlink" and one(spark, None, refs.markdown_links(F.col("x"))) is None
+    assert one(spark, 0.5, text.score_percent("x"), "double") == " 50.00" and text.word_targets(200) == (150, 250, 300, 100)
+    assert one(spark, "t", text.bracketed("x", False)) == "[t]" and one(spark, "t", text.bracketed("x", True)) == "t" and one(spark, None, text.bracketed("x", True, "page")) == "[Unprocessable page]"
+    assert spark.range(1).select(text.first_text(["id"]).alias("y")).first().y is None
