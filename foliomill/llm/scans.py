@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from foliomill.llm.trie import Trie
 from foliomill.session import lookup_side, materialize
 
-#: Words and pairs of neighbours that are sent to the tasks, at most.  All that stand twice in the clean texts belong to them
-#: until there are more; then the most frequent do.
+#: Words and pairs of neighbours (all that stand twice in the clean texts) that are sent to the tasks, at most; where there are
+#: more, they stay tables and are asked by joins.
 VOCABULARY = 1_000_000
 #: A line is a running header of its file if it stands in so many of the file's places and at least this share of them is
 #: where furniture stands (beside a page number, at an end of the record, within a sentence).
@@ -423,17 +423,16 @@ def running_headers(records: DataFrame) -> DataFrame:
     return often.groupBy("file_path").agg(F.collect_set("key").alias("running"))
 
 
-def clean_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], set[str]]:
-    """Vocabulary of clean texts (column ``text``), pairs of neighbours with a confusable word or a number, and the vocabulary's
-    words that never stand in lower case; all are bounded (see VOCABULARY)."""
+def counted_words(texts: DataFrame) -> DataFrame:
+    """``w, n, k``: words that stand twice in clean texts (column ``text``), in lower case, and how often in lower case; none with digits."""
     lines = texts.select(F.explode(F.split("text", r"\r\n|\r|\n")).alias("line")).where(~F.col("line").startswith("# "))
     words = lines.select(F.explode(F.expr(r"regexp_extract_all(line, '[\\p{L}\\p{N}]+(?:-[\\p{L}\\p{N}]+)*', 0)")).alias("w"))
     seen = words.groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower("w") == F.col("w")).alias("k"))
-    counts = seen.where("n >= 2 AND NOT w RLIKE '[0-9]'").cache()
-    rows = counts.orderBy(F.col("n").desc(), "w").limit(VOCABULARY).collect()
-    vocabulary, names = {r["w"]: r["n"] for r in rows}, {r["w"] for r in rows if not r["k"]}
-    counts.unpersist()
-    close = _confusable(vocabulary)
+    return seen.where("n >= 2 AND NOT w RLIKE '[0-9]'")
+
+
+def counted_pairs(texts: DataFrame, close: set[str] | None = None) -> DataFrame:
+    """``pair, n``: neighbours that stand together twice in clean texts, numbers as 0; close: only pairs with one of these words."""
 
     def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token, stop = re.compile(r"[^\W_]+(?:-[^\W_]+)*"), re.compile(r"[.,;:!?]|\n\s*\n")
@@ -443,74 +442,109 @@ def clean_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], set[s
                 for part in stop.split((t or "").lower()):
                     ws = ["0" if w.isdigit() else w for w in token.findall(part)]
                     for x, y in zip(ws, ws[1:], strict=False):
-                        if x in close or y in close:
+                        if close is None or x in close or y in close:
                             key = f"{x} {y}"
                             n[key] = n.get(key, 0) + 1
             if n:
                 yield pd.DataFrame({"pair": list(n), "n": list(n.values())})
 
-    grouped = texts.select("text").mapInPandas(neighbours, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    pairs = {r["pair"]: r["n"] for r in grouped.where("n >= 2").orderBy(F.col("n").desc(), "pair").limit(VOCABULARY).collect()}
-    return vocabulary, pairs, names
+    return texts.select("text").mapInPandas(neighbours, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n >= 2")
+
+
+def bounded_words(seen: DataFrame, texts: DataFrame, most: int) -> tuple[dict[str, int], dict[str, int], set[str]] | None:
+    """Vocabulary (``seen``: :func:`counted_words`), pairs of neighbours with a confusable word or a number, and the vocabulary's words that
+    never stand in lower case, all for the driver; None if there are more than ``most`` words or pairs."""
+    rows = seen.limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    vocabulary, names = {r["w"]: r["n"] for r in rows}, {r["w"] for r in rows if not r["k"]}
+    rows = counted_pairs(texts, _confusable(vocabulary)).limit(most + 1).collect()
+    return None if len(rows) > most else (vocabulary, {r["pair"]: r["n"] for r in rows}, names)
+
+
+def clean_words(texts: DataFrame) -> tuple[dict[str, int], dict[str, int], set[str]] | None:
+    """:func:`bounded_words` of clean texts (column ``text``), up to VOCABULARY."""
+    return bounded_words(materialize(counted_words(texts), "vocabulary"), texts, VOCABULARY)
+
+
+def read_as(word: str) -> set[str]:
+    """A word and all it can be read as by one confusion."""
+    forms = {word}
+    for t, r in CONFUSIONS:
+        i = word.find(t)
+        while i >= 0:
+            forms.add(word[:i] + r + word[i + len(t) :])
+            i = word.find(t, i + 1)
+    return forms
 
 
 def _confusable(vocabulary: dict[str, int]) -> set[str]:
     """Words that share what they can be read as with another word of the vocabulary, and the sign of a number."""
     by: dict[str, list[str]] = {}
     for w in vocabulary:
-        forms = {w}
-        for t, r in CONFUSIONS:
-            i = w.find(t)
-            while i >= 0:
-                forms.add(w[:i] + r + w[i + len(t) :])
-                i = w.find(t, i + 1)
-        for f in forms:
+        for f in read_as(w):
             by.setdefault(f, []).append(w)
     return {w for ws in by.values() if len(ws) > 1 for w in ws} | {"0"}
 
 
-def repair_scans(records: DataFrame, clean: DataFrame) -> DataFrame:
+REPAIRED = "src string, rec_id long, text string, repairs array<struct<kind string, word string>>"
+
+
+def repair_batch(r: Repairer, b: pd.DataFrame) -> pd.DataFrame:
+    """The repaired records of a batch (columns of REPAIRED)."""
+    cleaned, suspects = [], set()
+    for path, text, lost, running in zip(b["file_path"], b["text"], b["lost_ends"], b["running"], strict=True):
+        if not text:
+            cleaned.append(None)
+            continue
+        c = r.clean(path or "", text, bool(lost), frozenset() if running is None else frozenset(running))
+        cleaned.append(c)
+        for p in c[0]:
+            if not p.startswith("# "):
+                suspects |= r.wants(re.sub(r"([^\W_]+)\x01", r"\1", p))
+    r.learn(suspects)
+    texts, repairs = [], []
+    for text, c in zip(b["text"], cleaned, strict=True):
+        if c is None:
+            texts.append(text)
+            repairs.append([])
+            continue
+        whole, found = r.repair(c[0])
+        texts.append(whole)
+        repairs.append([{"kind": k, "word": w} for k, w in dict.fromkeys(found + [(k, "") for k in sorted(c[1])])])
+    return pd.DataFrame({"src": b["src"], "rec_id": b["rec_id"], "text": texts, "repairs": repairs})
+
+
+def repair_scans(records: DataFrame, clean: DataFrame, most: int = VOCABULARY) -> DataFrame:
     """``src, rec_id, text, repairs``: the readable text of each record of (src, rec_id, file_path, text, lost_ends, place).
 
     ``place``: number of the record in its file (optional); lines that come back in many places of a file are running headers.
     ``lost_ends``: the record's line ends have become spaces.  ``repairs``: array of (kind, word), kind ``hyphen``, ``misread``,
     ``header`` or ``page_number`` (word empty).  ``clean`` holds the texts (column text) that can't be scans; they give the
-    vocabulary.  Null texts stay null, empty ones empty, both without repairs; repeated records are repaired each; without
-    clean texts only furniture and hyphens are repaired; leading lines that begin with ``# `` stay as they are.
+    vocabulary: sent to the tasks if it has at most ``most`` words and pairs of neighbours, else asked by joins, with the same
+    result (:func:`foliomill.llm.lexicon.repair_by_asking`).  Null texts stay null, empty ones empty, both without repairs; repeated
+    records are repaired each; without clean texts only furniture and hyphens are repaired; leading lines that begin with ``# ``
+    stay as they are.
     """
+    from foliomill.llm.lexicon import repair_by_asking
+
     spark = records.sparkSession
-    sent, name = spark.sparkContext.broadcast(clean_words(clean)), uuid.uuid4().hex
+    place = F.col("place").cast("long") if "place" in records.columns else F.lit(None).cast("long")
+    given = records.select("src", F.col("rec_id").cast("long").alias("rec_id"), "file_path", "text", "lost_ends", place.alias("place"))
+    running = materialize(running_headers(given), "headers")
+    given = given.join(lookup_side(running), "file_path", "left").drop("place")
+    seen = materialize(counted_words(clean), "vocabulary")
+    words = bounded_words(seen, clean, most)
+    if words is None:
+        return repair_by_asking(given, seen, clean)
+    sent, name = spark.sparkContext.broadcast(words), uuid.uuid4().hex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = _repairer(name, sent)
         for b in batches:
-            cleaned, suspects = [], set()
-            for path, text, lost, running in zip(b["file_path"], b["text"], b["lost_ends"], b["running"], strict=True):
-                if not text:
-                    cleaned.append(None)
-                    continue
-                c = r.clean(path or "", text, bool(lost), frozenset() if running is None else frozenset(running))
-                cleaned.append(c)
-                for p in c[0]:
-                    if not p.startswith("# "):
-                        suspects |= r.wants(re.sub(r"([^\W_]+)\x01", r"\1", p))
-            r.learn(suspects)
-            texts, repairs = [], []
-            for text, c in zip(b["text"], cleaned, strict=True):
-                if c is None:
-                    texts.append(text)
-                    repairs.append([])
-                    continue
-                whole, found = r.repair(c[0])
-                texts.append(whole)
-                repairs.append([{"kind": k, "word": w} for k, w in dict.fromkeys(found + [(k, "") for k in sorted(c[1])])])
-            yield pd.DataFrame({"src": b["src"], "rec_id": b["rec_id"], "text": texts, "repairs": repairs})
+            yield repair_batch(r, b)
 
-    schema = "src string, rec_id long, text string, repairs array<struct<kind string, word string>>"
-    place = F.col("place").cast("long") if "place" in records.columns else F.lit(None).cast("long")
-    given = records.select("src", F.col("rec_id").cast("long").alias("rec_id"), "file_path", "text", "lost_ends", place.alias("place"))
-    running = materialize(running_headers(given), "headers")
-    return given.join(lookup_side(running), "file_path", "left").drop("place").mapInPandas(work, schema)
+    return given.mapInPandas(work, REPAIRED)
 
 
 def repairs(repaired: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from foliomill.llm import scans
+from foliomill.llm import lexicon, scans
 from foliomill.llm.trie import Trie
 
 WORDS = "the modest court was removed from carpenter until return short long form note and post trial hand written apprentice number describe evening".split()
@@ -89,3 +89,30 @@ def test_worker_keeps_what_it_has_learnt():
 
     r = scans._repairer("run", Sent)
     assert r.candidates("caurt") == r.memory["caurt"] and scans._repairer("run", Sent) is r and scans._repairer("next", Sent) is not r and len(scans._ready) == 1
+
+
+def test_vocabulary_beyond_the_bound_is_asked_with_the_same_result(spark, monkeypatch):
+    rnd = random.Random(3)
+    clean = [" ".join(rnd.choices(WORDS + ["hand-written", "post-trial", "Guild", "house", "horse", "3", "vi"], k=12)) + "." for _ in range(60)]
+    spoil = lambda t: t.replace("m", "rn", rnd.randint(0, 1)).replace("e", "c", rnd.randint(0, 2)).replace(" the", " 7 the", rnd.randint(0, 1)).replace("ar", "ar-\n", rnd.randint(0, 1))
+    rows = [("p", i, "/d/Old Guild 3.pdf", spoil(t), i % 2 == 1, i) for i, t in enumerate(clean)] + [("p", 90, None, None, False, 1), ("p", 91, "/a.pdf", "", True, None), ("p", 0, "/d/x.pdf", "houso 5 6 the", True, 0)]
+    r = spark.createDataFrame(rows, "src string, rec_id long, file_path string, text string, lost_ends boolean, place int")
+    c = spark.createDataFrame([(t,) for t in clean], "text string")
+    got = lambda **k: sorted((x.rec_id, x.text or "", sorted(map(tuple, x.repairs))) for x in scans.repair_scans(r, c, **k).collect())
+    monkeypatch.setattr(lexicon, "BLOCK_CHARS", 1500)
+    monkeypatch.setattr(lexicon, "SHARD_WORDS", 3)
+    monkeypatch.setattr(lexicon, "SHARD_ASKED", 2)
+    whole = got()
+    assert sum(len(x[2]) for x in whole) > 30 and got(most=5) == whole
+    assert scans.repair_scans(r.limit(0), c, most=5).collect() == []
+
+
+def test_candidates_of_shards_are_those_of_one_trie(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("celi1ocdrnm") for _ in range(rnd.randint(1, 6)))
+    vocabulary, asked = {word() for _ in range(150)}, {word() for _ in range(60)} | {"x" * 50}
+    seen = spark.createDataFrame([(w, 2, 1) for w in sorted(vocabulary)], "w string, n long, k long")
+    keys = spark.createDataFrame([(w,) for w in sorted(asked)], "key string")
+    got = {(x.key, x.word, x.confusions) for x in lexicon.candidates(keys, seen, 20, 7).collect()}
+    near = Trie(list(w for w in vocabulary if not any(c.isdigit() for c in w))).within(list(asked), scans.EDITS)
+    assert got == {(w, v, scans.explained(v, w)) for w, vs in near.items() for v in vs if v != w and scans.explained(v, w) <= scans.CONFUSIONS_MOST}
