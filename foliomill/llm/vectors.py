@@ -26,8 +26,10 @@ from foliomill.session import lookup_side, materialize, tasks
 
 #: Rows of the sample that the centroids are fitted on (at most so many, drawn by a hash of the id).
 SAMPLE_ROWS = 40_000
-#: Vectors that a shard should hold before replication; at most MOST_CELLS centroids.
+#: Vectors that a shard should hold before replication; at most MOST_CELLS centroids, and as many again within a crowded cell.
 SHARD_ROWS, MOST_CELLS = 1_400, 4_096
+#: Sample of a crowded cell, at least and for each of its centroids, and vectors routed within a cell by one task.
+CELL_SAMPLE, CENTRE_SAMPLE, ROUTED_ROWS = 4_000, 16, 50_000
 #: Shards that a vector goes to, and members beyond which a shard is split (then its vectors are searched in every part).
 COPIES, MOST_SHARD = 2, 24_000
 #: Vectors whose true neighbours are looked up, and the share of them (and least number) that may get lost between two groups of cells.
@@ -361,7 +363,69 @@ def _losses(searched: DataFrame, centre: np.ndarray, ids: np.ndarray, x: np.ndar
     return mine[:, 0], theirs[:, 0], ~(mine[:, :, None] == theirs[:, None, :]).any(axis=(1, 2))
 
 
-def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 96, copies: int = COPIES, most_shard: int = MOST_SHARD) -> DataFrame:
+def _routes(x: np.ndarray, centre: np.ndarray, region: np.ndarray, copies: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shards that vectors go to, nearest first, and whether they are members there.  Out of a dense region, a vector only
+    visits: thousands of its like would fill the next shard."""
+    s, first = x @ centre.T, None
+    for _ in range(min(copies, len(np.unique(region)))):
+        cell = region[s.argmax(axis=1)]
+        first = cell if first is None else first
+        yield cell, (cell == first) | (first >= 0)
+        s[region[None, :] == cell[:, None]] = -np.inf
+
+
+def _fit_cell(rows: pd.DataFrame, k: int, copies: int) -> pd.DataFrame:
+    """Centroids and regions within a crowded cell, from a sample of it (cell, centres, vec); neighbours are those in the sample."""
+    x = np.frombuffer(b"".join(rows["vec"]), dtype=np.float32).reshape(len(rows), -1)
+    centre = _fit(x, int(rows["centres"].iloc[0]))
+    k, p = min(k, len(x) - 1), min(copies, len(centre))
+    cells = np.concatenate([np.argsort(-(x[a : a + 4096] @ centre.T), axis=1)[:, :p] for a in range(0, len(x), 4096)])
+    probes = np.random.default_rng(13).permutation(len(x))[:PROBES]
+    near = [np.zeros((0, k), np.int64)]
+    for a in range(0, len(probes), 256):
+        at = probes[a : a + 256]
+        s = x[at] @ x.T
+        s[np.arange(len(at)), at] = -np.inf
+        near.append(np.argpartition(-s, k - 1, axis=1)[:, :k] if k else np.zeros((len(at), 0), np.int64))
+    mine, theirs = np.repeat(cells[probes], k, axis=0), cells[np.concatenate(near).ravel()]
+    lost = ~(mine[:, :, None] == theirs[:, None, :]).any(axis=(1, 2))
+    region = _regions(centre, mine[:, 0], theirs[:, 0], lost)
+    return pd.DataFrame({"cell": [int(rows["cell"].iloc[0])], "centre": [centre.tobytes()], "region": [region.astype(np.int64).tobytes()], "n": [len(np.unique(region))]})
+
+
+def _route_cell(rows: pd.DataFrame, fitted: pd.DataFrame, copies: int) -> pd.DataFrame:
+    """The rows of a crowded cell (cell, id, vec, home) in its inner shards."""
+    out = [pd.DataFrame({"cell": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "vec": np.zeros(0, object), "home": np.zeros(0, bool)})]
+    if len(rows) and not len(fitted):  # nothing of the cell was drawn: it stays as it is
+        return rows[["cell", "id", "vec", "home"]]
+    if len(rows):
+        x = np.frombuffer(b"".join(rows["vec"]), dtype=np.float32).reshape(len(rows), -1)
+        centre, region = np.frombuffer(fitted["centre"].iloc[0], dtype=np.float32).reshape(-1, x.shape[1]), np.frombuffer(fitted["region"].iloc[0], dtype=np.int64)
+        outer = (int(rows["cell"].iloc[0]) + 1) << 24  # inner shards are numbered apart from all other cells, dense regions below zero
+        for cell, home in _routes(x, centre, region, copies):
+            out.append(pd.DataFrame({"cell": np.where(cell < 0, cell - outer, cell + outer), "id": rows["id"].to_numpy(), "vec": rows["vec"].to_numpy(), "home": rows["home"].to_numpy(dtype=bool) & home}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _refined(routed: DataFrame, crowded: list, k: int, copies: int, most_cells: int) -> tuple[DataFrame, int]:
+    """Routed rows with crowded cells (cell, c: rows) divided by centroids of their own, and the number of inner shards."""
+    spark = routed.sparkSession
+    rows = []
+    for r in crowded:
+        centres = min(most_cells, max(2, round(r["c"] / SHARD_ROWS)))
+        rows.append((r["cell"], centres, max(1, r["c"] // max(CELL_SAMPLE, CENTRE_SAMPLE * centres)), -(-r["c"] // ROUTED_ROWS)))
+    plan = F.broadcast(spark.createDataFrame(rows, "cell long, centres int, every long, blocks long"))  # at most as many rows as cells
+    inside = routed.join(plan, "cell")
+    sample = inside.where(F.pmod(F.xxhash64("id", F.lit(3)), "every") == 0).select("cell", "centres", "vec")
+    fitted = materialize(sample.groupBy("cell").applyInPandas(lambda r: _fit_cell(r, k, copies), "cell long, centre binary, region binary, n long"), "cells")
+    dealt = inside.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(5)), "blocks")).select("cell", "deal", "id", "vec", "home")
+    spread = fitted.join(plan, "cell").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cell", "deal", "centre", "region")
+    inner = dealt.groupBy("cell", "deal").cogroup(spread.groupBy("cell", "deal")).applyInPandas(lambda a, b: _route_cell(a, b, copies), "cell long, id long, vec binary, home boolean")
+    whole = routed.join(plan.select("cell"), "cell", "left_anti").unionByName(inner)
+    return materialize(whole, "routed"), int(fitted.agg(F.sum("n")).first()[0] or 0)
+
+
+def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: int = 96, copies: int = COPIES, most_shard: int = MOST_SHARD, most_cells: int = MOST_CELLS) -> DataFrame:
     """``id, rank, other, cosine``: for every usable vector of (id, vector) its ``k`` most similar others.
 
     Usable: ``dim`` finite values, not all zero; other rows have no neighbours and are none.  An id counts once (of several
@@ -382,7 +446,7 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: in
     heads = materialize(first, "heads")
     reps = heads.where("n = 1")
     total = reps.count()
-    cells = int(min(MOST_CELLS, max(1, round(total / SHARD_ROWS))))
+    cells = int(min(most_cells, max(1, round(total / SHARD_ROWS))))
     several = members.join(reps.select("id"), "id", "left_anti").select("id")  # every id that isn't its direction's first
     searched = base.join(lookup_side(several), "id", "left_anti")
 
@@ -406,25 +470,21 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: in
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, of = sent.value
-        p = min(copies, len(np.unique(of)))
         for b in batches:
             ids, x = _unit(b, dim)
             x = x.astype(np.float32)
-            s = x @ c.T
             blob = pa.array([v.tobytes() for v in x], pa.binary())
-            first = None
-            for _ in range(p):
-                cell = of[s.argmax(axis=1)]
-                first = cell if first is None else first
-                # out of a dense region, a vector only visits: thousands of its like would fill the next shard
-                home = (cell == first) | (first >= 0)
+            for cell, home in _routes(x, c, of, copies):
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(ids), blob, pa.array(home)], names=["cell", "id", "vec", "home"])
-                s[of[None, :] == cell[:, None]] = -np.inf
 
     routed = searched.mapInArrow(route, "cell long, id long, vec binary, home boolean")
-    # a shard that is too large is split by id: its vectors are searched in every part, in blocks that one task can hold
-    counts = routed.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("m"), F.count(F.lit(1)).alias("c"))
-    crowded = counts.where(F.col("c") > most_shard).collect()
+    # a crowded cell is divided by centroids of its own; what is dense or still too large is split by id: its vectors are searched
+    # in every part, in blocks that one task can hold
+    sizes = lambda: routed.groupBy("cell").agg(F.count(F.when(F.col("home"), 1)).alias("m"), F.count(F.lit(1)).alias("c")).where(F.col("c") > most_shard).collect()
+    crowded, shards = sizes(), len(np.unique(region))
+    if any(r["cell"] >= 0 for r in crowded):
+        routed, inner = _refined(routed, [r for r in crowded if r["cell"] >= 0], k, copies, most_cells)
+        crowded, shards = sizes(), shards + inner
     if crowded:
         share = lambda name, most: F.coalesce(F.create_map(*[F.lit(v) for r in crowded for v in (r["cell"], max(1, -(-r[name] // most)))])[F.col("cell")], F.lit(1)).cast("int")
         n, blocks = share("m", most_shard), share("c", 4 * most_shard)
@@ -436,7 +496,7 @@ def similar_vectors(vectors: DataFrame, k: int = 5, least: float = -1.0, dim: in
     else:
         routed = routed.withColumn("part", F.lit(0)).withColumn("block", F.lit(0)).withColumn("member", F.col("home")).withColumn("asks", F.lit(True))
     # as many partitions as there are shards and parts, so what a task reads doesn't grow with the collection
-    shards = len(np.unique(region)) + sum(max(1, -(-r["m"] // most_shard)) * max(1, -(-r["c"] // (4 * most_shard))) for r in crowded)
+    shards += sum(max(1, -(-r["m"] // most_shard)) * max(1, -(-r["c"] // (4 * most_shard))) for r in crowded)
     routed = routed.repartition(max(tasks(spark), shards), "cell", "part", "block")
     found = routed.groupBy("cell", "part", "block").applyInPandas(lambda rows: _shard(rows[["cell", "id", "vec", "member", "asks"]], k), "id long, other long, cosine double")
     score = F.round("cosine", 6)

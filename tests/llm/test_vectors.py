@@ -46,6 +46,20 @@ def test_split_shards_lose_nothing(spark):
     assert len(got & true) / len(true) >= 0.9 and len(got & true) / len(got) >= 0.9
 
 
+def test_crowded_cells_are_divided_again(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD_ROWS", 250)
+    monkeypatch.setattr(vectors, "ROUTED_ROWS", 700)
+    rows = clustered(6000, 13)
+    df = spark.createDataFrame(rows, "id long, vector array<float>").repartition(4)
+    plan, divided = vectors._refined, []
+    monkeypatch.setattr(vectors, "_refined", lambda *a: divided.append(plan(*a)) or divided[-1])
+    got = {(r.id, r.other) for r in vectors.similar_vectors(df, 5, 0.0, most_shard=1000, most_cells=4).collect()}
+    true = {(i, o) for i, v in brute(rows, 5, 0.0).items() for o, _ in v}
+    assert len(got & true) / len(true) >= 0.9
+    inner = [r["count"] for r in divided[0][0].where("cell >= 0").groupBy("cell").count().collect()]
+    assert len(inner) >= 8 and divided[0][0].select("id").distinct().count() == 6000  # more shards than centroids, no row lost
+
+
 def test_dense_topic_stays_whole(spark, monkeypatch):
     monkeypatch.setattr(vectors, "SHARD_ROWS", 200)
     rng = np.random.default_rng(4)
