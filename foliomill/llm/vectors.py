@@ -29,7 +29,7 @@ SAMPLE_ROWS = 40_000
 #: Vectors that a shard should hold before replication; at most MOST_CELLS centroids, and as many again within a crowded cell.
 SHARD_ROWS, MOST_CELLS = 1_400, 4_096
 #: Sample of a crowded cell, at least and for each of its centroids, and vectors routed within a cell by one task.
-CELL_SAMPLE, CENTRE_SAMPLE, ROUTED_ROWS = 4_000, 16, 50_000
+CELL_SAMPLE, CENTRE_SAMPLE, ROUTED_ROWS = 40_000, 16, 50_000
 #: Shards that a vector goes to, and members beyond which a shard is split (then its vectors are searched in every part).
 COPIES, MOST_SHARD = 2, 24_000
 #: Vectors whose true neighbours are looked up, and the share of them (and least number) that may get lost between two groups of cells.
@@ -375,10 +375,13 @@ def _routes(x: np.ndarray, centre: np.ndarray, region: np.ndarray, copies: int)
 
 
 def _fit_cell(rows: pd.DataFrame, k: int, copies: int) -> pd.DataFrame:
-    """Centroids and regions within a crowded cell, from a sample of it (cell, centres, vec); neighbours are those in the sample."""
+    """Centroids and regions within a crowded cell, from a sample of it (cell, centres, every, vec).
+
+    The sample holds each ``every``-th row, so about that share of the ``k`` nearest others; as many of the sample's stand for them.
+    """
     x = np.frombuffer(b"".join(rows["vec"]), dtype=np.float32).reshape(len(rows), -1)
     centre = _fit(x, int(rows["centres"].iloc[0]))
-    k, p = min(k, len(x) - 1), min(copies, len(centre))
+    k, p = min(max(1, round(k / int(rows["every"].iloc[0]))), len(x) - 1), min(copies, len(centre))
     cells = np.concatenate([np.argsort(-(x[a : a + 4096] @ centre.T), axis=1)[:, :p] for a in range(0, len(x), 4096)])
     probes = np.random.default_rng(13).permutation(len(x))[:PROBES]
     near = [np.zeros((0, k), np.int64)]
@@ -416,7 +419,7 @@ def _refined(routed: DataFrame, crowded: list, k: int, copies: int, most_cells:
         rows.append((r["cell"], centres, max(1, r["c"] // max(CELL_SAMPLE, CENTRE_SAMPLE * centres)), -(-r["c"] // ROUTED_ROWS)))
     plan = F.broadcast(spark.createDataFrame(rows, "cell long, centres int, every long, blocks long"))  # at most as many rows as cells
     inside = routed.join(plan, "cell")
-    sample = inside.where(F.pmod(F.xxhash64("id", F.lit(3)), "every") == 0).select("cell", "centres", "vec")
+    sample = inside.where(F.pmod(F.xxhash64("id", F.lit(3)), "every") == 0).select("cell", "centres", "every", "vec")
     fitted = materialize(sample.groupBy("cell").applyInPandas(lambda r: _fit_cell(r, k, copies), "cell long, centre binary, region binary, n long"), "cells")
     dealt = inside.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(5)), "blocks")).select("cell", "deal", "id", "vec", "home")
     spread = fitted.join(plan, "cell").withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cell", "deal", "centre", "region")
