@@ -109,3 +109,39 @@ def test_connect_hub_and_too_few_rounds(spark):
     assert {r.label for r in near_dup.connect(star, hot_rows=6).collect()} == {0}
     with pytest.raises(RuntimeError):
         near_dup.connect(spark.createDataFrame([(i, i + 1) for i in range(64)], "a long, b long"), rounds=1)
+
+
+def recorded(monkeypatch):
+    """The rows of each materialized step."""
+    real, rows = near_dup.materialize, {}
+
+    def count(df, name="step"):
+        out = real(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dup, "materialize", count)
+    return rows
+
+
+def test_texts_that_only_share_a_token_do_not_meet(spark, monkeypatch):
+    # 64 worn-out counters order nothing, so a phrase of four texts leads as often as any other; sizes and places allow all its pairs
+    rows = [(i, " ".join([f"phrase{i % 100} of files"] + [f"w{i}x{j}" for j in range(37)])) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 50, 5)]
+    steps = recorded(monkeypatch)
+    s = near_dup.Similar(spark.createDataFrame(rows, "id long, text string"), 3, 0.7, bits=6, words=1)
+    assert {tuple(r) for r in s.point_pairs().collect()} == {(i, 1000 + i) for i in range(0, 50, 5)}
+    assert 0 < steps["met"] <= 15 and steps["candidates"] <= 15  # 75 before bitmaps decided about meetings
+
+
+def test_steps_that_are_read_no_more_are_removed(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from foliomill.session import shared_dir
+
+    kept = lambda: {p.name.split("-")[1] for p in Path(urlparse(shared_dir(spark)).path).glob("foliomill-*") if p not in before}
+    before = set(Path(urlparse(shared_dir(spark)).path).glob("foliomill-*"))
+    s = near_dup.Similar(spark.createDataFrame(corpus(2, 60), "id long, text string"), 3, 0.7)
+    assert not kept() & {"counts", "heads", "groups", "met", "opened", "candidates", "sets"} and {"members", "similar"} <= kept()
+    assert s.point_pairs().count() and s.groups().count()
