@@ -106,3 +106,17 @@ def test_empty_and_single(spark):
     assert vectors.similar_vectors(df).count() == 0
     one = spark.createDataFrame([(1, [1.0] * 96)], "id long, vector array<float>")
     assert vectors.similar_vectors(one).count() == 0
+
+
+def test_few_probes_of_an_outlying_cell_make_no_region():
+    rng = np.random.default_rng(2)
+    centre = np.vstack([np.eye(96)[0] + 0.04 * rng.normal(size=(20, 96)), np.eye(96)[1]]).astype(np.float32)
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    a = np.repeat(np.arange(21), 60)
+    b, lost = a.copy(), np.zeros(len(a), dtype=bool)
+    b[-7:], lost[-7:] = 0, True  # 7 of the 60 pairs of the outlier
+    assert (vectors._regions(centre, a, b, lost) == np.arange(21)).all()
+    dense = np.flatnonzero((np.arange(len(a)) % 3 == 0) & (a < 20))
+    b[dense], lost[dense] = (a[dense] + 1 + dense % 19) % 20, True  # a third of the pairs of the others
+    region = vectors._regions(centre, a, b, lost)
+    assert len(set(region[:20])) == 1 and region[0] < 0 and region[20] == 20
