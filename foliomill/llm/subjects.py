@@ -79,20 +79,22 @@ class Rules:
 
     def __init__(self, weights: dict[str, dict[int, float]], pairs: dict[tuple[str, str], dict[int, float]]) -> None:
         self.weights, self.pairs = weights, pairs
-        self.paired = {w for p in pairs for w in p}
+        self.beside: dict[str, dict[str, dict[int, float]]] = defaultdict(dict)  # the pairs by their first word
+        for (a, b), by in pairs.items():
+            self.beside[a][b] = by
         self.cut, self.cuts = 0.0, {}
 
     def evidence(self, words: set[str]) -> dict[int, float]:
         """Log odds of each subject that a rule speaks for: the more specific rule replaces those it contains."""
         hit = [w for w in words if w in self.weights]
         total: dict[int, float] = defaultdict(float)
-        paired = sorted(w for w in words if w in self.paired)
         covered = set()
-        for i, a in enumerate(paired):
-            for b in paired[i + 1 :]:
-                for c, v in self.pairs.get((a, b), {}).items():
+        for a in sorted(self.beside.keys() & words):
+            for b in sorted(self.beside[a].keys() & words):
+                for c, v in self.beside[a][b].items():
                     total[c] += v
-                    covered |= {(a, c), (b, c)}
+                    covered.add((a, c))
+                    covered.add((b, c))
         for w in hit:
             for c, v in self.weights[w].items():
                 if (w, c) not in covered:
@@ -116,16 +118,22 @@ def _pair_counts(batches: Iterator[pd.DataFrame], rank: dict[str, int]) -> Itera
         return pd.DataFrame({"pair": p[first], "c": s[first], "k": np.add.reduceat(n, first)})
 
     pair, c, k, held = [], [], [], 0
+    lower: list[tuple | None] = [None] * 257  # places of all pairs of so many words
     for b in batches:
         for words, subjects, weight in zip(b["words"], b["subjects"], b["weight"], strict=True):
             at = np.array(sorted(rank[w] for w in words if w in rank), dtype=np.int64)
             about = [int(x) for x in subjects if x is not None] or [-1]
-            for j in range(1, len(at)):
+            # all pairs of a sentence at once; those of a very long one word by word, so that what is held stays bounded
+            n = len(at)
+            if 1 < n <= len(lower) - 1 and lower[n] is None:
+                lower[n] = np.tril_indices(n, -1)
+            for j in range(1, n) if n >= len(lower) else [0] if n > 1 else []:
+                one = (at[j] << 32) + at[:j] if j else (at[lower[n][0]] << 32) + at[lower[n][1]]
                 for s in about:
-                    pair.append((at[j] << 32) + at[:j])
-                    c.append(np.full(j, s, np.int32))
-                    k.append(np.full(j, weight / len(about)))
-                    held += j
+                    pair.append(one)
+                    c.append(np.full(len(one), s, np.int32))
+                    k.append(np.full(len(one), weight / len(about)))
+                    held += len(one)
                 if held >= PAIRS_AT_ONCE:
                     yield count(pair, c, k)
                     pair, c, k, held = [], [], [], 0
