@@ -51,7 +51,7 @@ class AskingRepairer(scans.Repairer):
         counts = lambda kind: dict(zip(of[kind]["key"], of[kind]["n"].tolist(), strict=True)) if kind in of else {}
         self.words, self.pairs, self.parts = Asked(counts("word"), 1), Asked(counts("pair"), 0), Asked(counts("part"), 0)
         self.memory: dict[str, list[tuple[int, int, str]]] = {}
-        self.names, self.open = set(), set()
+        self.names, self.open, self.fine = set(), set(), set()
         if "near" in of:
             a = of["near"]
             for key, n, word, confusions, name in zip(a["key"], a["n"], a["word"], a["confusions"], a["name"], strict=True):

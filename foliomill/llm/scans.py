@@ -49,16 +49,33 @@ _ROMAN = re.compile(r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _LONE = re.compile(rf"{_NUMBER}|\d{{1,4}}|(?=[ivxlc]){_ROMAN.pattern[len('(?=[ivxlc])'):]}")
 _LONE_FIRST = re.compile(rf"({_LONE.pattern})\s{{2,}}(\S.*)$")
 _LONE_LAST = re.compile(rf"(.*\S)\s{{2,}}({_LONE.pattern})$")
-_INLINE = re.compile(rf"(?:(?<=\s)|^){_NUMBER}(?=\s|$)")
+# patterns for whole texts begin with a character class, which is searched fast, and look behind it after that
+_INLINE = re.compile(r"[pP\d\[-](?<!\S.)(?:(?<=p)\. ?\d{1,4}|(?<=-) ?\d{1,4} ?-|(?<=\d)\d{0,3}/\d{1,4}|(?<=\[)\d{1,4}\]|(?<=P)age \d{1,4} of \d{1,4})(?=\s|$)")
 _ID = re.compile(r"[A-Za-z]-\d+")
 _SECTION = re.compile(r"(?<!\S)(?=[A-Z0-9~.])(?=(\S{4,10}?)([\s~.\dIl]{2,7})(?<=[\s~.\dIl])(?=\D)(\S{2,24}?)(?=\.?(?:\s|$)))")
+_SECTION_START = re.compile(r"[A-Z0-9~.](?<!\S.)")
+_BROKEN = re.compile(rf"[{_HYPHENS}](?<=[^\W\d_].) (?=[^\W\d_])")
+_SOFT = re.compile(r"[‐¬\xad](?<=[^\W\d_].)(?=[^\W\d_])")
+_CORE = re.compile(r"[^\W_]+(?:[-‐¬\xad\x01'’][^\W_]+)*")
+_JOINED = re.compile(r"([^\W_]+)\x01")
+_WIDE = re.compile(r"\s\s")
+_BLANK = re.compile(r"[\s\d_]+")
 _LINES = re.compile(r"\r\n|\r|\n")
+# What lone numbers begin with, and what stands around a word.
+_NUMERAL_STARTS = frozenset("ivxlc0123456789")
+_AROUND = ".,;:!?()\"'«»“”"
+#: Tokens that a repairer remembers as in order, at most.
+TOKENS = 200_000
 
 
 def _near(a: str, b: str, most: int) -> bool:
     """Whether two short strings are within ``most`` edits."""
     if abs(len(a) - len(b)) > most:
         return False
+    # of so many pieces of one string, the edits leave one whole, which stands in the other
+    cuts = [i * len(b) // (most + 1) for i in range(most + 2)]
+    if not any(b[x:y] in a for x, y in zip(cuts, cuts[1:], strict=False)):
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
@@ -119,6 +136,7 @@ class Repairer:
         self.parts = {w.split("-", 1)[0] for w in words if "-" in w}
         self.trie = Trie([w for w in words if not any(c.isdigit() for c in w)])
         self.memory: dict[str, list[tuple[int, int, str]]] = {}
+        self.fine: set[str] = set()
 
     def learn(self, suspects: set[str]) -> None:
         """Candidates of all new suspects of a batch: fewest confusions first, then the most frequent."""
@@ -150,7 +168,7 @@ class Repairer:
     # -- page furniture -------------------------------------------------------------------------------------------
 
     def is_header(self, text: str, title: list[str]) -> bool:
-        squeezed = re.sub(r"\s+", "", text).lower()
+        squeezed = "".join(text.split()).lower()
         if title and len(squeezed) >= 4:
             name = "".join(title).lower()
             if squeezed == name or (len(title) > 1 and _near(squeezed, name, max(1, len(name) // 8))):
@@ -220,14 +238,15 @@ class Repairer:
                 for a, b in reversed(cut):
                     text = text[:a].rstrip() + " \x00 " + text[b:].lstrip()
                     kinds.add("header")
-        for m in reversed(list(_SECTION.finditer(text))):
-            if self._is_section(m):
+        for m in [_SECTION.match(text, s.start()) for s in _SECTION_START.finditer(text)][::-1]:
+            if m and self._is_section(m):
                 text = text[: m.start()].rstrip() + " \x00 " + text[m.end(3) :].lstrip()
                 kinds.add("header")
         # numbers alone: roman ones that are no words, others whose neighbours never stand beside a number in clean texts
         words = text.split(" ")
-        for i, w in enumerate(words):
-            if not w or w[0] not in "ivxlc0123456789" or len(w) > 8:
+        for i in [i for i, w in enumerate(words) if w[:1] in _NUMERAL_STARTS and len(w) <= 8]:
+            w = words[i]
+            if not w.isdigit() and (w in self.words or not _ROMAN.fullmatch(w)):
                 continue
             before = next((words[j] for j in range(i - 1, -1, -1) if words[j]), "")
             after = next((words[j] for j in range(i + 1, len(words)) if words[j]), "")
@@ -241,10 +260,11 @@ class Repairer:
                 if broken or (not content and (edge or (b in self.words and a in self.words))):
                     words[i] = "\x00"
                     kinds.add("page_number")
-            elif w not in self.words and _ROMAN.fullmatch(w):
+            elif not w.isdigit():
                 words[i] = "\x00"
                 kinds.add("page_number")
-        return re.sub(r"(?: *\x00 *)+", " ", " ".join(words)).strip(), kinds
+        text = " ".join(words)
+        return (re.sub(r"(?: *\x00 *)+", " ", text) if "\x00" in text else text).strip(), kinds
 
     # -- words ----------------------------------------------------------------------------------------------------
 
@@ -263,7 +283,12 @@ class Repairer:
 
     def wants(self, text: str) -> set[str]:
         """Words of a text without known spelling."""
-        words = self.words
+        words, fine = self.words, self.fine
+        new = {t for t in text.split() if t not in fine}
+        fine |= (known := {t for t in new if t.strip(_AROUND).lower() in words})
+        text = " ".join(new - known)
+        if "\x01" in text:
+            text = _JOINED.sub(r"\1", text)
         return {w for t in _TOKEN.findall(text) if not t.isdigit() for w in [t.lower()] if w not in words and not _ID.fullmatch(t) and len(w) > 2}
 
     def clean(self, path: str, text: str, lost_ends: bool, running: frozenset[str] = frozenset()) -> tuple[list[str], set[str]]:
@@ -271,9 +296,7 @@ class Repairer:
         title = title_of(path)
         if lost_ends:
             body, kinds = self.strip_inline(text, title)
-            body = re.sub(rf"(?<=[^\W\d_])[{_HYPHENS}] (?=[^\W\d_])", "\x01", body)
-            body = re.sub(r"(?<=[^\W\d_])[‐¬\xad](?=[^\W\d_])", "\x01", body)
-            return [body], kinds
+            return [_SOFT.sub("\x01", _BROKEN.sub("\x01", body))], kinds
         kinds: set[str] = set()
         heads: list[str] = []
         lines = _LINES.split(text)
@@ -310,25 +333,37 @@ class Repairer:
         """The readable text and its repairs (kind, word); the candidates must have been learnt."""
         found: list[tuple[str, str]] = []
         out: list[str] = []
-        known = self.words
+        known, fine = self.words, self.fine
         for p in paragraphs:
             if p.startswith("# "):
                 out.append(p)
                 continue
-            pieces = re.split(r"(\s+)", p)
-            words = [x.strip(".,;:!?()\"'«»“”").lower() for x in pieces]
-            for i in range(0, len(pieces), 2):
+            pieces = p.split()
+            if p[:1].isspace():
+                pieces.insert(0, "")
+            if p[-1:].isspace():
+                pieces.append("")
+            word = lambda i: pieces[i].strip(_AROUND).lower() if 0 <= i < len(pieces) else ""  # noqa: B023, E731
+            new = {}
+            for i in [i for i, t in enumerate(pieces) if t not in fine]:
                 token = pieces[i]
-                if not token or words[i] in known:
+                if not token:
+                    continue
+                if word(i) in known:
+                    fine.add(token)
                     continue
-                before, after = (words[i - 2] if i >= 2 else ""), (words[i + 2] if i + 2 < len(words) else "")
-                pieces[i] = self._token(token, before, after, found)
-            out.append("".join(x if i % 2 == 0 else " " for i, x in enumerate(pieces)))
+                new[i] = self._token(token, word(i - 1), word(i + 1), found)
+            for i, t in new.items():
+                pieces[i] = t
+            out.append(" ".join(pieces))
+        if len(fine) > TOKENS:
+            fine.clear()
         return "\n\n".join(out).replace("- \x02", "- "), found
 
     def _token(self, token: str, before: str, after: str, found: list) -> str:
-        m = re.search(r"[^\W_]+(?:[-‐¬\xad\x01'’][^\W_]+)*", token)
+        m = _CORE.search(token)
         if not m:
+            self.fine.add(token)
             return token
         core = m[0]
         hyphen = False
@@ -357,13 +392,15 @@ class Repairer:
                 if self.candidates((a + b).lower()) or not self.candidates(low):
                     core, hyphen = a + b, True
             low = core.lower()
-        word = low
+        word, best = low, None
         if low not in self.words and not low.isdigit() and not _ID.fullmatch(core) and len(low) > 2:
             best = self.best(low, before, after, core[0].isupper())
             if best:
                 word = best
                 found.append(("misread", best))
                 core = best.capitalize() if core[0].isupper() else best
+        if not best and not hyphen:
+            self.fine.add(token)  # it stays as it is, whatever its neighbours are
         if hyphen:
             found.append(("hyphen", word))
         return token[: m.start()] + core + token[m.end() :]
@@ -385,7 +422,10 @@ def _repairer(name: str, sent) -> Repairer:
 
 def line_key(line: str) -> str:
     """What a running header has in common on all pages: without white space, numbers and case."""
-    return re.sub(r"[\s\d_]+", "", _LONE_LAST.sub(r"\1", _LONE_FIRST.sub(lambda m: m[m.lastindex], line.strip()))).lower()
+    line = line.strip()
+    if _WIDE.search(line):
+        line = _LONE_LAST.sub(r"\1", _LONE_FIRST.sub(lambda m: m[m.lastindex], line))
+    return _BLANK.sub("", line).lower()
 
 
 def _short_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -399,7 +439,7 @@ def _short_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             full = [i for i, x in enumerate(lines) if x]
             for n, i in enumerate(full):
                 x = lines[i]
-                if len(x) > 90 or len(x) < 4 or x.count(" ") > 9 or x[-1] in ".!?:;," or x[0] in "-*" or _LONE.fullmatch(x) or not (x[0].isupper() or x[0].isdigit()):
+                if len(x) > 90 or len(x) < 4 or x.count(" ") > 9 or x[-1] in ".!?:;," or not (x[0].isupper() or x[0].isdigit()) or _LONE.fullmatch(x):
                     continue
                 key = line_key(x)
                 if len(key) < 4:
@@ -501,7 +541,7 @@ def repair_batch(r: Repairer, b: pd.DataFrame) -> pd.DataFrame:
         cleaned.append(c)
         for p in c[0]:
             if not p.startswith("# "):
-                suspects |= r.wants(re.sub(r"([^\W_]+)\x01", r"\1", p))
+                suspects |= r.wants(p)
     r.learn(suspects)
     texts, repairs = [], []
     for text, c in zip(b["text"], cleaned, strict=True):

@@ -1,5 +1,7 @@
 import random
+import re
 
+import pandas as pd
 import pytest
 
 from foliomill.llm import lexicon, scans
@@ -116,3 +118,44 @@ def test_candidates_of_shards_are_those_of_one_trie(spark):
     got = {(x.key, x.word, x.confusions) for x in lexicon.candidates(keys, seen, 20, 7).collect()}
     near = Trie(list(w for w in vocabulary if not any(c.isdigit() for c in w))).within(list(asked), scans.EDITS)
     assert got == {(w, v, scans.explained(v, w)) for w, vs in near.items() for v in vs if v != w and scans.explained(v, w) <= scans.CONFUSIONS_MOST}
+
+
+def test_tokens_in_order_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+    words = Counted({w: 2 for w in WORDS})
+    text = "The modest court, removed by Pellositz (12) from the carpenter."
+    b = pd.DataFrame({"src": "p", "rec_id": range(300), "file_path": "/a.pdf", "text": text, "lost_ends": False, "running": None})
+    r = scans.Repairer(words, {}, set())
+    assert set(scans.repair_batch(r, b)["text"]) == {text}
+    words.asked = 0
+    assert set(scans.repair_batch(r, b)["text"]) == {text} and words.asked == 0
+
+
+
+def test_fast_patterns_find_what_the_plain_ones_do():
+    rnd = random.Random(6)
+    bits = ["p.", "P", "Page", " ", " ", "  ", "\n", "-", "‐", "\xad", "7", "12", "12345", "/", "[", "]", "of", "Chapter", "Teil", "I", "a", "é", ".", "~", "_", "\x01", "The", "court"]
+    inline, broken, soft = re.compile(rf"(?:(?<=\s)|^){scans._NUMBER}(?=\s|$)"), re.compile(r"(?<=[^\W\d_])[-‐¬\xad] (?=[^\W\d_])"), re.compile(r"(?<=[^\W\d_])[‐¬\xad](?=[^\W\d_])")
+    found = [0] * 4
+    for _ in range(20_000):
+        t = "".join(rnd.choices(bits, k=rnd.randint(1, 12)))
+        for n, (plain, fast) in enumerate(((inline, scans._INLINE), (broken, scans._BROKEN), (soft, scans._SOFT))):
+            want = [m.span() for m in plain.finditer(t)]
+            assert want == [m.span() for m in fast.finditer(t)], (t, plain)
+            found[n] += len(want)
+        want = [m.span(3) for m in scans._SECTION.finditer(t)]
+        assert want == [m.span(3) for s in scans._SECTION_START.finditer(t) if (m := scans._SECTION.match(t, s.start()))], t
+        found[3] += len(want)
+    assert min(found) >= 10
+
+
+def test_near_is_the_distance():
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abc", k=rnd.randint(0, 9)))
+    assert all(scans._near(a, b, most) == (distance(a, b) <= most) for a, b, most in ((word(), word(), rnd.randint(0, 4)) for _ in range(20_000)))
