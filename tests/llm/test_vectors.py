@@ -120,3 +120,31 @@ def test_few_probes_of_an_outlying_cell_make_no_region():
     b[dense], lost[dense] = (a[dense] + 1 + dense % 19) % 20, True  # a third of the pairs of the others
     region = vectors._regions(centre, a, b, lost)
     assert len(set(region[:20])) == 1 and region[0] < 0 and region[20] == 20
+
+
+def test_beam_computes_no_cosine_twice(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(40, 96))[rng.integers(0, 40, 1500)] + 0.6 * rng.normal(size=(1500, 96))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph, plain, computed = vectors.Graph(x), vectors.Graph._cosines, []
+    monkeypatch.setattr(vectors.Graph, "_cosines", lambda self, q, own, nodes: computed.append((own, nodes)) or plain(self, q, own, nodes))
+    own = np.arange(300)
+    found, sims = graph.search(x[own], own)
+    pairs = [p for a, b in computed for p in zip(a.tolist(), b.tolist(), strict=True)]
+    known = {(i, j) for i in own.tolist() for j in [i, *graph.near[i].tolist()]}
+    assert pairs and len(set(pairs)) == len(pairs) and not known & set(pairs)  # nor those that the graph holds
+    assert np.allclose(sims, (x[found] * x[own][:, None]).sum(axis=2), atol=1e-5)
+    s = x[own] @ x.T
+    best = np.argsort(-s, axis=1)[:, :6]
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(best.tolist(), found[:, :6].tolist(), strict=True)]) > 0.95
+
+
+def test_pairs_below_the_least_cosine_leave_no_shard():
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(20, 96))[np.arange(400) % 20] + 0.6 * rng.normal(size=(400, 96))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows = pd.DataFrame({"cell": 1, "id": range(400), "vec": [v.tobytes() for v in x], "member": True, "asks": np.arange(400) < 300})
+    whole, above = vectors._shard(rows, 5), vectors._shard(rows, 5, 0.75)
+    assert 0 < len(above) < len(whole) and above["cosine"].min() >= 0.75 - 1e-6
+    want = whole[whole["cosine"] >= 0.75 - 1e-6].reset_index(drop=True)
+    assert above.equals(want)
